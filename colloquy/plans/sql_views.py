@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from colloquy.functions import lexicon as lx
 from colloquy.sources.corpus import CUES
 
 
@@ -85,6 +86,143 @@ VIEWS: dict[str, str] = {
 }
 
 
+
+def esc(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+def _rule_rows(rules) -> str:
+    items = ", ".join(
+        f"struct_pack(rank := {i}, confidence := {conf}::DOUBLE, owned := {str(owned).lower()}, reason := '{reason}', item := "
+        f"regexp_replace(trim(regexp_extract(text, '{esc(rf'(?i)\b{lead}\b{gap}(.{{5,100}}?)(?:[.!?]|$)')}', 1)), '[.,;:]+$', ''))"
+        for i, (lead, gap, conf, owned, reason) in enumerate(rules)
+    )
+    # First rule that matches in each sentence, then the first sentence of each item.
+    return f"""
+        SELECT * EXCLUDE (nth) FROM (
+          SELECT *, row_number() OVER (PARTITION BY job_id, lower(item) ORDER BY sent_no) AS nth FROM (
+            SELECT s.job_id, s.sent_no, s.seg_idx, s.speaker_id, s.start_ms AS at_ms, s.text, m.* FROM (
+              SELECT *, list_filter([{items}], lambda x: length(x.item) >= 5)[1] AS m FROM sentences) s
+            WHERE m IS NOT NULL)) WHERE nth = 1"""
+
+
+def _bounded(kind: str) -> str:
+    # RE2 sees a word border beside accented letters; a digit in their place keeps acronyms whole.
+    return r"regexp_replace(text, '[^\x00-\x7F]', '0', 'g')" if kind == "acronym" else "text"
+
+
+def _in(values) -> str:
+    return "(" + sql_list(values) + ")"
+
+
+_FIRST = esc(r"(?i),?\s*(?:" + "|".join(lx.TAGS) + r")\?$")
+
+VIEWS.update({
+    "acted": _rule_rows(lx.ACTION_RULES),
+    "decided": _rule_rows(lx.DECISION_RULES),
+    "actions": f"""
+        SELECT a.job_id, sent_no, seg_idx, speaker_id, at_ms, left(text, 200) AS text, item AS task,
+               CASE WHEN owned THEN coalesce(display, speaker_id) END AS owner,
+               coalesce(nullif(regexp_extract(text, '{lx.DUE_WEEKDAY}', 1), ''),
+                        nullif(regexp_extract(text, '{lx.DUE_DATE}', 1), ''),
+                        regexp_replace(nullif(regexp_extract(text, '{lx.DUE_PERIOD}', 1), ''), '\\s+', ' ', 'g'),
+                        CASE WHEN regexp_matches(text, '(?i)\\bby\\s+eod\\b') THEN 'end of day'
+                             WHEN regexp_matches(text, '(?i)\\btomorrow\\b') THEN 'tomorrow'
+                             WHEN regexp_matches(text, '(?i)\\btoday\\b') THEN 'today' END) AS due_date,
+               confidence, reason
+        FROM acted a LEFT JOIN names n USING (job_id, speaker_id)""",
+    "decisions": """
+        SELECT job_id, sent_no, seg_idx, speaker_id, at_ms, left(text, 200) AS text, item AS decision, confidence, reason
+        FROM decided""",
+    "asked": f"""
+        SELECT *, row_number() OVER (PARTITION BY job_id, lower(text) ORDER BY sent_no) AS nth FROM (
+          SELECT *, trim(regexp_replace(text, '{_FIRST}', '')) AS core,
+                 trim(lower(regexp_replace(text, '[? ]+$', ''))) AS bare FROM sentences WHERE text LIKE '%?')
+        WHERE bare NOT IN {_in(lx.BACKCHANNELS)} AND length(text) >= 20
+          AND NOT (core <> '' AND core NOT LIKE '%?' AND
+                   regexp_replace(lower(regexp_extract(core, '^(\\S+)', 1)), '[?,;:]+$', '') NOT IN {_in(lx.QUESTION_WORDS)})""",
+    "questions": f"""
+        SELECT job_id, sent_no, seg_idx, speaker_id, at_ms, left(text, 200) AS text, text AS question,
+               coalesce(reply_ms - at_ms <= 30000 AND NOT unsure, false) AS is_answered,
+               0.95::DOUBLE AS confidence, 'ends with a question mark' AS reason
+        FROM (SELECT a.job_id, a.sent_no, a.seg_idx, a.speaker_id, a.start_ms AS at_ms, a.text,
+                     r.start_ms AS reply_ms,
+                     {" OR ".join(f"starts_with(lower(trim(r.text)), '{esc(p)}')" for p in lx.UNSURE)} AS unsure,
+                     row_number() OVER (PARTITION BY a.job_id, a.sent_no ORDER BY r.seg_idx) AS rn
+              FROM asked a LEFT JOIN segments r ON r.job_id = a.job_id AND r.seg_idx > a.seg_idx
+                                               AND r.speaker_id <> a.speaker_id
+              WHERE a.nth = 1) WHERE rn = 1""",
+    "full_text": """
+        SELECT job_id, string_agg(text, ' ' ORDER BY seg_idx) AS text FROM segments GROUP BY job_id""",
+    "mentions": " UNION ALL ".join(
+        f"SELECT job_id, '{kind}' AS kind, unnest(regexp_extract_all({_bounded(kind)}, '{esc(p)}')) AS value FROM full_text"
+        for kind, p in {"person": lx.TITLED_PERSON, **lx.ENTITY_PATTERNS}.items()
+    ),
+    "entities": f"""
+        SELECT DISTINCT job_id, kind, value FROM (
+          SELECT * FROM mentions WHERE NOT (kind = 'acronym' AND value IN {_in(lx.SHORT_CAPS)})
+          UNION ALL SELECT job_id, 'person', display FROM names)""",
+    "seg_mentions": " UNION ALL ".join(
+        f"SELECT job_id, seg_idx, start_ms, speaker_id, '{kind}' AS kind, unnest(regexp_extract_all(text, '{esc(lx.ENTITY_PATTERNS[kind])}')) AS value FROM segments"
+        for kind in ("dollars", "percent", "date", "loan_id", "ticket", "url", "email")
+    ),
+    "topic_walk": """
+        SELECT job_id, seg_idx, start_ms, end_ms, CAST(0 AS BIGINT) AS chunk, start_ms AS chunk_start FROM segments WHERE seg_idx = 0
+        UNION ALL
+        SELECT s.job_id, s.seg_idx, s.start_ms, s.end_ms,
+               CASE WHEN s.start_ms - w.end_ms >= 8000 OR s.end_ms - w.chunk_start >= 300000 THEN w.chunk + 1 ELSE w.chunk END,
+               CASE WHEN s.start_ms - w.end_ms >= 8000 OR s.end_ms - w.chunk_start >= 300000 THEN s.start_ms ELSE w.chunk_start END
+        FROM topic_walk w JOIN segments s ON s.job_id = w.job_id AND s.seg_idx = w.seg_idx + 1""",
+    "topic_terms": f"""
+        SELECT * FROM (
+          SELECT *, row_number() OVER (PARTITION BY job_id, chunk ORDER BY n_seen DESC, first) AS place FROM (
+            SELECT job_id, chunk, term, count(*) AS n_seen, min(word_idx * 100000 + spot) AS first FROM (
+              SELECT w.job_id, t.chunk, w.word_idx, unnest(range(len(a))) AS spot, unnest(a) AS term
+              FROM (SELECT *, regexp_extract_all(lower(text), '[a-z]{{3,}}') AS a FROM words) w
+              JOIN topic_walk t USING (job_id, seg_idx))
+            WHERE term NOT IN {_in(lx.STOP_WORDS)} GROUP BY ALL)) WHERE place <= 3""",
+    "topics": """
+        SELECT c.job_id, c.chunk, start_ms, end_ms, coalesce(keywords, '') AS keywords,
+               CASE WHEN k IS NULL THEN 'General discussion' WHEN len(k) = 1 THEN 'Discussion about ' || k[1]
+                    ELSE 'Discussion about ' || k[1] || ', ' || k[2] END AS label
+        FROM (SELECT job_id, chunk, arg_min(start_ms, seg_idx) AS start_ms, arg_max(end_ms, seg_idx) AS end_ms
+              FROM topic_walk GROUP BY ALL) c
+        LEFT JOIN (SELECT job_id, chunk, string_agg(term, ',' ORDER BY place) AS keywords, list(term ORDER BY place) AS k
+                   FROM topic_terms GROUP BY ALL) t USING (job_id, chunk)""",
+    "timeline": """
+        SELECT * EXCLUDE (nth) FROM (
+          SELECT *, row_number() OVER (PARTITION BY job_id, at_ms, event ORDER BY kind_no, item_no) AS nth FROM (
+            SELECT job_id, arg_min(start_ms, seg_idx) AS at_ms, 0 AS kind_no, 0 AS item_no, 'Meeting begins' AS event, NULL AS speaker_id
+            FROM segments GROUP BY job_id
+            UNION ALL SELECT n.job_id, s.start_ms, 1, s.seg_idx, display || ' speaks', n.speaker_id
+            FROM names n JOIN segments s ON s.job_id = n.job_id AND s.seg_idx = n.first_seg
+            WHERE (SELECT count(*) FROM names m WHERE m.job_id = n.job_id) > 1
+            UNION ALL SELECT job_id, start_ms, 2, chunk, 'Topic: ' || CASE WHEN length(label) > 60 THEN left(label, 60) || '...' ELSE label END, NULL
+            FROM topics
+            UNION ALL SELECT job_id, at_ms, 3, sent_no, 'Decision: ' || CASE WHEN length(decision) > 60 THEN left(decision, 60) || '...' ELSE decision END, speaker_id
+            FROM decisions
+            UNION ALL SELECT job_id, at_ms, 4, sent_no, 'Action item: ' || CASE WHEN length(task) > 60 THEN left(task, 60) || '...' ELSE task END, speaker_id
+            FROM actions
+            UNION ALL SELECT job_id, arg_max(end_ms, seg_idx), 5, 0, 'Meeting ends', NULL FROM segments GROUP BY job_id)) WHERE nth = 1""",
+    "summary_terms": f"""
+        SELECT * FROM (
+          SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY n_seen DESC, first) AS place FROM (
+            SELECT job_id, term, count(*) AS n_seen, min(word_idx * 100000 + spot) AS first FROM (
+              SELECT job_id, word_idx, unnest(range(len(a))) AS spot, unnest(a) AS term
+              FROM (SELECT *, regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+') AS a FROM words))
+            WHERE regexp_full_match(term, '[a-z]{{4,}}') AND term NOT IN {_in(lx.STOP_WORDS)} GROUP BY ALL)) WHERE place <= 5""",
+    "introduced": " UNION ".join(
+        [
+            f"SELECT job_id, seg_idx, speaker_id, {str(sure).lower()} AS sure, strpos(text, m) AS at_char, regexp_extract(m, '{esc(p)}', 1) AS name "
+            f"FROM (SELECT *, unnest(regexp_extract_all(text, '{esc(p)}')) AS m FROM segments)"
+            for p, sure in [(p, True) for p in lx.INTRO_SURE] + [(p, False) for p in lx.INTRO_LIKELY]
+        ]
+    ),
+})
+
+_RECURSIVE = {"topic_walk"}
+
+
 def with_views(sql: str) -> str:
     """Prefix sql with the views it uses, directly or through others."""
     needed: set[str] = set()
@@ -96,12 +234,10 @@ def with_views(sql: str) -> str:
                 visit(VIEWS[name])
 
     visit(sql)
-    ctes = [f"{n} AS ({VIEWS[n]})" for n in VIEWS if n in needed]
-    body = sql.strip()
-    recursive = body.upper().startswith("WITH RECURSIVE")
-    own = re.match(r"(?is)^with\s+(recursive\s+)?(.*)$", body)
-    if not ctes:
-        return body
-    if own:
-        return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(ctes) + ",\n" + own.group(2)
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+    if not needed:
+        return sql.strip()
+    order = [n for n in VIEWS if n in needed]
+    own = re.match(r"(?is)^\s*with\s+(recursive\s+)?(.*)$", sql)
+    word = "WITH RECURSIVE " if needed & _RECURSIVE or (own and own.group(1)) else "WITH "
+    parts = [f"{n} AS {'' if n in _RECURSIVE else 'MATERIALIZED '}({VIEWS[n]})" for n in order]
+    return word + ",\n".join(parts) + (",\n" + own.group(2) if own else "\n" + sql.strip())

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.operators import attribution as at
+from colloquy.operators import entities as en
+from colloquy.operators import facts as fa
+from colloquy.operators import topics as tp
 from colloquy.operators.ordered import BLOCK_ROWS, Axis, running_sum, scan
 from colloquy.session import written
 
@@ -127,3 +130,29 @@ class Corpus:
         return self.timed_words().groupBy("job_id").agg(
             (F.max("end_ms") + 500).alias("duration_ms")
         ).withColumn("language", F.lit("en"))
+
+    # -- facts -------------------------------------------------------------------------
+
+    def actions(self) -> DataFrame:
+        return self.keep("actions", lambda: fa.action_items(self.sentences(), self.names()))
+
+    def decisions(self) -> DataFrame:
+        return self.keep("decisions", lambda: fa.decisions(self.sentences()))
+
+    def questions(self) -> DataFrame:
+        return self.keep("questions", lambda: fa.questions(self.sentences(), self.segments()))
+
+    def entities(self) -> DataFrame:
+        return self.keep("entities", lambda: en.entities(self.segments(), self.names()))
+
+    def topic_chunks(self) -> DataFrame:
+        return self.keep("topic_chunks", lambda: tp.topic_chunks(self.segments()))
+
+    def topics(self) -> DataFrame:
+        return self.keep("topics", lambda: tp.topics(self.words(), self.topic_chunks()))
+
+    def timeline(self) -> DataFrame:
+        return self.keep(
+            "timeline",
+            lambda: tp.timeline(self.segments(), self.names(), self.topics(), self.decisions(), self.actions()),
+        )

@@ -72,6 +72,9 @@ if __name__ == "__main__":
     from colloquy.session import local_session
 
     path, picked = sys.argv[1], sys.argv[2:]
+    import logging
+
+    logging.disable(logging.CRITICAL)
     session = local_session("8")
     session.sparkContext.setLogLevel("ERROR")
     con = duck(path)
