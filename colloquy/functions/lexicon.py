@@ -112,18 +112,6 @@ NOT_NAMES = (
     + " ".join(m.capitalize() for m in MONTHS.split("|"))
 ).split()
 
-# Vocabulary rows: canonical, aliases, confidence, context, fuzzy, case_sensitive.
-VOCABULARY = (
-    ("ACME Banking Group", ("acme bank", "acme"), 0.9, (), False, False),
-    ("ABC line item", ("abc item", "abc"), 0.7, ("cost", "budget"), False, False),
-    ("quarterly budget", ("budget for this quarter",), 0.9, ("budget",), False, False),
-    ("status report", ("the report",), 0.9, ("friday", "send"), False, False),
-    ("roadmap", ("new plan",), 0.85, (), False, False),
-    ("e-mail", ("mail",), 0.5, ("https", "cost"), False, False),
-    ("Alicia", ("Alice",), 0.95, ("name",), False, True),
-    ("ticket", ("tickett", "tikket"), 0.9, (), True, False),
-)
-
 # Word rules: replacement, pattern of the single word, pattern to find in the words around it.
 CONTEXT_RULES = (
     ("Friday EOD", r"(?i)^friday\.?$", r"(?i)\breport\b"),
