@@ -151,3 +151,13 @@ def concat_in_order(df: DataFrame, keys: list[str], index: str, text: str, sep:
         .agg(joined_text(text, [index], sep).alias(text))
     )
     return piece.groupBy(*keys).agg(joined_text(text, [_BLOCK], sep).alias(text))
+
+
+def with_halo(df: DataFrame, index: str, before: int, after: int) -> DataFrame:
+    """Copy rows near a block border into the neighbouring block, for windows of a few rows.
+
+    Window over (key, _block), then keep the rows where `_own = _block`.
+    """
+    shifts = sorted({-after, 0, before})
+    home = F.array_distinct(F.array(*[F.floor((F.col(index) + d) / BLOCK_ROWS) for d in shifts]))
+    return df.withColumn("_own", F.floor(F.col(index) / BLOCK_ROWS)).withColumn(_BLOCK, F.explode(home))

@@ -15,7 +15,7 @@ from pyspark.sql.types import DoubleType
 from colloquy.functions import lexicon as lx
 from colloquy.functions.text import bare_word, capitalised, glued
 from colloquy.operators.ordered import (
-    BLOCK_ROWS, concat_in_order, dense_axis, following, previous, running_sum, scan,
+    concat_in_order, dense_axis, following, previous, running_sum, scan, with_halo,
 )
 from colloquy.session import written
 from colloquy.sources.profiles import Profile
@@ -277,9 +277,7 @@ def neighbourhood(words: DataFrame, k: int = NEAR_WORDS, before: str = "text") -
     The words before are read from column `before`. Windows run inside blocks; words close to a
     border are copied into the neighbouring block.
     """
-    own = F.floor(F.col("word_idx") / BLOCK_ROWS)
-    home = F.array_distinct(F.array(*[F.floor((F.col("word_idx") + d) / BLOCK_ROWS) for d in (-k, 0, k)]))
-    spread = words.withColumn("_own", own).withColumn("_block", F.explode(home))
+    spread = with_halo(words, "word_idx", k, k)
     place = Window.partitionBy("job_id", "_block").orderBy("word_idx")
     left = F.collect_list(before).over(place.rowsBetween(-k, -1))
     right = F.collect_list("text").over(place.rowsBetween(0, k))

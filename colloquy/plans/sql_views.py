@@ -17,6 +17,11 @@ def rnd(expr: str, digits: int) -> str:
     return f"CAST(round(CAST({expr} AS DECIMAL(30, 12)), {digits}) AS DOUBLE)"
 
 
+def mean(expr: str) -> str:
+    """Mean over whole millionths, independent of row order."""
+    return f"(sum(CAST(round({expr} * 1000000) AS BIGINT)) / count({expr}) / 1000000.0)"
+
+
 _CUES = " ".join(f"WHEN {k} THEN '{v}'" for k, v in CUES.items())
 
 VIEWS: dict[str, str] = {

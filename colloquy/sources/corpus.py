@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from colloquy.operators import attribution as at
 from colloquy.operators import entities as en
 from colloquy.operators import facts as fa
+from colloquy.operators import processors as pr
 from colloquy.operators import topics as tp
 from colloquy.operators.ordered import BLOCK_ROWS, Axis, running_sum, scan
 from colloquy.session import written
+from colloquy.sources.profiles import load_profile
 
 # Sentences added to the given conversations, by (conv_id * 7 + turn) % 12: the given prose has no
 # conversational cues for the extractors to find. Fixed values shared with the SQL views.
@@ -156,3 +158,10 @@ class Corpus:
             "timeline",
             lambda: tp.timeline(self.segments(), self.names(), self.topics(), self.decisions(), self.actions()),
         )
+
+    def corrections(self) -> DataFrame:
+        """Corrections of the shipped sales vocabulary."""
+        return self.keep(
+            "corrections",
+            lambda: pr.correct_vocabulary(pr.transcripts(self.words(), self.segments()), load_profile("sales")).corrections,
+        )
