@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.operators import attribution as at
+from colloquy.operators import chunking as ck
 from colloquy.operators import entities as en
 from colloquy.operators import facts as fa
+from colloquy.operators import identity as idn
 from colloquy.operators import processors as pr
 from colloquy.operators import topics as tp
 from colloquy.operators.ordered import BLOCK_ROWS, Axis, running_sum, scan
@@ -165,3 +167,120 @@ class Corpus:
             "corrections",
             lambda: pr.correct_vocabulary(pr.transcripts(self.words(), self.segments()), load_profile("sales")).corrections,
         )
+
+    # -- recordings and recogniser output ------------------------------------------------
+
+    def asr_outputs(self) -> DataFrame:
+        """Nested recogniser output per turn, some of it without word times, starts, ends or scores."""
+        w = F.struct(
+            F.col("pos"),
+            F.when(F.col("pos") % 13 == 12, "  ").otherwise(F.col("text")).alias("word"),
+            F.when(F.col("pos") % 7 != 3, F.col("start_ms") / 1000.0).alias("start"),
+            F.when(F.col("pos") % 11 != 5, F.col("end_ms") / 1000.0).alias("end"),
+            F.when(F.col("pos") % 2 == 0, F.col("confidence")).alias("score"),
+            F.when(F.col("pos") % 2 == 1, F.col("confidence")).alias("probability"),
+        )
+        rows = self.timed_words().groupBy("job_id", "turn").agg(
+            F.min("start_ms").alias("s"), F.max("end_ms").alias("e"), F.array_sort(F.collect_list(w)).alias("w"),
+            F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("t"), F.count("*").alias("n"),
+        )
+        untimed = F.col("turn") % 5 == 0
+        seg = F.struct(
+            (F.col("s") / 1000.0).alias("start"),
+            (F.when(untimed, F.col("s") + 320 * F.col("n")).otherwise(F.col("e")) / 1000.0).alias("end"),
+            F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("text"),
+            F.when(~untimed, F.col("w")).alias("words"),
+        )
+        return rows.select("job_id", "turn", F.to_json(F.struct(F.array(seg).alias("segments"))).alias("segments_json"))
+
+    def hypotheses(self) -> DataFrame:
+        """Recogniser hypotheses per turn in three variants: word times, frame offsets, plain text."""
+        rel = F.col("start_ms") - F.col("s")
+        spans = self.timed_words().groupBy("job_id", "turn").agg(F.min("start_ms").alias("s"))
+        rows = self.timed_words().join(spans, ["job_id", "turn"])
+        text = F.when(F.col("pos") % 13 == 12, " ").otherwise(F.col("text"))
+        timed = F.struct(
+            "pos", text.alias("word"), (rel / 1000.0).alias("start"),
+            F.when(F.col("pos") % 5 != 0, (rel + 350) / 1000.0).alias("end"),
+        )
+        frame = F.floor(rel / 80)
+        framed = F.struct("pos", text.alias("word"), frame.alias("first"), F.when(F.col("pos") % 4 != 0, frame + 4).alias("last"))
+        variant = F.col("turn") % 3
+        return rows.groupBy("job_id", "turn").agg(
+            F.array_sort(F.collect_list(F.when(variant == 0, timed))).alias("word_times"),
+            F.array_sort(F.collect_list(F.when(variant == 1, framed))).alias("frames"),
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("text"),
+            (F.count("*") * 0.25).alias("duration_s"),
+        )
+
+    def asr_plan(self) -> DataFrame:
+        return ck.plan_asr_chunks(self.jobs())
+
+    def chunk_words(self) -> DataFrame:
+        """Words as each overlapping window hears them, with times relative to its start."""
+        near = F.explode(F.array(*[F.floor(F.col("start_ms") / 60_000) + d for d in (-1, 0, 1)]))
+        heard = self.timed_words().withColumn("chunk_idx", near).join(self.asr_plan(), ["job_id", "chunk_idx"]).filter(
+            (F.col("start_ms") >= F.col("read_start_ms")) & (F.col("start_ms") < F.col("read_end_ms"))
+        )
+        return heard.select(
+            "job_id", "chunk_idx", "text", (F.col("start_ms") - F.col("read_start_ms")).alias("rel_start_ms"),
+            (F.col("end_ms") - F.col("read_start_ms")).alias("rel_end_ms"), "confidence",
+        )
+
+    def diar_plan(self) -> DataFrame:
+        return ck.plan_diar_chunks(self.jobs(), 3)
+
+    def chunk_turns(self) -> DataFrame:
+        """Turns as each diarization chunk labels them: chunk 1 swaps 00 and 01, chunk 2 swaps 00 and 02."""
+        pieces = self.turns().join(self.diar_plan(), "job_id").filter("start_ms < chunk_end_ms and end_ms > chunk_start_ms")
+        swapped = (
+            F.when(F.col("chunk_idx") == 1, F.translate("speaker_id", "01", "10"))
+            .when(F.col("chunk_idx") == 2, F.translate("speaker_id", "02", "20"))
+            .otherwise(F.col("speaker_id"))
+        )
+        label = F.concat(F.lit("SPEAKER_0"), F.substring(swapped, 10, 1))
+        return pieces.select(
+            "job_id", "chunk_idx", label.alias("speaker_id"), F.greatest("start_ms", "chunk_start_ms").alias("start_ms"),
+            F.least("end_ms", "chunk_end_ms").alias("end_ms"),
+        )
+
+    def recordings(self) -> DataFrame:
+        """Uploaded recordings from `orders`."""
+        return self.table("orders").select(
+            F.col("o_orderkey").alias("job_id"), (F.col("o_orderkey") * 7919 % 7200 * 1000 + 250).alias("duration_ms")
+        )
+
+    def audio_frames(self) -> DataFrame:
+        return self.table("lineitem").select(
+            F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("frame_idx"), F.col("l_discount").alias("rms")
+        )
+
+    def sample_windows(self) -> DataFrame:
+        return self.table("lineitem").select(F.col("l_orderkey").alias("job_id"), (F.col("l_tax") * 10).alias("std"))
+
+    # -- voices --------------------------------------------------------------------------
+
+    def voice_windows(self) -> DataFrame:
+        """Voice vectors, ten to a speaker."""
+        g = F.floor(F.col("vec_id") / 10)
+        return self.table("embeddings").select(
+            F.floor(g / 3).alias("job_id"), F.concat(F.lit("SPEAKER_0"), (g % 3).cast("string")).alias("speaker_id"),
+            F.col("embedding").cast("array<double>").alias("embedding"), "vec_id",
+        )
+
+    def stored_vectors(self) -> DataFrame:
+        """Vectors enrolled earlier: between three and eight of the ten, none for some profiles."""
+        g = F.floor(F.col("vec_id") / 10)
+        return self.table("embeddings").filter((F.col("vec_id") % 10 < 3 + g % 6) & (g % 11 != 5)).select(
+            F.concat(F.lit("P"), F.lpad(g.cast("string"), 9, "0")).alias("profile_id"), (F.col("vec_id") % 7).alias("job_id"),
+            F.col("embedding").cast("array<double>").alias("embedding"),
+        )
+
+    def profiles(self) -> DataFrame:
+        g = F.floor(F.col("vec_id") / 10)
+        rows = self.table("embeddings").select(g.alias("g")).distinct()
+        name = F.when(F.col("g") % 5 == 2, "Alice").otherwise(F.concat(F.lit("Voice "), F.col("g").cast("string")))
+        return rows.select(
+            F.concat(F.lit("P"), F.lpad(F.col("g").cast("string"), 9, "0")).alias("profile_id"), name.alias("display_name"),
+            F.when(F.col("g") % 2 == 0, "confirmed").otherwise("inferred").alias("status"),
+        ).join(idn.centroids(self.stored_vectors(), ["profile_id"]), "profile_id", "left")

@@ -61,8 +61,8 @@ def compare(spark, con, name, q, path):
     if a[0] != b[0]:
         return f"BAD columns {a[0]} / {b[0]}", t1 - t0, t2 - t1
     if a[1] != b[1]:
-        only_a = [r for r in a[1] if r not in set(b[1])][:2]
-        only_b = [r for r in b[1] if r not in set(a[1])][:2]
+        only_a = sorted(set(a[1]) - set(b[1]))[:2]
+        only_b = sorted(set(b[1]) - set(a[1]))[:2]
         return f"BAD rows {len(got)} / {len(want)}\n   spark {only_a}\n   sql   {only_b}{note}", t1 - t0, t2 - t1
     return f"ok {len(got)}{note}" + ("  EMPTY" if not got else ""), t1 - t0, t2 - t1
 
