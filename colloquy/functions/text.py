@@ -45,5 +45,5 @@ def capitalised(text: Column) -> Column:
 
 
 def percent(share: Column, digits: int = 0) -> Column:
-    """A share as percent text, halves away from zero."""
-    return F.concat(F.format_number(F.round(share * 100, digits), f"0{'.' + '0' * digits if digits else ''}"), F.lit("%"))
+    """A share as percent text, halves to the even digit."""
+    return F.format_string(f"%.{digits}f%%", F.bround(share * 100, digits))

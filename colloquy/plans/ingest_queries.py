@@ -221,7 +221,7 @@ VIEWS["voice_matches"] = """
     SELECT job_id, speaker_id, sim AS similarity, CASE WHEN sim >= 0.8 THEN 'high' WHEN sim >= 0.65 THEN 'medium' ELSE 'unknown' END AS confidence,
            CASE WHEN sim >= 0.65 THEN profile_id END AS profile_id, CASE WHEN sim >= 0.65 THEN display_name END AS display_name
     FROM (SELECT *, row_number() OVER (PARTITION BY job_id, speaker_id ORDER BY sim DESC, profile_id) AS nth FROM (
-      SELECT v.job_id, v.speaker_id, p.profile_id, list_cosine_similarity(v.mean, p.mean) AS sim FROM voice_means v, profile_means p))
+      SELECT v.job_id, v.speaker_id, p.profile_id, list_cosine_similarity(v.mean, p.mean) AS sim FROM voice_means v CROSS JOIN profile_means p))
     JOIN profile_names USING (profile_id) WHERE nth = 1"""
 VIEWS["sure_intros"] = f"""
     SELECT job_id, speaker_id, name FROM (

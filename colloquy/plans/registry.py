@@ -16,11 +16,16 @@ class Query:
     name: str
     covers: tuple[str, ...]
     build: Callable[[Corpus], DataFrame]
-    sql: str | None
+    check: str | None
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         return self.build(corpus(spark, sf_dir))
 
+    @property
+    def sql(self) -> str | None:
+        """The check with all the views it uses in front."""
+        return with_views(self.check) if self.check else None
+
 
 QUERIES: dict[str, Query] = {}
 
@@ -35,7 +40,7 @@ def query(covers: str, sql: str | None = None):
         name = build.__name__
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = Query(name, tuple(covers.split()), build, with_views(sql) if sql else None)
+        QUERIES[name] = Query(name, tuple(covers.split()), build, sql)
         return build
 
     return register

@@ -230,19 +230,20 @@ _RECURSIVE = {"topic_walk"}
 
 def with_views(sql: str) -> str:
     """Prefix sql with the views it uses, directly or through others."""
-    needed: set[str] = set()
+    seen: set[str] = set()
+    order: list[str] = []
 
     def visit(text: str) -> None:
         for name in VIEWS:
-            if name not in needed and re.search(rf"\b{name}\b", text):
-                needed.add(name)
+            if name not in seen and re.search(rf"(?i)\b(?:from|join)\s+{name}\b", text):
+                seen.add(name)
                 visit(VIEWS[name])
+                order.append(name)
 
     visit(sql)
-    if not needed:
+    if not order:
         return sql.strip()
-    order = [n for n in VIEWS if n in needed]
     own = re.match(r"(?is)^\s*with\s+(recursive\s+)?(.*)$", sql)
-    word = "WITH RECURSIVE " if needed & _RECURSIVE or (own and own.group(1)) else "WITH "
+    word = "WITH RECURSIVE " if seen & _RECURSIVE or (own and own.group(1)) else "WITH "
     parts = [f"{n} AS {'' if n in _RECURSIVE else 'MATERIALIZED '}({VIEWS[n]})" for n in order]
     return word + ",\n".join(parts) + (",\n" + own.group(2) if own else "\n" + sql.strip())

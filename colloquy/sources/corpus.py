@@ -6,7 +6,7 @@ tables many operators read (words, segments, sentences) are written once per ses
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.operators import attribution as at
@@ -16,9 +16,11 @@ from colloquy.operators import facts as fa
 from colloquy.operators import identity as idn
 from colloquy.operators import processors as pr
 from colloquy.operators import topics as tp
+from colloquy.operators.ops import ARTIFACTS
 from colloquy.operators.ordered import BLOCK_ROWS, Axis, running_sum, scan
 from colloquy.session import written
 from colloquy.sources.profiles import load_profile
+from colloquy.streaming import progress as pg
 
 # Sentences added to the given conversations, by (conv_id * 7 + turn) % 12: the given prose has no
 # conversational cues for the extractors to find. Fixed values shared with the SQL views.
@@ -33,6 +35,21 @@ CUES = {
     7: " This is Robert from Acme Bank, right?",
 }
 
+# Values the derived operations tables cycle through.
+UPLOAD_ENDS = (".wav", ".mp3", ".m4a", ".exe", ".MP4", ".txt", "")
+RUN_STAGES = ("transcribe", "diarize", "merge", "proc_cleanup", "proc_vocabulary", "intel_actions", "intel_topics", "export")
+STAGES = ("preprocess", "transcribe", "diarize", "merge", "process", "export_prep", "elsewhere")
+MESSAGES = (
+    "Loading Whisper model", "Loading diarization model", "Preprocessing audio", "Transcribing chunk 3/9", "Aligning words",
+    "diarizing voices", "merging now", "vocabulary pass", "exporting files", "finalizing", "Done", "waiting", "diariz load",
+)
+
+
+def millis(ts) -> Column:
+    """Milliseconds of a timestamp without time zone."""
+    return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+
+
 _open: dict[tuple[str, str], "Corpus"] = {}
 
 
@@ -284,3 +301,82 @@ class Corpus:
             F.concat(F.lit("P"), F.lpad(F.col("g").cast("string"), 9, "0")).alias("profile_id"), name.alias("display_name"),
             F.when(F.col("g") % 2 == 0, "confirmed").otherwise("inferred").alias("status"),
         ).join(idn.centroids(self.stored_vectors(), ["profile_id"]), "profile_id", "left")
+
+    # -- job tables and events -----------------------------------------------------------
+
+    def job_table(self) -> DataFrame:
+        """Jobs from `orders`; every seventh was deleted a day after it was made."""
+        made = millis(F.col("o_orderdate"))
+        return self.table("orders").select(
+            F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("owner_id"), made.alias("created_ms"),
+            F.when(F.col("o_orderkey") % 7 == 0, made + 86_400_000).alias("deleted_ms"),
+            F.concat(F.lit("uploads/"), F.col("o_orderkey").cast("string")).alias("audio_key"),
+        )
+
+    def job_events(self) -> DataFrame:
+        return self.table("events").select(
+            "event_id", F.col("user_id").alias("job_id"), millis(F.col("ts")).alias("ts_ms"), F.col("event_type").alias("kind"), "value"
+        )
+
+    def uploads(self) -> DataFrame:
+        ends = F.array(*[F.lit(x) for x in UPLOAD_ENDS])
+        return self.table("documents").select(
+            F.col("doc_id").alias("upload_id"),
+            F.concat("source", F.lit("/call#"), F.col("doc_id").cast("string"), F.lit(" v1"), ends[(F.col("doc_id") % len(UPLOAD_ENDS)).cast("int")]).alias("file_name"),
+            F.col("n_chars").alias("size_mb"),
+        )
+
+    def artifact_listing(self) -> DataFrame:
+        names = F.array(*[F.lit(a) for a in ARTIFACTS])
+        return self.table("lineitem").select(
+            F.col("l_orderkey").alias("job_id"), names[(F.col("l_partkey") % len(ARTIFACTS)).cast("int")].alias("artifact"),
+            F.col("l_quantity").cast("long").alias("size_bytes"),
+        )
+
+    def stage_runs(self) -> DataFrame:
+        stages = F.array(*[F.lit(x) for x in RUN_STAGES])
+        return self.table("lineitem").select(
+            F.col("l_orderkey").alias("job_id"), stages[(F.col("l_partkey") % len(RUN_STAGES)).cast("int")].alias("stage"),
+            F.col("l_quantity").alias("duration_s"), F.when(F.col("l_returnflag") == "R", "beside").otherwise("alone").alias("variant"),
+        )
+
+    def progress_lines(self) -> DataFrame:
+        """Progress events as JSON lines, one in eight malformed and some of unknown type."""
+        i = F.col("event_id")
+        fraction = F.concat(F.lit("0."), F.lpad((i % 100).cast("string"), 2, "0"))
+        message = F.array(*[F.lit(m) for m in MESSAGES])[(i % len(MESSAGES)).cast("int")]
+        stage = F.array(*[F.lit(x) for x in STAGES])[(i % len(STAGES)).cast("int")]
+        kind = i % 8
+        payload = (
+            F.when(kind.isin(0, 5), F.format_string('{"type":"stage","stage":"%s","fraction":%s,"message":"%s"}', stage, fraction, message))
+            .when(kind == 1, F.format_string('{"type":"resource","cpu_pct":%s,"ram_gb":%s.5}', (i % 97).cast("string"), (i % 9).cast("string")))
+            .when(kind == 2, F.format_string('{"type":"chunk_progress","current":%s,"total":9}', (i % 9).cast("string")))
+            .when(kind == 3, F.lit('{"type":"partial_transcript","message":"words"}'))
+            .when(kind == 4, F.lit('{"type":"audio_info","audio_duration":61.5}'))
+            .when(kind == 6, F.lit("{broken"))
+            .when(i % 256 == 7, F.lit('{"type":"completed"}'))
+            .when(i % 256 == 15, F.lit('{"type":"error","message":"CUDA device lost"}'))
+            .otherwise(F.lit('{"type":"mystery"}'))
+        )
+        return self.table("events").select(
+            "event_id", F.col("user_id").alias("job_id"), millis(F.col("ts")).alias("ts_ms"), payload.alias("payload")
+        )
+
+    def progress_events(self) -> DataFrame:
+        return pg.decode(self.progress_lines())
+
+    def stage_word_counts(self) -> DataFrame:
+        """Words of each meeting after recognition, stitching, attribution, cleanup and correction."""
+        vocabulary = self.keep(
+            "vocabulary_words",
+            lambda: pr.correct_vocabulary(pr.transcripts(self.words(), self.segments()), load_profile("sales")).words,
+        )
+        steps = {
+            "recognition": self.chunk_words(), "stitching": ck.stitch_words(self.chunk_words(), self.asr_plan()),
+            "attribution": self.words(), "cleanup": pr.without_repeats(self.words()), "vocabulary": vocabulary,
+        }
+        out = None
+        for no, (name, df) in enumerate(steps.items()):
+            n = df.groupBy("job_id").agg(F.lit(no).alias("stage_no"), F.lit(name).alias("stage"), F.count("*").alias("n_words"))
+            out = n if out is None else out.union(n)
+        return out
