@@ -106,11 +106,16 @@ def artifact_report(jobs: DataFrame, listing: DataFrame) -> DataFrame:
     )
 
 
-def artifact_totals(report: DataFrame) -> DataFrame:
-    return report.groupBy("job_id").agg(
-        F.count("*").alias("n_expected"), F.count_if(F.col("status") == "ok").alias("n_present"),
-        F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("total_bytes"),
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("status") == "missing", F.col("artifact")))), ",").alias("missing"),
+def artifact_totals(jobs: DataFrame, listing: DataFrame) -> DataFrame:
+    """Present and missing artifacts per job; a job has at most as many as there are expected names."""
+    present = listing.filter(F.col("artifact").isin(*ARTIFACTS)).groupBy("job_id", "artifact").agg(
+        F.max("size_bytes").alias("size_bytes")
+    ).groupBy("job_id").agg(F.collect_set("artifact").alias("have"), F.sum("size_bytes").alias("total_bytes"))
+    expected = F.array(*[F.lit(a) for a in sorted(ARTIFACTS)])
+    have = F.coalesce("have", F.array().cast("array<string>"))
+    return jobs.join(present, "job_id", "left").select(
+        "job_id", F.lit(len(ARTIFACTS)).cast("long").alias("n_expected"), F.size(have).cast("long").alias("n_present"),
+        F.coalesce("total_bytes", F.lit(0)).alias("total_bytes"), F.array_join(F.array_except(expected, have), ",").alias("missing"),
     )
 
 

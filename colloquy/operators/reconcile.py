@@ -76,11 +76,10 @@ def reconcile(chunk_turns: DataFrame, plan: DataFrame, chunks: int) -> DataFrame
     partner gets the next free SPEAKER_nn, in order of first words. Meetings of one chunk are
     returned as they are.
     """
-    turns = chunk_turns.withColumn(
-        "turn_no", F.col("chunk_idx") * F.lit(1 << 40) + F.row_number().over(
-            Window.partitionBy("job_id", "chunk_idx").orderBy("start_ms", "end_ms", "speaker_id")
-        )
-    )
+    # Order of turns, without gathering a meeting to number them.
+    turn_no = F.struct("chunk_idx", "start_ms", "end_ms", "speaker_id")
+    turns = written(chunk_turns.withColumn("turn_no", turn_no), "chunk_turns")
+    plan = written(plan, "chunk_plan")
     several = plan.groupBy("job_id").agg(F.count("*").alias("n"))
     first = turns.filter("chunk_idx = 0")
     suffix = F.regexp_extract("speaker_id", r"^SPEAKER_(\d+)$", 1)

@@ -110,7 +110,7 @@ def run_documents(c: Corpus) -> DataFrame:
     stages = ops.stage_report(events.withColumnRenamed("kind", "stage"))
     samples = events.select("job_id", (F.col("value") % 100).alias("cpu_pct"), (F.col("value") / 100).alias("ram_gb"), (F.col("value") / 1000).alias("swap_gb"))
     jobs = events.select("job_id").distinct()
-    artifacts = ops.artifact_totals(ops.artifact_report(jobs, c.artifact_listing()))
+    artifacts = ops.artifact_totals(jobs, c.artifact_listing())
     return rn.documents(rn.run_report(jobs, stages, ops.resource_summary(samples), artifacts), 1 << 40)
 
 

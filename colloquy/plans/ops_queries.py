@@ -128,7 +128,15 @@ def failure_classes(c: Corpus) -> DataFrame:
     FROM (SELECT job_id, unnest([{sql_list(ops.ARTIFACTS)}]) AS artifact FROM job_table)
     LEFT JOIN (SELECT job_id, artifact, max(size_bytes) AS size_bytes FROM artifact_listing GROUP BY ALL) USING (job_id, artifact) GROUP BY job_id""")
 def artifact_completeness(c: Corpus) -> DataFrame:
-    return ops.artifact_totals(ops.artifact_report(c.job_table(), c.artifact_listing()))
+    return ops.artifact_totals(c.job_table(), c.artifact_listing())
+
+
+@query("C14", f"""
+    SELECT job_id, artifact, size_bytes, CASE WHEN size_bytes IS NULL THEN 'missing' ELSE 'ok' END AS status
+    FROM (SELECT job_id, unnest([{sql_list(ops.ARTIFACTS)}]) AS artifact FROM job_table)
+    LEFT JOIN (SELECT job_id, artifact, max(size_bytes) AS size_bytes FROM artifact_listing GROUP BY ALL) USING (job_id, artifact)""")
+def artifact_status(c: Corpus) -> DataFrame:
+    return ops.artifact_report(c.job_table(), c.artifact_listing())
 
 
 @query("D10", f"""

@@ -94,7 +94,7 @@ class Corpus:
         only one row per turn takes part in the running sum.
         """
         turns = self.utterances().withColumn("tokens", F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(1)))
-        counts = turns.select("job_id", "turn", F.size("tokens").cast("long").alias("n"))
+        counts = written(turns.select("job_id", "turn", F.size("tokens").cast("long").alias("n")), "token_counts")
         axis = Axis(("job_id",), ("turn",), F.floor(F.col("turn") / BLOCK_ROWS))
         offsets = scan(counts, axis, upto=running_sum(F.col("n"))).select(
             "job_id", "turn", (F.col("upto") - F.col("n")).alias("offset")
@@ -116,6 +116,9 @@ class Corpus:
         return self.keep("timed_words", self.raw_words)
 
     def turns(self) -> DataFrame:
+        return self.keep("turns", self._turns)
+
+    def _turns(self) -> DataFrame:
         """Diarization turns: some start late, some overlap the next one, some leave gaps."""
         speaker = (
             F.when(F.col("role") == "system", "SPEAKER_02")
@@ -148,9 +151,9 @@ class Corpus:
 
     def jobs(self) -> DataFrame:
         """One row per meeting: language and length (half a second after the last word)."""
-        return self.timed_words().groupBy("job_id").agg(
+        return self.keep("jobs", lambda: self.timed_words().groupBy("job_id").agg(
             (F.max("end_ms") + 500).alias("duration_ms")
-        ).withColumn("language", F.lit("en"))
+        ).withColumn("language", F.lit("en")))
 
     # -- facts -------------------------------------------------------------------------
 
