@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.operators.ordered import dense_axis, following, scan
+
 SECOND = 1_000
 
 
@@ -157,10 +159,9 @@ def normalise_hypotheses(hyps: DataFrame, keys: list[str], frame_s: float = 0.08
 
 def stitch_words(chunk_words: DataFrame, plan: DataFrame) -> DataFrame:
     """Words of overlapping windows on the meeting's time line, each from the one window that owns it."""
-    order = Window.partitionBy("job_id").orderBy("chunk_idx")
-    owned = plan.select(
-        "job_id", "chunk_idx", "read_start_ms", F.col("nominal_start_ms").alias("_from"),
-        F.lead("nominal_start_ms").over(order).alias("_until"),
+    owned = scan(
+        plan.select("job_id", "chunk_idx", "read_start_ms", F.col("nominal_start_ms").alias("_from")),
+        dense_axis("job_id", "chunk_idx"), _until=following(F.col("_from")),
     )
     placed = chunk_words.join(owned, ["job_id", "chunk_idx"])
     start = F.col("rel_start_ms") + F.col("read_start_ms")

@@ -13,7 +13,7 @@ from colloquy.operators.ordered import Axis, running_sum, scan
 from colloquy.session import written
 
 HOUR_MS = 3_600_000
-FOLD_ROWS = 50_000
+FOLD_ROWS = 5_000
 
 
 def rank_below(values: DataFrame, probes: DataFrame, value: str, probe: str) -> DataFrame:

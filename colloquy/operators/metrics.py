@@ -139,5 +139,4 @@ def suggested_vocabulary(words: DataFrame, least: int = 3) -> DataFrame:
     counted = words.select(term.alias("term")).filter("term <> ''").groupBy("term").agg(F.count("*").alias("n_seen"))
     total = counted.agg(F.sum("n_seen").alias("n_total"))
     shaped = F.col("term").rlike("^[A-Z][A-Z0-9_]+$") | F.col("term").rlike("^[A-Z][a-z]{2,}$")
-    # One-row total: a scalar broadcast.
-    return counted.filter((F.col("n_seen") >= least) & shaped).crossJoin(F.broadcast(total))
+    return counted.filter((F.col("n_seen") >= least) & shaped).withColumn("n_total", total.scalar())

@@ -158,6 +158,5 @@ def with_halo(df: DataFrame, index: str, before: int, after: int) -> DataFrame:
 
     Window over (key, _block), then keep the rows where `_own = _block`.
     """
-    shifts = sorted({-after, 0, before})
-    home = F.array_distinct(F.array(*[F.floor((F.col(index) + d) / BLOCK_ROWS) for d in shifts]))
+    home = F.sequence(F.floor((F.col(index) - after) / BLOCK_ROWS), F.floor((F.col(index) + before) / BLOCK_ROWS))
     return df.withColumn("_own", F.floor(F.col(index) / BLOCK_ROWS)).withColumn(_BLOCK, F.explode(home))

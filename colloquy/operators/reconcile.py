@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.operators.ordered import dense_axis, previous, scan
 from colloquy.session import written
 
 LEAST_OVERLAP_MS = 500
@@ -60,8 +61,8 @@ def greedy_map(votes: DataFrame) -> DataFrame:
 
 def clip_seams(chunk_turns: DataFrame, plan: DataFrame) -> DataFrame:
     """Turns without the part that the chunk before already covers, longer than 0.1 s."""
-    order = Window.partitionBy("job_id").orderBy("chunk_idx")
-    seam = plan.select("job_id", "chunk_idx", F.lag("chunk_end_ms").over(order).alias("seam_end"))
+    ends = plan.select("job_id", "chunk_idx", "chunk_end_ms")
+    seam = scan(ends, dense_axis("job_id", "chunk_idx"), seam_end=previous(F.col("chunk_end_ms"))).drop("chunk_end_ms")
     start = F.greatest("start_ms", F.coalesce("seam_end", "start_ms"))
     return chunk_turns.join(seam, ["job_id", "chunk_idx"]).filter(
         F.col("seam_end").isNull() | (F.col("end_ms") > F.col("seam_end"))

@@ -17,7 +17,8 @@ from colloquy.functions.timefmt import clock, duration_text, srt_time, vtt_time
 from colloquy.operators import review as rv
 from colloquy.operators.attribution import with_display_names
 from colloquy.operators.metrics import LOW
-from colloquy.operators.ordered import concat_in_order, dense_axis, previous, scan
+from colloquy.operators.ordered import BLOCK_ROWS, Axis, concat_in_order, dense_axis, previous, running_sum, scan
+from colloquy.session import written
 
 PART_LINES = 10_000
 _WIDE = 1 << 20
@@ -34,8 +35,15 @@ def blocks(df: DataFrame, place: Column, *parts: Column) -> DataFrame:
     )
 
 
+def dense(rendered: DataFrame) -> DataFrame:
+    """Number lines 0, 1, 2, ... in each meeting; reports number theirs with gaps."""
+    axis = Axis(("job_id",), ("line_no", "line"), F.floor(F.col("line_no") / BLOCK_ROWS))
+    counted = scan(written(rendered, "report_lines"), axis, nth=running_sum(F.lit(1)))
+    return counted.select("job_id", (F.col("nth") - 1).cast("long").alias("line_no"), "line")
+
+
 def documents(rendered: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
-    """(job_id, part, content); parts cover ranges of line numbers."""
+    """(job_id, part, content); a part holds at most part_lines lines of a densely numbered document."""
     rows = F.array_sort(F.collect_list(F.struct("line_no", "line")))
     return rendered.groupBy("job_id", F.floor(F.col("line_no") / part_lines).alias("part")).agg(
         F.concat(F.array_join(F.transform(rows, lambda r: r["line"]), "\n"), F.lit("\n")).alias("content")

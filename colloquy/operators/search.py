@@ -78,10 +78,7 @@ def typed_search(typed: str, segs: DataFrame, names: DataFrame, shown: int = 50)
     found = segs.filter(_has(F.col("text"), typed.strip())).orderBy("job_id", "seg_idx").limit(shown + 1)
     more = found.agg((F.count("*") > shown).alias("truncated"))
     kept = found.orderBy("job_id", "seg_idx").limit(shown)
-    # `more` is one row.
-    return with_display_names(kept, names).crossJoin(F.broadcast(more)).select(
-        "job_id", "seg_idx", "start_ms", "display", "text", "truncated"
-    )
+    return with_display_names(kept, names).select("job_id", "seg_idx", "start_ms", "display", "text", more.scalar().alias("truncated"))
 
 
 def _rows(df: DataFrame, section: str, place: Column, *fields) -> DataFrame:

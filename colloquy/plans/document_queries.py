@@ -62,7 +62,7 @@ def quality_documents(c: Corpus) -> DataFrame:
         c.jobs(), me.transcript_stats(w, s, c.corrections()), me.low_segments_by_count(w, s), c.corrections(),
         me.frequent_names(w, c.names()), me.unknown_acronyms(w, c.corrections()), me.repeated_uncertain(w),
     )
-    return rn.documents(lines.union(rn.correction_report(c.jobs(), c.corrections()).withColumn("line_no", F.col("line_no") + (1 << 50))), 1 << 40)
+    return rn.documents(rn.dense(lines.union(rn.correction_report(c.jobs(), c.corrections()).withColumn("line_no", F.col("line_no") + (1 << 50)))))
 
 
 @query("J6", """
@@ -83,7 +83,7 @@ def fact_documents(c: Corpus) -> DataFrame:
     }
     out = None
     for name, lines in reports.items():
-        docs = rn.documents(lines, 1 << 40).select("job_id", F.lit(name).alias("artifact"), "part", "content")
+        docs = rn.documents(rn.dense(lines)).select("job_id", F.lit(name).alias("artifact"), "part", "content")
         out = docs if out is None else out.union(docs)
     return out
 
@@ -101,7 +101,7 @@ def review_documents(c: Corpus) -> DataFrame:
         c.jobs(), rv.uncertain_words(w, c.sentences(), n), me.low_segments_by_average(w, s), timed, me.doubtful_names(w, s, n),
         en.first_mentions(s, n), en.bare_numbers(s, n), rv.short_segments(s), rv.rapid_switches(s), rv.alternating_pairs(s), n,
     )
-    return rn.documents(lines, 1 << 40)
+    return rn.documents(rn.dense(lines))
 
 
 @query("J7")
@@ -111,7 +111,7 @@ def run_documents(c: Corpus) -> DataFrame:
     samples = events.select("job_id", (F.col("value") % 100).alias("cpu_pct"), (F.col("value") / 100).alias("ram_gb"), (F.col("value") / 1000).alias("swap_gb"))
     jobs = events.select("job_id").distinct()
     artifacts = ops.artifact_totals(jobs, c.artifact_listing())
-    return rn.documents(rn.run_report(jobs, stages, ops.resource_summary(samples), artifacts), 1 << 40)
+    return rn.documents(rn.dense(rn.run_report(jobs, stages, ops.resource_summary(samples), artifacts)))
 
 
 @query("A1 A2 A6", """

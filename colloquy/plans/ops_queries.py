@@ -312,8 +312,7 @@ def expired_files(c: Corpus) -> DataFrame:
     files = c.job_table().select(
         "job_id", F.when(F.col("job_id") % 3 == 0, "temp").otherwise("output").alias("kind"), F.col("created_ms").alias("modified_ms")
     )
-    now = files.agg((F.max("modified_ms") + 3_600_000).alias("now_ms"))
-    return pg.expired(files.crossJoin(F.broadcast(now)), F.col("now_ms")).drop("now_ms")
+    return pg.expired(files, files.agg(F.max("modified_ms") + 3_600_000).scalar())
 
 
 @query("M1 M2 M3", """

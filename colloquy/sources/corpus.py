@@ -91,16 +91,14 @@ class Corpus:
         """Tokens with times: 400 ms apart, 1.5 s more per turn, a 9 s pause every 4 turns.
 
         A word's index is the token count of the earlier turns plus its place in its own turn, so
-        only one row per turn takes part in the running sum.
+        the running sum goes over turns, not words.
         """
-        turns = self.utterances().withColumn("tokens", F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(1)))
-        counts = written(turns.select("job_id", "turn", F.size("tokens").cast("long").alias("n")), "token_counts")
+        tokens = F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(1))
+        turns = self.utterances().select("job_id", "turn", "role", tokens.alias("tokens")).withColumn("n", F.size("tokens").cast("long"))
         axis = Axis(("job_id",), ("turn",), F.floor(F.col("turn") / BLOCK_ROWS))
-        offsets = scan(counts, axis, upto=running_sum(F.col("n"))).select(
-            "job_id", "turn", (F.col("upto") - F.col("n")).alias("offset")
-        )
-        rows = turns.join(offsets, ["job_id", "turn"]).select(
-            "job_id", "turn", "role", "offset", F.posexplode("tokens").alias("pos", "text")
+        placed = scan(written(turns, "tokenised"), axis, upto=running_sum(F.col("n")))
+        rows = placed.select(
+            "job_id", "turn", "role", (F.col("upto") - F.col("n")).alias("offset"), F.posexplode("tokens").alias("pos", "text")
         )
         index = F.col("offset") + F.col("pos")
         base = index * 400 + F.col("turn") * 1500 + F.floor(F.col("turn") / 4) * 9000

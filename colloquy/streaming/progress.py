@@ -111,11 +111,10 @@ def live_progress(events: DataFrame) -> DataFrame:
 def stalls(events: DataFrame) -> DataFrame:
     """Batch: silences of 45 minutes after an event that did not end the job, up to the last event seen."""
     own = events.filter(~F.col("type").isin(*NOT_PIPELINE))
-    until = events.agg(F.max("ts_ms").alias("seen_ms"))
+    until = events.agg(F.max("ts_ms")).scalar()
     nexts = scan(own.select("job_id", "ts_ms", "event_id", "type"), time_axis(), next_ms=following(F.col("ts_ms")))
-    # `until` is one row.
-    idle = F.coalesce("next_ms", "seen_ms") - F.col("ts_ms")
-    return nexts.crossJoin(F.broadcast(until)).filter((idle >= STALL_MS) & ~F.col("type").isin(*TERMINAL)).select(
+    idle = F.coalesce(F.col("next_ms"), until) - F.col("ts_ms")
+    return nexts.filter((idle >= STALL_MS) & ~F.col("type").isin(*TERMINAL)).select(
         "job_id", "event_id", "ts_ms", (F.col("ts_ms") + STALL_MS).alias("stalled_ms")
     )
 
