@@ -10,7 +10,7 @@ from colloquy.operators.jumps import HOUR_MS
 from colloquy.operators.ordered import Axis, following, scan
 
 # Accepted upload types and artifact names of a finished job. Fixed values.
-SUFFIXES = (".aac", ".flac", ".m4a", ".mov", ".mp3", ".mp4", ".ogg", ".wav")
+SUFFIXES = (".aac", ".mp3", ".wav", ".m4a", ".flac", ".mp4", ".mov", ".ogg")
 MOST_MB = 2_000
 ARTIFACTS = (
     "transcript.md transcript.json transcript.txt transcript.srt transcript.vtt transcript.stats.json "

@@ -68,7 +68,7 @@ def scan(df: DataFrame, axis: Axis, **outputs: Running) -> DataFrame:
     """Add each running output as a column; exact for any block size."""
     keys = list(axis.keys)
     blocked = df.withColumn(_BLOCK, axis.block)
-    place = F.struct(*axis.order)
+    place = F.col(axis.order[0]) if len(axis.order) == 1 else F.struct(*axis.order)
     totals = blocked.groupBy(*keys, _BLOCK).agg(
         *[_total(r, place).alias(f"_t_{n}") for n, r in outputs.items()]
     )
