@@ -11,7 +11,7 @@ from colloquy.operators import facts as fa
 from colloquy.operators import introductions as intro
 from colloquy.operators import topics as tp
 from colloquy.plans.registry import query
-from colloquy.plans.sql_views import sql_list
+from colloquy.plans.sql_views import esc, sql_list
 from colloquy.sources.corpus import Corpus
 
 _ACTION = "job_id, sent_no, seg_idx, speaker_id, at_ms, text, task, owner, due_date, confidence, reason"
@@ -155,3 +155,33 @@ def fact_bundle(c: Corpus) -> DataFrame:
     for other in counted[1:]:
         out = out.union(other)
     return out
+
+
+def _doc_mentions(kinds) -> str:
+    return " UNION ALL ".join(
+        f"SELECT doc_id AS job_id, source, '{k}' AS kind, unnest(regexp_extract_all(text, '{esc(lx.ENTITY_PATTERNS[k])}')) AS value FROM documents"
+        for k in kinds
+    )
+
+
+def _nobody(c: Corpus) -> DataFrame:
+    """No display names: documents keep their source as the speaker."""
+    return c.spark.createDataFrame([], "job_id long, speaker_id string, display string")
+
+
+_NUMBER_KINDS = ("dollars", "percent", "loan_id", "ticket", "date")
+
+
+@query("G7", rf"""
+    SELECT DISTINCT job_id, value, source AS display FROM (
+      SELECT doc_id AS job_id, source, unnest(regexp_extract_all(text, '\b\d{{4,}}\b')) AS value FROM documents)
+    WHERE (job_id, value) NOT IN (SELECT (job_id, unnest(regexp_extract_all(value, '\d{{4,}}'))) FROM ({_doc_mentions(_NUMBER_KINDS)}))""")
+def document_numbers(c: Corpus) -> DataFrame:
+    """Bare numbers of the written documents."""
+    return en.bare_numbers(c.written_texts(), _nobody(c)).select("job_id", "value", "display")
+
+
+@query("G6", f"SELECT DISTINCT job_id, kind, value, source AS display FROM ({_doc_mentions(en.NUMBER_KINDS)})")
+def document_mentions(c: Corpus) -> DataFrame:
+    """Amounts, codes and addresses of the written documents."""
+    return en.first_mentions(c.written_texts(), _nobody(c)).select("job_id", "kind", "value", "display")

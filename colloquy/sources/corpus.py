@@ -153,6 +153,13 @@ class Corpus:
             (F.max("end_ms") + 500).alias("duration_ms")
         ).withColumn("language", F.lit("en")))
 
+    def written_texts(self) -> DataFrame:
+        """Documents as meetings of one segment, for what the conversations hardly contain."""
+        return self.table("documents").select(
+            F.col("doc_id").alias("job_id"), F.lit(0).cast("long").alias("seg_idx"), F.lit(0).cast("long").alias("start_ms"),
+            F.col("source").alias("speaker_id"), "text",
+        )
+
     # -- facts -------------------------------------------------------------------------
 
     def actions(self) -> DataFrame:
