@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.operators.ordered import (
-    concat_in_order, dense_axis, last_known, previous, running_sum, scan,
+    concat_in_order, dense_axis, known_before, last_known, previous, running_sum, scan,
 )
 from colloquy.session import written
 
@@ -77,12 +77,29 @@ def number_runs(words: DataFrame) -> DataFrame:
     A sentence ends at a word ending in . ! ? or at the end of the speaker run. prev_end_ms is
     null on the first word of a run.
     """
+    seen = scan(words, dense_axis("job_id", "word_idx"), _before=previous(F.struct("speaker_id", "text", "end_ms")))
+    return _numbered(seen, F.col("_before.speaker_id"), words.columns)
+
+
+def attributed_runs(words: DataFrame, turns: DataFrame) -> DataFrame:
+    """number_runs(assign_speakers(words, turns)) in one pass less: the speaker of the word before is
+    the last known one before this word, so filling and comparing share a scan."""
+    matched = written(best_speaker(words, turns), "matched_words")
+    seen = scan(
+        matched, dense_axis("job_id", "word_idx"), speaker_id=last_known(F.col("speaker_id")),
+        _known=known_before(F.col("speaker_id")), _before=previous(F.struct("text", "end_ms")),
+    )
+    filled = seen.withColumn("speaker_id", F.coalesce("speaker_id", F.lit(UNKNOWN)))
+    before = F.when(F.col("_before").isNotNull(), F.coalesce("_known", F.lit(UNKNOWN)))
+    return _numbered(filled, before, matched.columns)
+
+
+def _numbered(seen: DataFrame, speaker_before, columns: list[str]) -> DataFrame:
     axis = dense_axis("job_id", "word_idx")
-    seen = scan(words, axis, _before=previous(F.struct("speaker_id", "text", "end_ms")))
     before = F.col("_before")
-    same_run = before.isNotNull() & (before["speaker_id"] == F.col("speaker_id"))
+    same_run = before.isNotNull() & (speaker_before == F.col("speaker_id"))
     flagged = seen.select(
-        *words.columns,
+        *columns,
         F.when(same_run, 0).otherwise(1).alias("new_seg"),
         F.when(same_run & ~before["text"].rlike(ENDS_SENTENCE), 0).otherwise(1).alias("new_sent"),
         F.when(same_run, before["end_ms"]).alias("prev_end_ms"),

@@ -54,6 +54,11 @@ def last_known(value: Column) -> Running:
     return Running("last", value)
 
 
+def known_before(value: Column) -> Running:
+    """Most recent non-null value before this row."""
+    return Running("before", value)
+
+
 def previous(value: Column) -> Running:
     """Value of the row before, null on the first row."""
     return Running("prev", value)
@@ -92,7 +97,7 @@ def _total(r: Running, place: Column) -> Column:
         return F.sum(r.value)
     if r.kind == "max":
         return F.max(r.value)
-    if r.kind == "last":
+    if r.kind in ("last", "before"):
         return F.max_by(r.value, F.when(r.value.isNotNull(), place))
     if r.kind == "prev":
         return F.max_by(F.struct(r.value.alias("v")), place)
@@ -105,7 +110,7 @@ def _carried(r: Running, total: Column, across) -> Column:
         return F.sum(total).over(before)
     if r.kind == "max":
         return F.max(total).over(before)
-    if r.kind in ("last", "prev"):
+    if r.kind in ("last", "before", "prev"):
         return F.last(total, ignorenulls=True).over(before)
     return F.lead(total).over(across)
 
@@ -118,6 +123,8 @@ def _local(r: Running, inside) -> Column:
         return F.max(r.value).over(upto)
     if r.kind == "last":
         return F.last(r.value, ignorenulls=True).over(upto)
+    if r.kind == "before":
+        return F.last(r.value, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
     if r.kind == "prev":
         return F.lag(F.struct(r.value.alias("v"))).over(inside)
     return F.lead(F.struct(r.value.alias("v"))).over(inside)
@@ -128,7 +135,7 @@ def _merged(r: Running, local: Column, carry: Column) -> Column:
         return F.coalesce(local, F.lit(0)) + F.coalesce(carry, F.lit(0))
     if r.kind == "max":
         return F.greatest(local, carry)
-    if r.kind == "last":
+    if r.kind in ("last", "before"):
         return F.coalesce(local, carry)
     return F.coalesce(local, carry).getField("v")
 

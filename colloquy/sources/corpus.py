@@ -134,9 +134,7 @@ class Corpus:
 
     def words(self) -> DataFrame:
         """Words with speaker, run and sentence numbers."""
-        return self.keep(
-            "words", lambda: at.number_runs(written(at.assign_speakers(self.timed_words(), self.turns()), "spoken"))
-        )
+        return self.keep("words", lambda: at.attributed_runs(self.timed_words(), self.turns()))
 
     def segments(self) -> DataFrame:
         return self.keep("segments", lambda: at.segments(self.words()))

@@ -42,6 +42,19 @@ def test_assign_speakers_against_loop(spark, block, monkeypatch):
     assert sorted((r.word_idx, r.speaker_id) for r in got.collect()) == assigned(words, turns)
 
 
+@pytest.mark.parametrize("block", [2, 65_536])
+def test_fused_attribution_equals_steps(spark, block, monkeypatch):
+    monkeypatch.setattr(ordered, "BLOCK_ROWS", block)
+    rng = random.Random(block)
+    words = spark.createDataFrame(
+        [(1, i, rng.choice(["w", "w.", "x?"]), i * 500, i * 500 + 300, None) for i in range(50)], WORDS
+    )
+    turns = spark.createDataFrame([(1, k, f"S{k % 2}", k * 4_000 + 2_000, k * 4_000 + 5_000) for k in range(6)], TURNS)
+    fused = at.attributed_runs(words, turns)
+    steps = at.number_runs(at.assign_speakers(words, turns)).select(*fused.columns)
+    assert sorted(map(str, fused.collect())) == sorted(map(str, steps.collect()))
+
+
 def test_no_turns_leave_everyone_unknown(spark):
     words = spark.createDataFrame([(1, 0, "hi", 0, 10, None)], WORDS)
     rows = at.assign_speakers(words, spark.createDataFrame([], TURNS)).collect()

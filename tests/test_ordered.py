@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy.operators import jumps, ordered
-from colloquy.operators.ordered import Axis, following, last_known, previous, running_max, running_sum, scan
+from colloquy.operators.ordered import Axis, following, known_before, last_known, previous, running_max, running_sum, scan
 
 
 @pytest.mark.parametrize("block", [1, 3, 1000])
@@ -21,7 +21,7 @@ def test_scan_equals_loop(spark, block):
         (r.k, r.i): r
         for r in scan(
             df, axis, total=running_sum(F.col("v")), top=running_max(F.col("v")), known=last_known(F.col("s")),
-            prev=previous(F.col("s")), nxt=following(F.col("v")),
+            prev=previous(F.col("s")), before=known_before(F.col("s")), nxt=following(F.col("v")),
         ).collect()
     }
     for k in range(3):
@@ -30,8 +30,9 @@ def test_scan_equals_loop(spark, block):
         for n, (_, i, v, s) in enumerate(mine):
             total += v
             top = v if top is None else max(top, v)
-            known = s if s is not None else known
+            before, known = known, s if s is not None else known
             r = got[(k, i)]
+            assert r.before == before
             after = mine[n + 1][2] if n + 1 < len(mine) else None
             assert (r.total, r.top, r.known, r.prev, r.nxt) == (total, top, known, prev, after)
             prev = s
