@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -25,6 +28,16 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, whose Python workers import it; once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = Path(__file__).resolve().parent
+        folder = tempfile.mkdtemp(prefix="colloquy-package-")
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/colloquy", "zip", package.parent, package.name))
+        _shipped.add(app)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for written intermediate tables: spark.checkpoint.dir of the session.
 

@@ -18,7 +18,7 @@ from colloquy.operators import processors as pr
 from colloquy.operators import topics as tp
 from colloquy.operators.ops import ARTIFACTS
 from colloquy.operators.ordered import BLOCK_ROWS, Axis, running_sum, scan
-from colloquy.session import written
+from colloquy.session import ship_package, written
 from colloquy.sources.profiles import load_profile
 from colloquy.streaming import progress as pg
 
@@ -57,6 +57,7 @@ def corpus(spark: SparkSession, path: str) -> "Corpus":
     """The corpus at path, shared by all queries of one application."""
     key = (spark.sparkContext.applicationId, path)
     if key not in _open:
+        ship_package(spark)
         _open[key] = Corpus(spark, path)
     return _open[key]
 
