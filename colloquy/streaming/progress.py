@@ -162,7 +162,7 @@ def live_view(events: DataFrame) -> DataFrame:
 
 
 def resource_windows(events: DataFrame, width: str = "10 seconds", streaming: bool = False) -> DataFrame:
-    """Average load per job and window; a stream needs its watermark to close windows."""
+    """Average load per job and window; in a stream, later resource events of any job close a window."""
     own = events.filter(F.col("type") == "resource")
     if streaming:
         own = own.withWatermark("ts", LATE)
