@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import shutil
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own_folder: dict[str, str] = {}
 _shipped: set[str] = set()
+_folders: dict[str, str] = {}
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -31,27 +33,36 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, whose Python workers import it; once per application."""
     app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        package = Path(__file__).resolve().parent
-        folder = tempfile.mkdtemp(prefix="colloquy-package-")
-        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/colloquy", "zip", package.parent, package.name))
-        _shipped.add(app)
+    if app in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for f in sorted(package.rglob("*")):
+            if f.is_file() and f.suffix in (".py", ".json"):
+                z.write(f, f.relative_to(package.parent))
+    # addPyFile takes a path on the driver and serves the file from there.
+    path = os.path.join(tempfile.mkdtemp(prefix="colloquy-package-"), "colloquy.zip")
+    Path(path).write_bytes(packed.getvalue())
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for written intermediate tables: spark.checkpoint.dir of the session.
+    """This application's folder for written intermediate tables: below spark.checkpoint.dir, else below the warehouse.
 
-    Only a local-mode session without that setting falls back to a fresh temporary folder.
+    Both are shared by the driver and all executors. Spark deletes the folder when the application ends.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
-    if configured:
-        return f"{configured.rstrip('/')}/colloquy-{app}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    if app not in _own_folder:
-        _own_folder[app] = tempfile.mkdtemp(prefix="colloquy-")
-    return _own_folder[app]
+    if app not in _folders:
+        root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        folder = f"{root.rstrip('/')}/colloquy-{app}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _folders[app] = folder
+    return _folders[app]
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
