@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from colloquy.session import ship_package
 
 #: White space that separates words: \x20 and \x09-\x0D, which is what bytes.split() cuts at.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -30,6 +37,22 @@ def word_codes(words: list[bytes]) -> np.ndarray:
     return np.fromiter((known.setdefault(w, len(known)) for w in words), dtype=np.int64, count=len(words))
 
 
-def with_columns(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
-    """The batch with columns appended."""
-    return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=[*batch.schema.names, *columns])
+def map_texts(docs: DataFrame, new: str, compute: Callable[[list[bytes]], list], text: str = "text") -> DataFrame:
+    """All columns of docs and the new ones (a DDL string), which compute() gives for a batch of texts.
+
+    One pass in tasks over whole texts, no shuffle. An input column whose name clashes with a new one gives way to it.
+    """
+    ship_package(docs.sparkSession)
+    fields = StructType.fromDDL(new)
+    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.column(0)
+            columns = compute(byte_texts(rows.field(at)))
+            yield pa.RecordBatch.from_arrays([rows, *columns], names=["row", *fields.names])
+
+    out = packed.mapInArrow(run, StructType([*packed.schema.fields, *fields.fields]))
+    taken = {c.lower() for c in fields.names}
+    return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in taken), *fields.names)
