@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import packing, quality, sharding, urls
+from colloquy.llm import packing, quality, sharding, simhash, urls
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -69,3 +69,10 @@ def op9_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shuffled(table(spark, sf_dir, "documents").select("doc_id", "text"), 8)
     text = F.coalesce("text", F.lit(""))
     return out.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
