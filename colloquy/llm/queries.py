@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import packing, quality, sharding, simhash, urls
+from colloquy.llm import packing, quality, sharding, simhash, urls, winnowing
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -76,3 +76,9 @@ def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likenesses."""
+    return winnowing.compare_with_next(table(spark, sf_dir, "documents"))
