@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,17 +49,18 @@ class WordTokenizer:
         self.flat = np.zeros(0, dtype=np.uint32)
 
     def learn(self, words: list[bytes]) -> None:
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+        text = b"\n".join(words).decode("utf-8", "replace").split("\n")
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(text, add_special_tokens=False)]
         length = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         start = len(self.flat) + np.cumsum(length) - length
         self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
         self.start, self.length = np.concatenate([self.start, start]), np.concatenate([self.length, length])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(length.sum()))])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(length.sum()))])
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         split = [t.split() for t in texts]
         before = len(self.place), len(self.flat)
-        fresh = sorted(set().union(*split) - self.place.keys())
+        fresh = list(set().union(*split).difference(self.place))
         if fresh:
             self.learn(fresh)
         out = []
