@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import packing, quality, sharding, simhash, toxicity, urls, winnowing
+from colloquy.llm import packing, quality, sharding, simhash, toxicity, urls, warc, winnowing
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -90,3 +90,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (toxicity.fold(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives of all pages say about each."""
+    back = warc.archived(table(spark, sf_dir, "pages"))
+    return back.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op6_warc"] = """
+WITH sized AS (
+  SELECT page_id, coalesce(html, '') AS html, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n FROM pages
+), first AS (
+  SELECT html, max(page_id) AS first FROM sized WHERE n >= 1000 GROUP BY html
+)
+SELECT page_id, n AS payload_bytes, sha1(sized.html) AS payload_digest,
+       CASE WHEN first.first IS NULL OR first.first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first.first <> page_id THEN first.first END AS refers_to
+FROM sized LEFT JOIN first ON sized.html = first.html AND n >= 1000
+"""
