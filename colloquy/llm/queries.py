@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import packing, quality, sharding, simhash, toxicity, urls, warc, winnowing
+from colloquy.llm import classlm, packing, quality, sharding, simhash, toxicity, urls, warc, winnowing
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -110,3 +110,12 @@ SELECT page_id, n AS payload_bytes, sha1(sized.html) AS payload_digest,
        CASE WHEN first.first <> page_id THEN first.first END AS refers_to
 FROM sized LEFT JOIN first ON sized.html = first.html AND n >= 1000
 """
+
+
+@query
+def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability by word counts and by the class model, learnt from the rows of four folds in five."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (toxicity.fold(F.col("doc_id"), 5) == 1).alias("held_out"))
+    model, counts = classlm.fit(docs.where("not held_out"))
+    scored = classlm.score(docs, model, counts)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
