@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import classlm, packing, quality, sharding, simhash, toxicity, urls, warc, winnowing
+from colloquy.llm import classlm, packing, pieces, quality, sharding, simhash, toxicity, urls, warc, winnowing
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -119,3 +119,9 @@ def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, counts = classlm.fit(docs.where("not held_out"))
     scored = classlm.score(docs, model, counts)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
+
+
+@query
+def op2_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four best segmentations of every document, decoded again."""
+    return pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), n=4)
