@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 
@@ -43,7 +44,7 @@ class Broken(ValueError):
 
 def plain(value: str | None) -> bytes:
     """A header value on one line."""
-    return b" ".join((value or "").encode("utf-8", "replace").split(b"\n")).replace(b"\r", b" ").strip()
+    return re.sub(rb"[\r\n]+", b" ", (value or "").encode("utf-8", "replace")).strip()
 
 
 def record(key: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
@@ -118,17 +119,21 @@ def write_archives(pages: DataFrame, path: str, *, key: str = "page_id", url: st
     ship_package(spark)
     rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.coalesce(payload, F.lit("")).alias("payload"))
     size = F.octet_length("payload")
-    # Digests alone move to find equal payloads; SHA-256, so that made-up SHA-1 twins stay apart.
-    marked = rows.where(size >= least).groupBy(F.sha2("payload", 256).alias("content")).agg(F.max("key").alias("first"), F.count("*").alias("copies")).where("copies > 1 and first is not null").select("content", "first")
-    joined = rows.withColumn("content", F.when(size >= least, F.sha2("payload", 256))).join(marked, "content", "left")
+    # SHA-256, so that made-up SHA-1 twins stay apart.
+    rows = rows.withColumn("content", F.unhex(F.sha2("payload", 256)))
+    narrow = rows.where(size >= least).select("key", "content")
+    firsts = narrow.groupBy("content").agg(F.max("key").alias("first"), F.count("*").alias("copies")).where("copies > 1 and first is not null")
+    # Digests alone move to find equal payloads; the payloads move once, to the task that writes their file.
+    copies = narrow.join(firsts.select("content", "first"), "content").where("key is null or key <> first").distinct()
     total = rows.agg(F.sum(size + 600).alias("n")).head()["n"] or 0
-    files = 1 + total // (4 * archive_bytes)
-    dealt = joined.select("key", "url", "payload", "first").repartition(int(files), F.xxhash64("key", "url", F.monotonically_increasing_id()))
+    files = int(1 + total // (4 * archive_bytes))
+    whole, named = rows.repartition(files, "key", "content"), copies.repartition(files, "key", "content")
+    dealt = whole.join(named, whole["key"].eqNullSafe(named["key"]) & (whole["content"] == named["content"]), "left").select(whole["key"], "url", "payload", "first")
 
     def compress(batches):
         for batch in batches:
             keys, urls, firsts = (batch.column(i).to_pylist() for i in (0, 1, 3))
-            done = [closed(record(k, u, p, first, first is not None and k != first)) for k, u, p, first in zip(keys, urls, byte_texts(batch.column(2)), firsts, strict=True)]
+            done = [closed(record(k, u, p, first, first is not None)) for k, u, p, first in zip(keys, urls, byte_texts(batch.column(2)), firsts, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(done, pa.binary())], names=["member"])
 
     dealt.mapInArrow(compress, "member binary").select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\u0000").text(path)
