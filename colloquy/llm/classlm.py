@@ -177,12 +177,14 @@ def fit(texts: DataFrame, *, own_symbols: int = OWN_SYMBOLS, kinds: int = KINDS,
     """Model and table of word counts (word, n) from all given texts."""
     counts = written(count_words(texts), "word_counts")
     sums = counts.agg(F.sum("n").alias("tokens"), F.count("*").alias("distinct")).head()
-    top = counts.orderBy(F.desc("n"), "word").limit(max(head_words, own_symbols)).toPandas()
-    head = {bytes(w): int(n) for w, n in zip(top["word"], top["n"], strict=True)}
+    top = counts.orderBy(F.desc("n"), "word").limit(max(head_words, own_symbols)).toArrow()
+    head = dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist(), strict=True))
     symbols = Symbols([w for w in list(head)[:own_symbols] if w != END], kinds)
-    found = count_bigrams(texts, symbols).toPandas()
+    # Arrow, since rows of Python objects would need many times the memory: at most symbols.size squared pairs of numbers.
+    found = count_bigrams(texts, symbols).toArrow()
     matrix = np.zeros(symbols.size**2, dtype=np.float32)
-    matrix[found["pair"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.float32)
+    matrix[found.column("pair").to_numpy()] = found.column("n").to_numpy()
+    del found
     matrix = matrix.reshape(symbols.size, symbols.size)
     label = exchange(matrix, classes)
 
@@ -193,10 +195,9 @@ def fit(texts: DataFrame, *, own_symbols: int = OWN_SYMBOLS, kinds: int = KINDS,
             used = np.flatnonzero(v)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used].astype(np.int64)), pa.array(v[used].astype(np.int64))], names=["symbol", "n", "v"])
 
-    sizes = counts.mapInArrow(shape, "symbol long, n long, v long").groupBy("symbol").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toPandas()
-    of = label[sizes["symbol"].to_numpy(dtype=np.int64)] if len(sizes) else np.zeros(0, dtype=np.int64)
-    n = np.bincount(of, weights=sizes["n"].to_numpy(dtype=np.float64), minlength=classes)
-    v = np.bincount(of, weights=sizes["v"].to_numpy(dtype=np.float64), minlength=classes)
+    sizes = counts.mapInArrow(shape, "symbol long, n long, v long").groupBy("symbol").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toArrow()
+    of = label[sizes.column("symbol").to_numpy()]
+    n, v = (np.bincount(of, weights=sizes.column(x).to_numpy(), minlength=classes) for x in ("n", "v"))
     one = np.eye(classes)[label]
     pairs = one.T @ matrix.astype(np.float64) @ one
     overall = (n + 0.5) / (n + 0.5).sum()
