@@ -10,28 +10,23 @@ from colloquy.operators.attribution import with_display_names
 from colloquy.operators.ordered import dense_axis, previous, running_sum, scan
 from colloquy.session import written
 
-SHOWN_CHARS = 200
 ANSWER_WITHIN_MS = 30_000
 
 
-def trigger_pattern(lead: str, gap: str) -> str:
-    """5 to 100 characters after the trigger phrase, up to the end of the sentence."""
-    return rf"(?iU)\b{lead}\b{gap}(.{{5,100}}?)(?:[.!?]|$)"
-
-
 def _captured(text: Column, lead: str, gap: str) -> Column:
-    return F.regexp_replace(F.trim(F.regexp_extract(text, trigger_pattern(lead, gap), 1)), "[.,;:]+$", "")
+    """What follows the trigger phrase up to the end of the sentence."""
+    return F.regexp_replace(F.trim(F.regexp_extract(text, rf"(?iU)\b{lead}\b{gap}{lx.ITEM}", 1)), "[.,;:]+$", "")
 
 
-def candidates(sents: DataFrame, rules) -> DataFrame:
-    """Every rule a sentence matches, as (job_id, sent_no, rank, item), rank in rule order."""
+def candidates(sents: DataFrame, rules, least_chars: int = 1) -> DataFrame:
+    """Every rule a sentence matches, as (job_id, sent_no, rank, item), rank in rule order; shorter items are left out."""
     # One plain filter first, so that most sentences never reach the capturing patterns.
     anywhere = "(?iU)(?:" + "|".join(rf"\b{lead}\b" for lead, *_ in rules) + ")"
     items = F.array(*[_captured(F.col("text"), lead, gap) for lead, gap, *_ in rules])
     return (
         sents.filter(F.col("text").rlike(anywhere))
         .select("job_id", "sent_no", F.posexplode(items).alias("rank", "item"))
-        .filter(F.length("item") >= 5)
+        .filter(F.length("item") >= least_chars)
         .withColumn("key", F.lower("item"))
     )
 
@@ -88,7 +83,7 @@ def due_date(text: Column) -> Column:
 def action_items(sents: DataFrame, names: DataFrame) -> DataFrame:
     found = with_display_names(_picked(sents, lx.ACTION_RULES), names)
     return found.select(
-        "job_id", "sent_no", "seg_idx", "speaker_id", "at_ms", F.substring("text", 1, SHOWN_CHARS).alias("text"),
+        "job_id", "sent_no", "seg_idx", "speaker_id", "at_ms", "text",
         F.col("item").alias("task"), F.when(_rule_value(lx.ACTION_RULES, 3), F.col("display")).alias("owner"),
         due_date(F.col("text")).alias("due_date"), "confidence", "reason",
     )
@@ -96,7 +91,7 @@ def action_items(sents: DataFrame, names: DataFrame) -> DataFrame:
 
 def decisions(sents: DataFrame) -> DataFrame:
     return _picked(sents, lx.DECISION_RULES).select(
-        "job_id", "sent_no", "seg_idx", "speaker_id", "at_ms", F.substring("text", 1, SHOWN_CHARS).alias("text"),
+        "job_id", "sent_no", "seg_idx", "speaker_id", "at_ms", "text",
         F.col("item").alias("decision"), "confidence", "reason",
     )
 
@@ -119,7 +114,7 @@ def open_sentences(sents: DataFrame) -> DataFrame:
 def replies(segs: DataFrame) -> DataFrame:
     """For each segment the first later segment of another speaker: (job_id, seg_idx, reply_ms, unsure)."""
     axis = dense_axis("job_id", "seg_idx")
-    opening = F.lower(F.substring(F.trim("text"), 1, 40))
+    opening = F.lower(F.trim("text"))
     unsure = F.lit(False)
     for phrase in lx.UNSURE:
         unsure = unsure | opening.startswith(phrase)
@@ -143,7 +138,7 @@ def questions(sents: DataFrame, segs: DataFrame) -> DataFrame:
     in_time = F.col("reply_ms") - F.col("start_ms") <= ANSWER_WITHIN_MS
     return heard.select(
         "job_id", "sent_no", "seg_idx", "speaker_id", F.col("start_ms").alias("at_ms"),
-        F.substring("text", 1, SHOWN_CHARS).alias("text"), F.col("text").alias("question"),
+        "text", F.col("text").alias("question"),
         F.coalesce(in_time & ~F.col("unsure"), F.lit(False)).alias("is_answered"),
         F.lit(0.95).alias("confidence"), F.lit("ends with a question mark").alias("reason"),
     )

@@ -2,34 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions import lexicon as lx
 
-# "this is Ann" introduces; "this is Ann the ..." points at something else.
-_NOT_POINTING = r"(?!\s*(?:'s|the|a|an)\b)"
 
-
-def _rules():
-    for pattern in lx.INTRO_SURE:
-        yield "(?U)" + pattern, True
-    for pattern in lx.INTRO_LIKELY:
-        yield "(?U)" + pattern + ("" if pattern.startswith("^") else _NOT_POINTING), False
-
-
-def _parsed(pattern: str, sure: bool):
-    return lambda m: F.struct(
-        F.lit(sure).alias("sure"), m.alias("wording"), F.regexp_extract(m, pattern, 1).alias("name")
-    )
+def _hits(rule: str, sure: bool, pointing) -> Column:
+    """Matches of a rule as (sure, wording, name), without those that only point at something."""
+    pattern = "(?U)" + lx.introduction_pattern(rule, pointing)
+    found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    if pointing:
+        found = F.filter(found, lambda m: F.regexp_extract(m, pattern, 2) == "")
+    return F.transform(found, lambda m: F.struct(F.lit(sure).alias("sure"), m.alias("wording"), F.regexp_extract(m, pattern, 1).alias("name")))
 
 
 def introductions(segs: DataFrame) -> DataFrame:
     """Introductions: (job_id, seg_idx, speaker_id, sure, at_char, name), one per wording and segment."""
-    per_rule = [
-        F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), _parsed(pattern, sure))
-        for pattern, sure in _rules()
-    ]
+    per_rule = [_hits(*rule) for rule in lx.INTRO_RULES]
     hits = segs.select("job_id", "seg_idx", "speaker_id", "text", F.explode(F.array_distinct(F.concat(*per_rule))).alias("m"))
     rows = hits.select(
         "job_id", "seg_idx", "speaker_id", "m.sure", F.expr("locate(m.wording, text)").cast("long").alias("at_char"), "m.name"

@@ -63,10 +63,16 @@ def meeting_metrics(jobs, stats, histogram, actions, decisions, questions, entit
     return out.fillna(0, counts).withColumn("reading_minutes", F.round(F.col("n_words") / WORDS_PER_MINUTE, 2))
 
 
-def _ranked(counted: DataFrame, shown: int) -> DataFrame:
-    """Top terms of each meeting by count, ties to the first seen."""
+def listed(df: DataFrame, order, shown: int | None) -> DataFrame:
+    """All rows with their place in the meeting, or only the first `shown`."""
+    placed = df.withColumn("place", F.row_number().over(order).cast("long"))
+    return placed if shown is None else placed.filter(F.col("place") <= shown)
+
+
+def _ranked(counted: DataFrame, shown: int | None) -> DataFrame:
+    """Terms of each meeting by count, ties to the first seen."""
     order = Window.partitionBy("job_id").orderBy(F.desc("n_seen"), "first_idx")
-    return counted.withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= shown).drop("first_idx")
+    return listed(counted, order, shown).drop("first_idx")
 
 
 def _count_terms(words: DataFrame) -> DataFrame:
@@ -78,7 +84,7 @@ def name_tokens(names: DataFrame) -> DataFrame:
     return names.select("job_id", F.explode(F.split(F.lower("display"), r"\s+")).alias("token")).distinct()
 
 
-def frequent_names(words: DataFrame, names: DataFrame, shown: int = 15) -> DataFrame:
+def frequent_names(words: DataFrame, names: DataFrame, shown: int | None = None) -> DataFrame:
     """Capitalised words said at least twice that are neither sentence openers nor speaker names."""
     terms = words.select("job_id", "word_idx", bare_word(F.col("text")).alias("term")).filter(
         F.col("term").rlike("^[A-Z][a-z]{2,}$") & ~F.col("term").isin(*lx.OPENING_WORDS)
@@ -87,24 +93,23 @@ def frequent_names(words: DataFrame, names: DataFrame, shown: int = 15) -> DataF
     return _ranked(counted.join(name_tokens(names), ["job_id", "token"], "left_anti").drop("token"), shown)
 
 
-def unknown_acronyms(words: DataFrame, corrections: DataFrame, shown: int = 15) -> DataFrame:
+def unknown_acronyms(words: DataFrame, corrections: DataFrame, shown: int | None = None) -> DataFrame:
     terms = words.select("job_id", "word_idx", bare_word(F.col("text")).alias("term")).filter(F.col("term").rlike("^[A-Z]{2,}$"))
     known = corrections.select("job_id", F.explode(F.array(F.upper("original"), F.upper("replacement"))).alias("term")).distinct()
     return _ranked(_count_terms(terms).join(known, ["job_id", "term"], "left_anti"), shown)
 
 
-def repeated_uncertain(words: DataFrame, shown: int = 10) -> DataFrame:
+def repeated_uncertain(words: DataFrame, shown: int | None = None) -> DataFrame:
     terms = words.filter(_low()).select("job_id", "word_idx", F.lower(bare_word(F.col("text"))).alias("term"))
     return _ranked(_count_terms(terms.filter(F.length("term") > 2)).filter("n_seen >= 2"), shown)
 
 
-def low_segments_by_count(words: DataFrame, segs: DataFrame, shown: int = 10) -> DataFrame:
+def low_segments_by_count(words: DataFrame, segs: DataFrame, shown: int | None = None) -> DataFrame:
     """Segments with two or more uncertain words."""
     low = words.filter(_low()).groupBy("job_id", "seg_idx").agg(F.count("*").alias("n_low")).filter("n_low >= 2")
     order = Window.partitionBy("job_id").orderBy("seg_idx")
-    first = low.withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= shown)
-    return first.join(segs, ["job_id", "seg_idx"]).select(
-        "job_id", "seg_idx", "place", "n_low", "start_ms", "end_ms", clipped(F.col("text"), 80).alias("preview")
+    return listed(low, order, shown).join(segs, ["job_id", "seg_idx"]).select(
+        "job_id", "seg_idx", "place", "n_low", "start_ms", "end_ms", "text", clipped(F.col("text"), 80).alias("preview")
     )
 
 
@@ -113,11 +118,11 @@ def low_segments_by_average(words: DataFrame, segs: DataFrame) -> DataFrame:
     avg = words.groupBy("job_id", "seg_idx").agg(exact_mean(F.col("confidence")).alias("a")).filter(F.col("a") < LOW)
     return avg.join(segs, ["job_id", "seg_idx"]).select(
         "job_id", "seg_idx", "speaker_id", "start_ms", F.round("a", 4).alias("avg_confidence"),
-        clipped(F.col("text"), 80, "…").alias("preview"),
+        "text", clipped(F.col("text"), 80, "…").alias("preview"),
     )
 
 
-def doubtful_names(words: DataFrame, segs: DataFrame, names: DataFrame, shown: int = 30) -> DataFrame:
+def doubtful_names(words: DataFrame, segs: DataFrame, names: DataFrame, shown: int | None = None) -> DataFrame:
     """Title-case words never seen in lower case, said once or with low confidence."""
     terms = words.select("job_id", "seg_idx", "word_idx", "confidence", bare_word(F.col("text")).alias("term"))
     lower_seen = terms.filter(F.col("term").rlike(r"^\p{Ll}")).select("job_id", F.lower("term").alias("token")).distinct()
@@ -127,8 +132,7 @@ def doubtful_names(words: DataFrame, segs: DataFrame, names: DataFrame, shown: i
     doubtful = titled.filter((F.col("n_seen") == 1) | (F.col("a") < LOW))
     kept = doubtful.join(name_tokens(names), ["job_id", "token"], "left_anti").join(lower_seen, ["job_id", "token"], "left_anti")
     order = Window.partitionBy("job_id").orderBy("term")
-    listed = kept.withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= shown)
-    return listed.join(segs.select("job_id", "seg_idx", "start_ms"), ["job_id", "seg_idx"]).select(
+    return listed(kept, order, shown).join(segs.select("job_id", "seg_idx", "start_ms"), ["job_id", "seg_idx"]).select(
         "job_id", "term", "place", "n_seen", F.round("a", 4).alias("avg_confidence"), F.col("start_ms").alias("first_ms")
     )
 

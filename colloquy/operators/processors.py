@@ -61,14 +61,54 @@ def without_repeats(words: DataFrame) -> DataFrame:
     return seen.filter(~F.coalesce(repeated & droppable, F.lit(False))).select(*words.columns)
 
 
+_WORD = r"[\p{L}\p{N}_]"
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value) for an array result; the lambda gives value a name, so that it is computed once."""
+    return F.flatten(F.transform(F.array(value), use))
+
+
+def _repeats(pieces: Column, i: Column) -> Column:
+    """Piece i is the word that stands two pieces before, in any case."""
+    word, before = F.get(pieces, i), F.get(pieces, i - 2)
+    return F.coalesce((F.lower(word) == F.lower(before)) & word.rlike(f"^{_WORD}"), F.lit(False))
+
+
+def _without(pieces: Column, marks: Column, goes) -> Column:
+    """Pieces without the words for which goes(i) holds and what stands in front of them; marks has a character for each piece."""
+    return _bound(marks, lambda m: F.filter(pieces, lambda _, i: ~(goes(m, i) | goes(m, i + 1))))
+
+
+def _mark(marks: Column, i: Column) -> Column:
+    return marks.substr(i + 1, F.lit(1))
+
+
+def _without_stutters(pieces: Column) -> Column:
+    """A word behind the same word, a hyphen and white space goes; of a chain every second one."""
+    gap = lambda i: F.get(pieces, i - 1)
+    stutter = lambda i: _repeats(pieces, i) & gap(i).rlike(r"^-\s+$")
+    marks = F.array_join(F.transform(pieces, lambda _, i: F.when(stutter(i), "s").otherwise(".")), "")
+    return _without(pieces, F.regexp_replace(marks, r"s\.s", "s.."), lambda m, i: _mark(m, i) == "s")
+
+
+def _without_echoes(pieces: Column) -> Column:
+    """A word behind the same word and white space goes, unless it is a word of emphasis said just twice."""
+    echo = lambda i: _repeats(pieces, i) & F.get(pieces, i - 1).rlike(r"^\s+$")
+    emphatic = lambda p: F.lower(p).isin(*lx.EMPHASIS)
+    marks = F.array_join(F.transform(pieces, lambda p, i: F.when(~echo(i), ".").when(emphatic(p), "E").otherwise("e")), "")
+    return _without(pieces, marks, lambda m, i: (_mark(m, i) == "e") | ((_mark(m, i) == "E") & ((_mark(m, i - 2) == "E") | (_mark(m, i + 2) == "E"))))
+
+
 def tidy_text(text: Column) -> Column:
-    """Collapse stutters and repeated words, repair punctuation and spaces."""
-    text = F.regexp_replace(text, r"(?iU)\b(\w+)-\s+\1\b", "$1")
-    text = F.regexp_replace(text, r"(?iU)\b(\w+)(?:\s+\1){2,}\b", "$1")
-    text = F.regexp_replace(text, rf"(?iU)\b(?!(?:{'|'.join(lx.EMPHASIS)})\b)(\w+)\s+\1\b", "$1")
-    text = F.regexp_replace(text, r"\s+([,.!?;:])", "$1")
-    text = F.regexp_replace(text, r"^[,.]+\s*", "")
-    return F.trim(F.regexp_replace(text, " {2,}", " "))
+    """Collapse stutters and repeated words, close up punctuation, single the spaces.
+
+    The text is taken apart into words and what stands between them, in turn.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(rf"{_WORD}+|[^\p{{L}}\p{{N}}_]+"), F.lit(0))
+    text = F.array_join(_bound(_bound(pieces, _without_stutters), _without_echoes), "")
+    text = F.ltrim(F.regexp_replace(text, r"\s+(?=[,.!?;:])", ""), F.lit(",."))
+    return F.array_join(F.filter(F.split(text, " "), lambda part: part != ""), " ")
 
 
 def segment_texts(words: DataFrame) -> DataFrame:

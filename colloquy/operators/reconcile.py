@@ -12,22 +12,26 @@ LEAST_OVERLAP_MS = 500
 LEAST_TURN_MS = 100
 
 
-def _probes(turns: DataFrame, seams: DataFrame) -> DataFrame:
-    """Who speaks at each half second mark of each seam: (job_id, t, speaker_id), first turn in order."""
-    in_seam = turns.join(seams, "job_id").filter("end_ms >= seam_start and start_ms <= seam_end")
+def _probes(turns: DataFrame, seams: DataFrame, keys) -> DataFrame:
+    """Who speaks at each half second mark of each seam: (*keys, t, speaker_id), first turn in order."""
+    in_seam = turns.join(seams, keys).filter("end_ms >= seam_start and start_ms <= seam_end")
     # Marks lie at t + 0.5 s for whole seconds t of the seam.
     lo = F.greatest(F.floor(F.col("seam_start") / 1000), F.ceil((F.col("start_ms") - 500) / 1000))
     hi = F.least(F.floor(F.col("seam_end") / 1000) - 1, F.floor((F.col("end_ms") - 500) / 1000))
-    marks = in_seam.filter(lo <= hi).select("job_id", "turn_no", "speaker_id", F.explode(F.sequence(lo, hi)).alias("t"))
-    return marks.groupBy("job_id", "t").agg(F.min_by("speaker_id", "turn_no").alias("speaker_id"))
+    marks = in_seam.filter(lo <= hi).select(*keys, "turn_no", "speaker_id", F.explode(F.sequence(lo, hi)).alias("t"))
+    return marks.groupBy(*keys, "t").agg(F.min_by("speaker_id", "turn_no").alias("speaker_id"))
 
 
-def seam_votes(known: DataFrame, local: DataFrame, seams: DataFrame) -> DataFrame:
-    """Seconds on which a local and a known speaker coincide: (job_id, local, known, votes, first_t)."""
+def seam_votes(known: DataFrame, local: DataFrame, seams: DataFrame, keys=("job_id",)) -> DataFrame:
+    """Seconds on which a local and a known speaker coincide: (*keys, local, known, votes, first_t).
+
+    `keys` name a seam: the meeting, and the chunk behind the seam if all seams are looked at together.
+    """
+    keys = list(keys)
     usable = seams.filter(F.col("seam_end") > F.col("seam_start") + LEAST_OVERLAP_MS)
-    k = _probes(known, usable).withColumnRenamed("speaker_id", "known")
-    v = _probes(local, usable).withColumnRenamed("speaker_id", "local")
-    return v.join(k, ["job_id", "t"]).groupBy("job_id", "local", "known").agg(
+    k = _probes(known, usable, keys).withColumnRenamed("speaker_id", "known")
+    v = _probes(local, usable, keys).withColumnRenamed("speaker_id", "local")
+    return v.join(k, [*keys, "t"]).groupBy(*keys, "local", "known").agg(
         F.count("*").alias("votes"), F.min("t").alias("first_t")
     )
 
@@ -43,19 +47,20 @@ def _take(acc: Column, pair: Column) -> Column:
     ).otherwise(acc)
 
 
-def greedy_map(votes: DataFrame) -> DataFrame:
+def greedy_map(votes: DataFrame, keys=("job_id",)) -> DataFrame:
     """One-to-one mapping: locals by total votes, each takes its best known speaker still free.
 
     A seam has at most as many pairs as overlap seconds, so its pairs fold in one cell.
     """
-    per_local = votes.groupBy("job_id", "local").agg(F.sum("votes").alias("total"), F.min("first_t").alias("seen"))
-    ranked = votes.join(per_local, ["job_id", "local"]).select(
-        "job_id", F.struct((-F.col("total")).alias("a"), F.col("seen").alias("b"), "local", (-F.col("votes")).alias("c"), "first_t", "known").alias("p")
+    keys = list(keys)
+    per_local = votes.groupBy(*keys, "local").agg(F.sum("votes").alias("total"), F.min("first_t").alias("seen"))
+    ranked = votes.join(per_local, [*keys, "local"]).select(
+        *keys, F.struct((-F.col("total")).alias("a"), F.col("seen").alias("b"), "local", (-F.col("votes")).alias("c"), "first_t", "known").alias("p")
     )
     start = F.struct(F.array().cast("array<string>").alias("locals"), F.array().cast("array<string>").alias("knowns"))
-    folded = ranked.groupBy("job_id").agg(F.aggregate(F.array_sort(F.collect_list("p")), start, _take).alias("m"))
-    return folded.select("job_id", F.explode(F.arrays_zip(F.col("m.locals").alias("local"), F.col("m.knowns").alias("known"))).alias("z")).select(
-        "job_id", "z.local", "z.known"
+    folded = ranked.groupBy(*keys).agg(F.aggregate(F.array_sort(F.collect_list("p")), start, _take).alias("m"))
+    return folded.select(*keys, F.explode(F.arrays_zip(F.col("m.locals").alias("local"), F.col("m.knowns").alias("known"))).alias("z")).select(
+        *keys, "z.local", "z.known"
     )
 
 
@@ -69,11 +74,11 @@ def clip_seams(chunk_turns: DataFrame, plan: DataFrame) -> DataFrame:
     ).withColumn("start_ms", start).filter(F.col("end_ms") - F.col("start_ms") > LEAST_TURN_MS).drop("seam_end")
 
 
-def reconcile(chunk_turns: DataFrame, plan: DataFrame, chunks: int) -> DataFrame:
+def reconcile(chunk_turns: DataFrame, plan: DataFrame) -> DataFrame:
     """Turns of each meeting with the labels of its first chunk carried through.
 
     Seams follow one another inside a meeting, so the chunks are taken in turn, for all meetings
-    at once; `chunks` is the number the recordings were split into. A local speaker without a
+    at once, up to the last chunk that the plan has. A local speaker without a
     partner gets the next free SPEAKER_nn, in order of first words. Meetings of one chunk are
     returned as they are.
     """
@@ -88,7 +93,8 @@ def reconcile(chunk_turns: DataFrame, plan: DataFrame, chunks: int) -> DataFrame
     next_no = plan.select("job_id").distinct().join(
         first.filter(suffix != "").groupBy("job_id").agg((F.max(suffix.cast("int")) + 1).alias("m")), "job_id", "left"
     ).select("job_id", F.coalesce("m", F.lit(0)).alias("next_no"))
-    for i in range(1, chunks):
+    last = plan.agg(F.max("chunk_idx")).head()[0] or 0
+    for i in range(1, last + 1):
         local = turns.filter(F.col("chunk_idx") == i)
         ends = plan.filter(F.col("chunk_idx") == i - 1).select("job_id", F.col("chunk_end_ms").alias("seam_end"))
         seams = plan.filter(F.col("chunk_idx") == i).select("job_id", F.col("chunk_start_ms").alias("seam_start")).join(ends, "job_id")

@@ -55,7 +55,7 @@ def uncertain_words(words: DataFrame, sents: DataFrame, names: DataFrame, whole_
 
 def short_segments(segs: DataFrame) -> DataFrame:
     return segs.filter((F.col("end_ms") - F.col("start_ms") < SHORT_MS) & (F.col("n_words") > 0)).select(
-        "job_id", "seg_idx", "speaker_id", "start_ms", "end_ms", F.substring("text", 1, 60).alias("text")
+        "job_id", "seg_idx", "speaker_id", "start_ms", "end_ms", "text"
     )
 
 

@@ -9,7 +9,6 @@ from colloquy.operators.attribution import with_display_names
 
 NEAR = 8
 PIECE_PLACES = 1_000
-ENTITY_PLACES = 1_000_000
 
 
 def _has(text: Column, phrase: str) -> Column:
@@ -96,7 +95,7 @@ def index_rows(jobs, names, words, segs, topics, entities, actions, decisions, q
         .union(_rows(with_display_names(segs, names), "segment", c("seg_idx"), "seg_id", "speaker_id", "display", "start_ms", "end_ms", "text"))
         .union(_rows(words, "word", c("word_idx"), "seg_idx", "text", "start_ms", "end_ms", "confidence"))
         .union(_rows(topics, "topic", c("chunk"), "start_ms", "end_ms", "label", "keywords"))
-        .union(_rows(entities, "entity", F.pmod(F.crc32("value"), F.lit(ENTITY_PLACES)), "kind", "value"))
+        .union(_rows(entities, "entity", F.conv(F.substring(F.md5("value"), 1, 5), 16, 10), "kind", "value"))
         .union(_rows(actions, "action", c("sent_no"), "task", "owner", "due_date", "at_ms", "speaker_id", "confidence", "reason"))
         .union(_rows(decisions, "decision", c("sent_no"), "decision", "at_ms", "speaker_id", "confidence", "reason"))
         .union(_rows(questions, "question", c("sent_no"), "question", "is_answered", "at_ms", "speaker_id", "confidence"))

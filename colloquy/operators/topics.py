@@ -105,16 +105,16 @@ DULL_LABELS = ("unknown", "other", "general", "")
 
 
 def timeline(segs: DataFrame, names: DataFrame, topic_rows: DataFrame, decided: DataFrame, todo: DataFrame) -> DataFrame:
-    """Events of each meeting, sorted by (at_ms, kind_no, item_no); one row per (time, event)."""
+    """Events of each meeting, sorted by (at_ms, kind_no, item_no); one row per (time, event). `label` is the event cut for display."""
     ends = segs.groupBy("job_id").agg(
         F.min_by("start_ms", "seg_idx").alias("b"), F.max_by("end_ms", "seg_idx").alias("e")
     )
     nobody = F.lit(None).cast("string")
 
-    def rows(df, kind_no, at, item_no, event, speaker=nobody):
+    def rows(df, kind_no, at, item_no, event, speaker=nobody, label=None):
         return df.select(
             "job_id", at.alias("at_ms"), F.lit(kind_no).alias("kind_no"), item_no.cast("long").alias("item_no"),
-            event.alias("event"), speaker.alias("speaker_id"),
+            event.alias("event"), (event if label is None else label).alias("label"), speaker.alias("speaker_id"),
         )
 
     seen = segs.groupBy("job_id", "speaker_id").agg(F.min(F.struct("seg_idx", "start_ms")).alias("f"))
@@ -126,15 +126,15 @@ def timeline(segs: DataFrame, names: DataFrame, topic_rows: DataFrame, decided:
     everything = (
         rows(ends, 0, F.col("b"), zero, F.lit("Meeting begins"))
         .union(rows(heard, 1, F.col("f.start_ms"), F.col("f.seg_idx"), F.concat("display", F.lit(" speaks")), F.col("speaker_id")))
-        .union(rows(shown, 2, F.col("start_ms"), F.col("chunk"), F.concat(F.lit("Topic: "), clipped(F.col("label"), 60))))
-        .union(rows(decided, 3, F.col("at_ms"), F.col("sent_no"), F.concat(F.lit("Decision: "), clipped(F.col("decision"), 60)), F.col("speaker_id")))
-        .union(rows(todo, 4, F.col("at_ms"), F.col("sent_no"), F.concat(F.lit("Action item: "), clipped(F.col("task"), 60)), F.col("speaker_id")))
+        .union(rows(shown, 2, F.col("start_ms"), F.col("chunk"), F.concat(F.lit("Topic: "), "label"), label=F.concat(F.lit("Topic: "), clipped(F.col("label"), 60))))
+        .union(rows(decided, 3, F.col("at_ms"), F.col("sent_no"), F.concat(F.lit("Decision: "), "decision"), F.col("speaker_id"), F.concat(F.lit("Decision: "), clipped(F.col("decision"), 60))))
+        .union(rows(todo, 4, F.col("at_ms"), F.col("sent_no"), F.concat(F.lit("Action item: "), "task"), F.col("speaker_id"), F.concat(F.lit("Action item: "), clipped(F.col("task"), 60))))
         .union(rows(ends, 5, F.col("e"), zero, F.lit("Meeting ends")))
     )
     once = everything.groupBy("job_id", "at_ms", "event").agg(
-        F.min(F.struct("kind_no", "item_no", "speaker_id")).alias("f")
+        F.min(F.struct("kind_no", "item_no", "label", "speaker_id")).alias("f")
     )
-    return once.select("job_id", "at_ms", "f.kind_no", "f.item_no", "event", "f.speaker_id")
+    return once.select("job_id", "at_ms", "f.kind_no", "f.item_no", "event", "f.label", "f.speaker_id")
 
 
 def summary_terms(words: DataFrame) -> DataFrame:

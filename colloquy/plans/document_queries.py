@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,7 +121,7 @@ def run_documents(c: Corpus) -> DataFrame:
     FROM words w JOIN (SELECT job_id, seg_idx, first_word FROM segments) USING (job_id, seg_idx)""")
 def transcript_round_trip(c: Corpus) -> DataFrame:
     """Write transcripts as JSON, read them back and flatten them."""
-    path = f"{shared_folder(c.spark)}/transcripts"
+    path = f"{shared_folder(c.spark)}/transcripts-{uuid.uuid4().hex}"
     ts.write_transcripts(ts.to_transcripts(c.jobs(), c.names(), c.segments(), c.words()), path)
     return ts.transcript_words(ts.read_transcripts(c.spark, path))
 
@@ -127,8 +129,6 @@ def transcript_round_trip(c: Corpus) -> DataFrame:
 @query("A7", """
     SELECT artifact, job_id, 0::BIGINT AS part FROM (SELECT DISTINCT job_id FROM segments), (SELECT unnest(['txt', 'srt', 'vtt']) AS artifact)""")
 def written_artifacts(c: Corpus) -> DataFrame:
-    import uuid
-
     path = f"{shared_folder(c.spark)}/artifacts-{uuid.uuid4().hex}"
     formats = {name: rn.documents(rn.RENDERERS[name][1](c.segments(), c.names())) for name in ("txt", "srt", "vtt")}
     ts.write_artifacts(path, formats)

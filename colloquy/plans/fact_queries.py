@@ -96,7 +96,7 @@ def summary_keywords(c: Corpus) -> DataFrame:
     return tp.summary_terms(c.words()).withColumn("place", F.col("place").cast("long"))
 
 
-@query("G9 M7", "SELECT job_id, at_ms, kind_no, item_no, event, speaker_id FROM timeline")
+@query("G9 M7", "SELECT job_id, at_ms, kind_no, item_no, event, label, speaker_id FROM timeline")
 def timeline(c: Corpus) -> DataFrame:
     return tp.timeline(c.segments(), c.names(), c.topics(), c.decisions(), c.actions())
 

@@ -24,11 +24,11 @@ VIEWS["asr_plan"] = """
       SELECT job_id, duration_ms AS d, CASE WHEN duration_ms <= 60000 THEN 1
         ELSE duration_ms // 60000 + CASE WHEN duration_ms % 60000 > 100 THEN 1 ELSE 0 END END AS n FROM jobs))"""
 VIEWS["diar_plan"] = """
-    SELECT job_id, i AS chunk_idx, CASE WHEN single THEN 0 ELSE i * d // 3 END AS chunk_start_ms,
-           CASE WHEN single THEN d ELSE least((i + 1) * d // 3 + 30000, d) END AS chunk_end_ms,
+    SELECT job_id, i AS chunk_idx, CASE WHEN single THEN 0 ELSE i * d // 6 END AS chunk_start_ms,
+           CASE WHEN single THEN d ELSE least((i + 1) * d // 6 + 30000, d) END AS chunk_end_ms,
            CASE WHEN i > 0 THEN 30000 ELSE 0 END::BIGINT AS overlap_ms
     FROM (SELECT job_id, duration_ms AS d, duration_ms <= 60000 AS single,
-                 unnest(range(CASE WHEN duration_ms <= 60000 THEN 1 ELSE 3 END)) AS i FROM jobs)"""
+                 unnest(range(CASE WHEN duration_ms <= 60000 THEN 1 ELSE 6 END)) AS i FROM jobs)"""
 VIEWS["chunk_turns"] = """
     SELECT job_id, chunk_idx, 'SPEAKER_0' || CASE WHEN chunk_idx = 1 THEN translate(s, '01', '10') WHEN chunk_idx = 2 THEN translate(s, '02', '20') ELSE s END AS speaker_id,
            greatest(start_ms, chunk_start_ms) AS start_ms, least(end_ms, chunk_end_ms) AS end_ms
@@ -153,38 +153,55 @@ def processing_decisions(c: Corpus) -> DataFrame:
     return made.withColumn("reasons", F.array_join("reasons", "; "))
 
 
+# A seam belongs to the chunk behind it; its turns are those of that chunk and of the one before.
 _MARKS = """
-    SELECT job_id, t, arg_min(speaker_id, ord) AS speaker_id FROM (
-      SELECT s.job_id, s.t, c.speaker_id, c.start_ms * 100000000 + c.end_ms AS ord FROM marks s JOIN chunk_turns c
-        ON c.job_id = s.job_id AND c.chunk_idx = {chunk} AND c.start_ms <= s.t * 1000 + 500 AND c.end_ms >= s.t * 1000 + 500) GROUP BY ALL"""
-
-
-@query("C3", f"""
-    WITH seams AS (SELECT a.job_id, b.chunk_start_ms AS x, a.chunk_end_ms AS y FROM diar_plan a JOIN diar_plan b
-                   ON a.job_id = b.job_id AND a.chunk_idx = 0 AND b.chunk_idx = 1 WHERE a.chunk_end_ms > b.chunk_start_ms + 500),
-    marks AS (SELECT job_id, unnest(range(x // 1000, y // 1000)) AS t FROM seams),
-    k AS ({_MARKS.format(chunk=0)}), l AS ({_MARKS.format(chunk=1)})
-    SELECT job_id, l.speaker_id AS local, k.speaker_id AS known, count(*) AS votes, min(t) AS first_t FROM l JOIN k USING (job_id, t) GROUP BY ALL""")
-def seam_votes(c: Corpus) -> DataFrame:
-    """Votes on the seam between the first two chunks."""
-    return rc.seam_votes(*_first_seam(c))
-
-
-def _first_seam(c: Corpus):
+    SELECT job_id, chunk_idx, t, arg_min(speaker_id, ord) AS speaker_id FROM (
+      SELECT s.job_id, s.chunk_idx, s.t, c.speaker_id, c.start_ms * 100000000 + c.end_ms AS ord FROM marks s JOIN chunk_turns c
+        ON c.job_id = s.job_id AND c.chunk_idx = s.chunk_idx - {back} AND c.start_ms <= s.t * 1000 + 500 AND c.end_ms >= s.t * 1000 + 500) GROUP BY ALL"""
+VIEWS["votes"] = f"""
+    WITH seams AS (SELECT b.job_id, b.chunk_idx, b.chunk_start_ms AS x, a.chunk_end_ms AS y FROM diar_plan a JOIN diar_plan b
+                   ON a.job_id = b.job_id AND b.chunk_idx = a.chunk_idx + 1 WHERE a.chunk_end_ms > b.chunk_start_ms + 500),
+    marks AS (SELECT job_id, chunk_idx, unnest(range(x // 1000, y // 1000)) AS t FROM seams),
+    k AS ({_MARKS.format(back=1)}), l AS ({_MARKS.format(back=0)})
+    SELECT job_id, chunk_idx, l.speaker_id AS local, k.speaker_id AS known, count(*) AS votes, min(t) AS first_t
+    FROM l JOIN k USING (job_id, chunk_idx, t) GROUP BY ALL"""
+_SEAM = ("job_id", "chunk_idx")
+
+
+def _seams(c: Corpus):
+    """Turns before and behind every seam, and the seams."""
     turns = c.chunk_turns().withColumn("turn_no", F.col("start_ms") * 100_000_000 + F.col("end_ms"))
-    ends = c.diar_plan().filter("chunk_idx = 0").select("job_id", F.col("chunk_end_ms").alias("seam_end"))
-    seams = c.diar_plan().filter("chunk_idx = 1").select("job_id", F.col("chunk_start_ms").alias("seam_start")).join(ends, "job_id")
-    return turns.filter("chunk_idx = 0"), turns.filter("chunk_idx = 1"), seams
+    ends = c.diar_plan().select("job_id", (F.col("chunk_idx") + 1).alias("chunk_idx"), F.col("chunk_end_ms").alias("seam_end"))
+    seams = c.diar_plan().select("job_id", "chunk_idx", F.col("chunk_start_ms").alias("seam_start")).join(ends, list(_SEAM))
+    return turns.withColumn("chunk_idx", F.col("chunk_idx") + 1), turns, seams
 
 
-@query("C4")
+@query("C3", "SELECT job_id, chunk_idx, local, known, votes, first_t FROM votes")
+def seam_votes(c: Corpus) -> DataFrame:
+    """Votes on every seam, by the labels of the chunks on both sides."""
+    return rc.seam_votes(*_seams(c), _SEAM)
+
+
+@query("C4", """
+    WITH RECURSIVE ordered AS (
+      SELECT *, row_number() OVER (PARTITION BY job_id, chunk_idx ORDER BY total DESC, seen, local, votes DESC, first_t, known) AS p FROM (
+        SELECT *, sum(votes) OVER w AS total, min(first_t) OVER w AS seen FROM votes WINDOW w AS (PARTITION BY job_id, chunk_idx, local))),
+    walk AS (
+      SELECT job_id, chunk_idx, 1::BIGINT AS p, [local] AS locals, [known] AS knowns FROM ordered WHERE p = 1
+      UNION ALL
+      SELECT o.job_id, o.chunk_idx, o.p,
+             CASE WHEN list_contains(locals, local) OR list_contains(knowns, known) THEN locals ELSE list_append(locals, local) END,
+             CASE WHEN list_contains(locals, local) OR list_contains(knowns, known) THEN knowns ELSE list_append(knowns, known) END
+      FROM walk w JOIN ordered o ON o.job_id = w.job_id AND o.chunk_idx = w.chunk_idx AND o.p = w.p + 1)
+    SELECT job_id, chunk_idx, unnest(locals) AS local, unnest(knowns) AS known FROM (
+      SELECT job_id, chunk_idx, arg_max(locals, p) AS locals, arg_max(knowns, p) AS knowns FROM walk GROUP BY ALL)""")
 def seam_mapping(c: Corpus) -> DataFrame:
-    return rc.greedy_map(rc.seam_votes(*_first_seam(c)))
+    return rc.greedy_map(rc.seam_votes(*_seams(c), _SEAM), _SEAM)
 
 
 @query("C5 N4")
 def reconciled_turns(c: Corpus) -> DataFrame:
-    return rc.reconcile(c.chunk_turns(), c.diar_plan(), 3)
+    return rc.reconcile(c.chunk_turns(), c.diar_plan())
 
 
 @query("C6", """

@@ -63,18 +63,17 @@ def meeting_metrics(c: Corpus) -> DataFrame:
     )
 
 
-def _top_sql(source: str, where: str, having: str, shown: int) -> str:
+def _top_sql(source: str, where: str, having: str) -> str:
     return f"""
     SELECT job_id, term, n_seen, place FROM (
       SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY n_seen DESC, first_idx) AS place FROM (
-        SELECT job_id, term, count(*) AS n_seen, min(word_idx) AS first_idx FROM ({source}) WHERE {where} GROUP BY job_id, term HAVING {having}))
-    WHERE place <= {shown}"""
+        SELECT job_id, term, count(*) AS n_seen, min(word_idx) AS first_idx FROM ({source}) WHERE {where} GROUP BY job_id, term HAVING {having}))"""
 
 
 @query("E7 C13", _top_sql(
     f"SELECT job_id, word_idx, {_BARE} AS term FROM words",
     f"regexp_matches(term, '^[A-Z][a-z]{{2,}}$') AND term NOT IN ({sql_list(lx.OPENING_WORDS)}) "
-    "AND (job_id, lower(term)) NOT IN (SELECT (job_id, token) FROM name_parts)", "count(*) >= 2", 15))
+    "AND (job_id, lower(term)) NOT IN (SELECT (job_id, token) FROM name_parts)", "count(*) >= 2"))
 def frequent_names(c: Corpus) -> DataFrame:
     return me.frequent_names(c.words(), c.names())
 
@@ -82,29 +81,29 @@ def frequent_names(c: Corpus) -> DataFrame:
 @query("E8 C13", _top_sql(
     f"SELECT job_id, word_idx, {_BARE} AS term FROM words",
     "regexp_matches(term, '^[A-Z]{2,}$') AND (job_id, term) NOT IN (SELECT (job_id, upper(original)) FROM corrections "
-    "UNION SELECT (job_id, upper(replacement)) FROM corrections)", "true", 15))
+    "UNION SELECT (job_id, upper(replacement)) FROM corrections)", "true"))
 def unknown_acronyms(c: Corpus) -> DataFrame:
     return me.unknown_acronyms(c.words(), c.corrections())
 
 
 @query("E9", _top_sql(
-    f"SELECT job_id, word_idx, lower({_BARE}) AS term FROM words WHERE confidence < 0.65", "length(term) > 2", "count(*) >= 2", 10))
+    f"SELECT job_id, word_idx, lower({_BARE}) AS term FROM words WHERE confidence < 0.65", "length(term) > 2", "count(*) >= 2"))
 def repeated_uncertain_words(c: Corpus) -> DataFrame:
     return me.repeated_uncertain(c.words())
 
 
 @query("E10", """
     SELECT * FROM (
-      SELECT job_id, seg_idx, row_number() OVER (PARTITION BY job_id ORDER BY seg_idx) AS place, n_low, start_ms, end_ms,
+      SELECT job_id, seg_idx, row_number() OVER (PARTITION BY job_id ORDER BY seg_idx) AS place, n_low, start_ms, end_ms, text,
              CASE WHEN length(text) > 80 THEN left(text, 80) || '...' ELSE text END AS preview
       FROM segments JOIN (SELECT job_id, seg_idx, count(*) AS n_low FROM words WHERE confidence < 0.65 GROUP BY ALL HAVING count(*) >= 2)
-      USING (job_id, seg_idx)) WHERE place <= 10""")
+      USING (job_id, seg_idx))""")
 def low_segments_by_count(c: Corpus) -> DataFrame:
     return me.low_segments_by_count(c.words(), c.segments())
 
 
 @query("E11", f"""
-    SELECT job_id, seg_idx, speaker_id, start_ms, {rnd('a', 4)} AS avg_confidence,
+    SELECT job_id, seg_idx, speaker_id, start_ms, {rnd('a', 4)} AS avg_confidence, text,
            CASE WHEN length(text) > 80 THEN left(text, 80) || '…' ELSE text END AS preview
     FROM segments JOIN (SELECT job_id, seg_idx, {mean('confidence')} AS a FROM words GROUP BY ALL) USING (job_id, seg_idx) WHERE a < 0.65""")
 def low_segments_by_average(c: Corpus) -> DataFrame:
@@ -121,7 +120,7 @@ def low_segments_by_average(c: Corpus) -> DataFrame:
              {rnd('a', 4)} AS avg_confidence, start_ms AS first_ms
       FROM titled t JOIN segments USING (job_id, seg_idx)
       WHERE (n_seen = 1 OR a < 0.65) AND NOT EXISTS (SELECT 1 FROM small s WHERE s.job_id = t.job_id AND s.token = lower(t.term))
-        AND NOT EXISTS (SELECT 1 FROM name_parts s WHERE s.job_id = t.job_id AND s.token = lower(t.term))) WHERE place <= 30""")
+        AND NOT EXISTS (SELECT 1 FROM name_parts s WHERE s.job_id = t.job_id AND s.token = lower(t.term)))""")
 def doubtful_names(c: Corpus) -> DataFrame:
     return me.doubtful_names(c.words(), c.segments(), c.names())
 
@@ -182,17 +181,16 @@ def alternating_pairs(c: Corpus) -> DataFrame:
 
 
 @query("D9", """
-    SELECT job_id, seg_idx, speaker_id, start_ms, end_ms, left(text, 60) AS text FROM segments WHERE end_ms - start_ms < 1500 AND n_words > 0""")
+    SELECT job_id, seg_idx, speaker_id, start_ms, end_ms, text FROM segments WHERE end_ms - start_ms < 1500 AND n_words > 0""")
 def short_segments(c: Corpus) -> DataFrame:
     return rv.short_segments(c.segments())
 
 
 @query("C12", """
     SELECT c.job_id, c.seg_idx, step, original, replacement, confidence, seg_id, start_ms AS at_ms
-    FROM corrections c LEFT JOIN (SELECT * FROM segments WHERE n_words >= 20) USING (job_id, seg_idx)""")
+    FROM corrections c LEFT JOIN segments USING (job_id, seg_idx)""")
 def corrections_with_time(c: Corpus) -> DataFrame:
-    # Only segments of some length stand for those that later processing left in place.
-    left = c.segments().filter("n_words >= 20").select("job_id", "seg_idx", "seg_id", F.col("start_ms").alias("at_ms"))
+    left = c.segments().select("job_id", "seg_idx", "seg_id", F.col("start_ms").alias("at_ms"))
     return c.corrections().join(left, ["job_id", "seg_idx"], "left").select(
         "job_id", "seg_idx", "step", "original", "replacement", "confidence", "seg_id", "at_ms"
     )
@@ -255,6 +253,7 @@ _INDEX_PARTS = [
     ("actions", "action", "sent_no", "task, owner, due_date, at_ms, speaker_id, confidence, reason"),
     ("decisions", "decision", "sent_no", "decision, at_ms, speaker_id, confidence, reason"),
     ("questions", "question", "sent_no", "question, is_answered, at_ms, speaker_id, confidence"),
+    ("entities", "entity", "('0x' || left(md5(value), 5))::INT", "kind, value"),
     ("corrections LEFT JOIN segments USING (job_id, seg_idx)", "correction", "seg_idx", "original, replacement, confidence, profile, seg_id, start_ms"),
 ]
 VIEWS["index_all"] = " UNION ALL ".join(_json_sql(*p) for p in _INDEX_PARTS)
@@ -266,17 +265,16 @@ def _index(c: Corpus) -> DataFrame:
     )
 
 
-@query("A10", "SELECT * FROM index_all UNION ALL SELECT job_id, 'entity', NULL, to_json(struct_pack(kind := kind, value := value))::VARCHAR FROM entities")
+@query("A10", "SELECT * FROM index_all")
 def search_index_rows(c: Corpus) -> DataFrame:
-    rows = _index(c)
-    return rows.withColumn("place", F.when(F.col("section") != "entity", F.col("place")))
+    return _index(c)
 
 
 @query("A10", """
     SELECT job_id, section, place // 1000 AS piece, count(*) AS n, '[' || string_agg(body, ',' ORDER BY place, body) || ']' AS document
     FROM index_all GROUP BY ALL""")
 def search_index_documents(c: Corpus) -> DataFrame:
-    return se.index_documents(_index(c).filter("section <> 'entity'"))
+    return se.index_documents(_index(c))
 
 
 @query("C8", """

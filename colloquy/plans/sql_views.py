@@ -99,7 +99,7 @@ def esc(pattern: str) -> str:
 def _rule_rows(rules) -> str:
     items = ", ".join(
         f"struct_pack(rank := {i}, confidence := {conf}::DOUBLE, owned := {str(owned).lower()}, reason := '{reason}', item := "
-        f"regexp_replace(trim(regexp_extract(text, '{esc(rf'(?i)\b{lead}\b{gap}(.{{5,100}}?)(?:[.!?]|$)')}', 1)), '[.,;:]+$', ''))"
+        f"regexp_replace(trim(regexp_extract(text, '{esc(rf'(?i)\b{lead}\b{gap}{lx.ITEM}')}', 1)), '[.,;:]+$', ''))"
         for i, (lead, gap, conf, owned, reason) in enumerate(rules)
     )
     # First rule that matches in each sentence, then the first sentence of each item.
@@ -107,7 +107,7 @@ def _rule_rows(rules) -> str:
         SELECT * EXCLUDE (nth) FROM (
           SELECT *, row_number() OVER (PARTITION BY job_id, lower(item) ORDER BY sent_no) AS nth FROM (
             SELECT s.job_id, s.sent_no, s.seg_idx, s.speaker_id, s.start_ms AS at_ms, s.text, m.* FROM (
-              SELECT *, list_filter([{items}], lambda x: length(x.item) >= 5)[1] AS m FROM sentences) s
+              SELECT *, list_filter([{items}], lambda x: length(x.item) >= 1)[1] AS m FROM sentences) s
             WHERE m IS NOT NULL)) WHERE nth = 1"""
 
 
@@ -126,7 +126,7 @@ VIEWS.update({
     "acted": _rule_rows(lx.ACTION_RULES),
     "decided": _rule_rows(lx.DECISION_RULES),
     "actions": f"""
-        SELECT a.job_id, sent_no, seg_idx, speaker_id, at_ms, left(text, 200) AS text, item AS task,
+        SELECT a.job_id, sent_no, seg_idx, speaker_id, at_ms, text, item AS task,
                CASE WHEN owned THEN coalesce(display, speaker_id) END AS owner,
                coalesce(nullif(regexp_extract(text, '{lx.DUE_WEEKDAY}', 1), ''),
                         nullif(regexp_extract(text, '{lx.DUE_DATE}', 1), ''),
@@ -137,7 +137,7 @@ VIEWS.update({
                confidence, reason
         FROM acted a LEFT JOIN names n USING (job_id, speaker_id)""",
     "decisions": """
-        SELECT job_id, sent_no, seg_idx, speaker_id, at_ms, left(text, 200) AS text, item AS decision, confidence, reason
+        SELECT job_id, sent_no, seg_idx, speaker_id, at_ms, text, item AS decision, confidence, reason
         FROM decided""",
     "asked": f"""
         SELECT *, row_number() OVER (PARTITION BY job_id, lower(text) ORDER BY sent_no) AS nth FROM (
@@ -147,7 +147,7 @@ VIEWS.update({
           AND NOT (core <> '' AND core NOT LIKE '%?' AND
                    regexp_replace(lower(regexp_extract(core, '^(\\S+)', 1)), '[?,;:]+$', '') NOT IN {_in(lx.QUESTION_WORDS)})""",
     "questions": f"""
-        SELECT job_id, sent_no, seg_idx, speaker_id, at_ms, left(text, 200) AS text, text AS question,
+        SELECT job_id, sent_no, seg_idx, speaker_id, at_ms, text, text AS question,
                coalesce(reply_ms - at_ms <= 30000 AND NOT unsure, false) AS is_answered,
                0.95::DOUBLE AS confidence, 'ends with a question mark' AS reason
         FROM (SELECT a.job_id, a.sent_no, a.seg_idx, a.speaker_id, a.start_ms AS at_ms, a.text,
@@ -197,18 +197,18 @@ VIEWS.update({
     "timeline": """
         SELECT * EXCLUDE (nth) FROM (
           SELECT *, row_number() OVER (PARTITION BY job_id, at_ms, event ORDER BY kind_no, item_no) AS nth FROM (
-            SELECT job_id, arg_min(start_ms, seg_idx) AS at_ms, 0 AS kind_no, 0 AS item_no, 'Meeting begins' AS event, NULL AS speaker_id
+            SELECT job_id, arg_min(start_ms, seg_idx) AS at_ms, 0 AS kind_no, 0 AS item_no, 'Meeting begins' AS event, 'Meeting begins' AS label, NULL AS speaker_id
             FROM segments GROUP BY job_id
-            UNION ALL SELECT n.job_id, s.start_ms, 1, s.seg_idx, display || ' speaks', n.speaker_id
+            UNION ALL SELECT n.job_id, s.start_ms, 1, s.seg_idx, display || ' speaks', display || ' speaks', n.speaker_id
             FROM names n JOIN segments s ON s.job_id = n.job_id AND s.seg_idx = n.first_seg
             WHERE (SELECT count(*) FROM names m WHERE m.job_id = n.job_id) > 1
-            UNION ALL SELECT job_id, start_ms, 2, chunk, 'Topic: ' || CASE WHEN length(label) > 60 THEN left(label, 60) || '...' ELSE label END, NULL
+            UNION ALL SELECT job_id, start_ms, 2, chunk, 'Topic: ' || label, 'Topic: ' || CASE WHEN length(label) > 60 THEN left(label, 60) || '...' ELSE label END, NULL
             FROM topics
-            UNION ALL SELECT job_id, at_ms, 3, sent_no, 'Decision: ' || CASE WHEN length(decision) > 60 THEN left(decision, 60) || '...' ELSE decision END, speaker_id
+            UNION ALL SELECT job_id, at_ms, 3, sent_no, 'Decision: ' || decision, 'Decision: ' || CASE WHEN length(decision) > 60 THEN left(decision, 60) || '...' ELSE decision END, speaker_id
             FROM decisions
-            UNION ALL SELECT job_id, at_ms, 4, sent_no, 'Action item: ' || CASE WHEN length(task) > 60 THEN left(task, 60) || '...' ELSE task END, speaker_id
+            UNION ALL SELECT job_id, at_ms, 4, sent_no, 'Action item: ' || task, 'Action item: ' || CASE WHEN length(task) > 60 THEN left(task, 60) || '...' ELSE task END, speaker_id
             FROM actions
-            UNION ALL SELECT job_id, arg_max(end_ms, seg_idx), 5, 0, 'Meeting ends', NULL FROM segments GROUP BY job_id)) WHERE nth = 1""",
+            UNION ALL SELECT job_id, arg_max(end_ms, seg_idx), 5, 0, 'Meeting ends', 'Meeting ends', NULL FROM segments GROUP BY job_id)) WHERE nth = 1""",
     "summary_terms": f"""
         SELECT * FROM (
           SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY n_seen DESC, first) AS place FROM (
@@ -220,7 +220,8 @@ VIEWS.update({
         [
             f"SELECT job_id, seg_idx, speaker_id, {str(sure).lower()} AS sure, strpos(text, m) AS at_char, regexp_extract(m, '{esc(p)}', 1) AS name "
             f"FROM (SELECT *, unnest(regexp_extract_all(text, '{esc(p)}')) AS m FROM segments)"
-            for p, sure in [(p, True) for p in lx.INTRO_SURE] + [(p, False) for p in lx.INTRO_LIKELY]
+            + (f" WHERE regexp_extract(m, '{esc(p)}', 2) = ''" if pointing else "")
+            for p, sure, pointing in [(lx.introduction_pattern(rule, pointing), sure, pointing) for rule, sure, pointing in lx.INTRO_RULES]
         ]
     ),
 })

@@ -252,7 +252,7 @@ class Corpus:
         )
 
     def diar_plan(self) -> DataFrame:
-        return ck.plan_diar_chunks(self.jobs(), 3)
+        return ck.plan_diar_chunks(self.jobs(), 6)
 
     def chunk_turns(self) -> DataFrame:
         """Turns as each diarization chunk labels them: chunk 1 swaps 00 and 01, chunk 2 swaps 00 and 02."""

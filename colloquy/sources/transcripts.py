@@ -19,14 +19,26 @@ CORRUPT = "_corrupt"
 
 
 def read_transcripts(spark: SparkSession, path: str, bad_path: str | None = None) -> DataFrame:
-    """Transcripts from JSON lines; lines that do not parse are left out, and kept in bad_path if given."""
-    raw = spark.read.schema(f"{SCHEMA}, {CORRUPT} string").option("mode", "PERMISSIVE").option(
-        "columnNameOfCorruptRecord", CORRUPT
-    ).json(path)
+    """Transcripts below path: files of JSON lines (named part-*, *.jsonl or *.ndjson), and files that are one transcript each.
+
+    Every record is checked against the whole schema, whatever columns are used later. Records that don't fit or lack a job_id are left
+    out, counted in a warning, and kept in bad_path (file, value) if given.
+    """
+    lines = F.col("_metadata.file_name").rlike(r"^part-|[.](?:jsonl|ndjson)$")
+
+    def texts(whole: bool) -> DataFrame:
+        return spark.read.text(path, wholetext=whole, recursiveFileLookup=True).where(~lines if whole else lines).select("value", F.col("_metadata.file_path").alias("file"))
+
+    records = texts(False).unionByName(texts(True)).where(F.trim("value") != "")
+    # With options set, Spark parses all fields even if few are read.
+    parsed = records.withColumn("r", F.from_json("value", f"{SCHEMA}, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
+    bad = parsed.where(F.col("r").isNull() | F.col(f"r.{CORRUPT}").isNotNull() | F.col("r.job_id").isNull())
     if bad_path:
-        # Spark wants the corrupt column read together with another one.
-        raw.filter(F.col(CORRUPT).isNotNull() & F.col("job_id").isNull()).select(F.col(CORRUPT).alias("value")).write.mode("append").text(bad_path)
-    return raw.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+        bad.select("file", "value").write.mode("append").json(bad_path)
+    if rejected := bad.count():
+        log.warning("%s: %d records are no transcripts and are left out", path, rejected)
+    good = parsed.where(F.col("r").isNotNull() & F.col(f"r.{CORRUPT}").isNull() & F.col("r.job_id").isNotNull())
+    return good.select("r.*").drop(CORRUPT)
 
 
 def transcript_segments(transcripts: DataFrame) -> DataFrame:
@@ -62,14 +74,14 @@ def write_transcripts(transcripts: DataFrame, path: str) -> None:
 
 
 def write_artifacts(path: str, artifacts: dict[str, DataFrame]) -> dict[str, str]:
-    """Write documents (job_id, part, content) of each format under artifact=<name>.
+    """Write documents (job_id, part, content) of each format under artifact=<name>; a rerun replaces them.
 
     A format that fails is logged and reported; the others are still written.
     """
     failed = {}
     for name, docs in artifacts.items():
         try:
-            docs.withColumn("artifact", F.lit(name)).write.mode("append").partitionBy("artifact").parquet(path)
+            docs.write.mode("overwrite").parquet(f"{path}/artifact={name}")
         except Exception as e:  # noqa: BLE001
             log.warning("artifact %s failed: %s", name, e)
             failed[name] = str(e)

@@ -19,10 +19,15 @@ SF = "/root/testdata/sf0.001"
 def test_bad_transcripts_are_set_aside(spark, tmp_path):
     good = {"job_id": 1, "segments": [{"seg_idx": 0, "speaker_id": "A", "text": "hi you", "words": [{"text": "hi"}, {"text": "you"}]}]}
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.json").write_text(json.dumps(good) + "\n{broken\n")
+    odd = good | {"job_id": 2, "duration_ms": "abc"}
+    (tmp_path / "in" / "a.jsonl").write_text(json.dumps(good) + "\n{broken\n" + json.dumps(odd) + "\n" + json.dumps({"language": "en"}) + "\n")
+    (tmp_path / "in" / "pretty.json").write_text(json.dumps(good | {"job_id": 7}, indent=2))
+    (tmp_path / "in" / "cut.json").write_text(json.dumps(good, indent=2)[:-9])
     got = ts.read_transcripts(spark, str(tmp_path / "in"), str(tmp_path / "bad"))
-    assert [(r.seg_idx, r.pos, r.text) for r in ts.transcript_words(got).collect()] == [(0, 0, "hi"), (0, 1, "you")]
-    assert [r.value for r in spark.read.text(str(tmp_path / "bad")).collect()] == ["{broken"]
+    assert sorted((r.job_id, r.seg_idx, r.pos, r.text) for r in ts.transcript_words(got).collect()) == [(1, 0, 0, "hi"), (1, 0, 1, "you"), (7, 0, 0, "hi"), (7, 0, 1, "you")]
+    assert got.count() == 2 and sorted(r.job_id for r in got.select("job_id").collect()) == [1, 7]
+    bad = sorted((r.file.rsplit("/")[-1], r.value[:7]) for r in spark.read.json(str(tmp_path / "bad")).collect())
+    assert bad == [("a.jsonl", '{"job_i'), ("a.jsonl", '{"langu'), ("a.jsonl", "{broken"), ("cut.json", '{\n  "jo')]
 
 
 def test_failing_format_does_not_stop_the_others(spark, tmp_path):

@@ -107,7 +107,7 @@ def test_reconcile_against_loop(spark, seed):
         meetings[job] = chunks
     plan = spark.createDataFrame([(j, i, c[0], c[1]) for j, cs in meetings.items() for i, c in enumerate(cs)], "job_id long, chunk_idx long, chunk_start_ms long, chunk_end_ms long")
     turns = spark.createDataFrame([(j, i, *t) for j, cs in meetings.items() for i, c in enumerate(cs) for t in c[2]], "job_id long, chunk_idx long, speaker_id string, start_ms long, end_ms long")
-    rows = rc.reconcile(turns, plan, 3).collect()
+    rows = rc.reconcile(turns, plan).collect()
     for job, chunks in meetings.items():
         assert sorted((r.speaker_id, r.start_ms, r.end_ms) for r in rows if r.job_id == job) == reconciled(chunks)
 
