@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from colloquy.llm.shared import written
-from colloquy.llm.texts import byte_texts
+from colloquy.llm.texts import byte_texts, parts
 from colloquy.session import ship_package
 
 END = b""
@@ -79,7 +79,7 @@ def count_words(texts: DataFrame) -> DataFrame:
     ship_package(texts.sparkSession)
 
     def count(batches):
-        for batch in batches:
+        for batch in parts(batches, 2500):
             for group in slices(byte_texts(batch.column(0))):
                 n = Counter()
                 for t in group:
@@ -94,7 +94,7 @@ def count_bigrams(texts: DataFrame, symbols: Symbols) -> DataFrame:
     """(pair, n): pair is first symbol * symbols.size + second; a text stands between two ends."""
 
     def count(batches):
-        for batch in batches:
+        for batch in parts(batches, 2500):
             for group in slices(byte_texts(batch.column(0))):
                 codes = [0]
                 for t in group:
@@ -221,7 +221,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         uid = TaskContext.get().partitionId() << 40
         symbols, label, head = model.symbols, model.label, model.head
         logs = {w: float(np.log10(n + 0.5)) for w, n in head.items()}
-        for batch in batches:
+        for batch in parts(batches):
             texts, rows = byte_texts(batch.column(1)), {k: [] for k in ("uid", "n_tokens", "head_known", "head_logs", "model_logs", "rare", "times")}
             for text in texts:
                 words = words_of(text)

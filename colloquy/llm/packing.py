@@ -16,6 +16,7 @@ rows. Only doc_id and text of the input are used.
 
 from __future__ import annotations
 
+import os
 import zlib
 from dataclasses import dataclass
 from itertools import chain
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.llm.shared import written
-from colloquy.llm.texts import byte_texts
+from colloquy.llm.texts import byte_texts, parts
 from colloquy.session import ship_package
 
 END_ID = 1
@@ -38,7 +39,9 @@ BLOCK_ROWS = 1024
 class WordTokenizer:
     """Ids of whole texts from the ids of their words; remembers at most `remembered` words between batches."""
 
-    def __init__(self, path: str, remembered: int = 400_000):
+    def __init__(self, path: str, remembered: int = 350_000):
+        # A task is one thread; more of them would hold memory of their own.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -95,7 +98,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, ke
 
     def cut(batches):
         tok = tokenizer(tokenizer_path)
-        for batch in batches:
+        for batch in parts(batches, 2500):
             texts, keys = byte_texts(batch.column(1)), batch.column(0)
             bounds = np.cumsum([len(t) for t in texts]) // slice_bytes
             for piece in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(bounds)) + 1) if len(texts) else []:

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from colloquy.llm.texts import byte_texts
+from colloquy.llm.texts import byte_texts, parts
 from colloquy.session import ship_package
 
 MARK = "▁"
@@ -338,7 +338,7 @@ def encode(docs: DataFrame, model_path: str, *, n: int = 4, keep_ids: bool = Fal
 
     def run(batches):
         enc = encoder(model_path)
-        for batch in batches:
+        for batch in parts(batches, 2500):
             keys, texts = batch.column(0), byte_texts(batch.column(1))
             bounds = np.cumsum([len(t) for t in texts]) // slice_bytes
             for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(bounds)) + 1) if len(texts) else []:

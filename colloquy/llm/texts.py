@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable
 
 import numpy as np
@@ -22,6 +25,20 @@ def byte_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def parts(batches, rows: int = 1000):
+    """Slices of the batches, so that a worker holds few texts besides the batch itself; afterwards memory goes back to the system.
+
+    Workers outlive their tasks, and what they keep adds up with what the next operator needs.
+    """
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def n_code_points(text: bytes) -> int:
     return len(text.translate(None, CONTINUATION))
 
@@ -48,9 +65,10 @@ def map_texts(docs: DataFrame, new: str, compute: Callable[[list[bytes]], list],
     at = docs.columns.index(text)
 
     def run(batches):
-        for batch in batches:
-            rows = batch.column(0)
-            columns = compute(byte_texts(rows.field(at)))
+        for part in parts(batches):
+            rows = part.column(0)
+            # The field of a slice of rows, not of all rows.
+            columns = compute(byte_texts(rows.flatten()[at]))
             yield pa.RecordBatch.from_arrays([rows, *columns], names=["row", *fields.names])
 
     out = packed.mapInArrow(run, StructType([*packed.schema.fields, *fields.fields]))

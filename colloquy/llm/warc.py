@@ -127,8 +127,10 @@ def write_archives(pages: DataFrame, path: str, *, key: str = "page_id", url: st
     copies = narrow.join(firsts.select("content", "first"), "content").where("key is null or key <> first").distinct()
     total = rows.agg(F.sum(size + 600).alias("n")).head()["n"] or 0
     files = int(1 + total // (4 * archive_bytes))
-    whole, named = rows.repartition(files, "key", "content"), copies.repartition(files, "key", "content")
-    dealt = whole.join(named, whole["key"].eqNullSafe(named["key"]) & (whole["content"] == named["content"]), "left").select(whole["key"], "url", "payload", "first")
+    name = F.coalesce(F.col("key").cast("string"), F.lit("")).alias("name")
+    whole = rows.select("key", "url", "payload", name, "content").repartition(files, "name", "content")
+    named = copies.select(name, "content", "first").repartition(files, "name", "content")
+    dealt = whole.join(named, ["name", "content"], "left").select("key", "url", "payload", "first")
 
     def compress(batches):
         for batch in batches:
