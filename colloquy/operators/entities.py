@@ -31,12 +31,15 @@ def _kept(df: DataFrame) -> DataFrame:
 def stretches(segs: DataFrame) -> DataFrame:
     """Meeting text cut where no entity can run on, so that the pieces can be searched apart.
 
-    An entity may cross a segment border only if the next segment starts with a token that can
-    continue one (capital, digit, amount word); such borders are not cut.
+    A border is kept only if the next segment starts with a token that can continue an entity (capital, digit, amount word) and the
+    segment before doesn't end a sentence: no entity has such a mark inside, but for the full stop of a title.
     """
-    first = F.regexp_extract("text", r"^(\S*)", 1)
-    flagged = segs.select("job_id", "seg_idx", "text", F.when(first.rlike(lx.CONTINUES_ENTITY), 0).otherwise(1).alias("cut"))
-    placed = scan(flagged, dense_axis("job_id", "seg_idx"), stretch=running_sum(F.col("cut")))
+    first, last = F.regexp_extract("text", r"^(\S*)", 1), F.regexp_extract("text", r"(\S*)$", 1)
+    opens = F.when(first.rlike(lx.CONTINUES_ENTITY), 0).otherwise(1)
+    closes = F.when(last.rlike("[.!?;:]$") & ~F.regexp_replace(last, "[.]$", "").isin(*lx.TITLES), 1).otherwise(0)
+    flagged = segs.select("job_id", "seg_idx", "text", opens.alias("opens"), closes.alias("closes"))
+    placed = scan(flagged, dense_axis("job_id", "seg_idx"), _begun=running_sum(F.col("opens")), _ended=running_sum(F.col("closes")))
+    placed = placed.withColumn("stretch", F.col("_begun") + F.col("_ended") - F.col("closes"))
     return concat_in_order(placed, ["job_id", "stretch"], "seg_idx", "text")
 
 

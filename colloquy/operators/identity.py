@@ -6,6 +6,8 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from colloquy.functions.vectors import unit
 
 HIGH, MEDIUM = 0.80, 0.65
 MIN_MS, WINDOW_MS, WHOLE_MS = 2_000, 5_000, 10_000
+SLAB = 1024
 PROFILES_PER_BLOCK = 4_096
 VOICES_PER_SHARD = 16_384
 
@@ -35,17 +38,18 @@ def embedding_windows(turns: DataFrame) -> DataFrame:
 
 
 def centroids(vectors: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean vector of each key at length 1, with the number of vectors.
+    """Mean vector of each key at length 1, with the number of vectors; null vectors don't count.
 
-    The mean is taken per dimension, so it is combined before the shuffle.
+    Vectors are summed as they are, and combined before the shuffle.
     """
-    by_dim = vectors.select(*keys, F.posexplode("embedding").alias("dim", "x")).groupBy(*keys, "dim").agg(
-        F.avg(F.col("x").cast("double")).alias("x"), F.count("*").alias("n")
-    )
-    rows = by_dim.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("v"), F.max("n").alias("n_vectors")
-    )
-    return rows.select(*keys, "n_vectors", unit(F.transform("v", lambda d: d["x"])).alias("centroid"))
+    vector = array_to_vector(F.col("embedding").cast("array<double>"))
+    rows = vectors.where("embedding is not null").groupBy(*keys).agg(Summarizer.mean(vector).alias("v"), F.count("*").alias("n_vectors"))
+    return rows.select(*keys, "n_vectors", unit(vector_to_array("v")).alias("centroid"))
+
+
+def _at_length_one(vectors) -> np.ndarray:
+    x = np.vstack(vectors.to_numpy()).astype(float)
+    return x / np.maximum(np.linalg.norm(x, axis=1), np.finfo(float).tiny)[:, None]
 
 
 def _best_in_block(voices: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
@@ -53,14 +57,16 @@ def _best_in_block(voices: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     if voices.empty or known.empty:
         return pd.DataFrame({c: [] for c in columns}).astype({"job_id": "int64", "similarity": "float64"})
     known = known.sort_values("profile_id")
-    q = np.vstack(voices["centroid"].to_numpy()).astype(float)
-    p = np.vstack(known["centroid"].to_numpy()).astype(float)
-    lengths = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(p, axis=1)[None, :]
-    sims = np.divide(q @ p.T, lengths, out=np.zeros_like(lengths), where=lengths > 0)
-    at = sims.argmax(axis=1)
+    q, p = _at_length_one(voices["centroid"]), _at_length_one(known["centroid"])
+    at, best = np.empty(len(q), dtype=np.int64), np.empty(len(q))
+    # In slabs, so that the products of a task stay at SLAB x PROFILES_PER_BLOCK numbers.
+    for i in range(0, len(q), SLAB):
+        sims = q[i : i + SLAB] @ p.T
+        at[i : i + SLAB] = sims.argmax(axis=1)
+        best[i : i + SLAB] = sims.max(axis=1)
     return pd.DataFrame({
         "job_id": voices["job_id"].to_numpy(), "speaker_id": voices["speaker_id"].to_numpy(),
-        "profile_id": known["profile_id"].to_numpy()[at], "similarity": sims[np.arange(len(q)), at],
+        "profile_id": known["profile_id"].to_numpy()[at], "similarity": best,
     })
 
 

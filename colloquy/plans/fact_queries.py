@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import lexicon as lx
 from colloquy.operators import entities as en
+from colloquy.operators import extractors as ex
 from colloquy.operators import facts as fa
 from colloquy.operators import introductions as intro
 from colloquy.operators import topics as tp
@@ -23,7 +24,7 @@ def _cols(names: str) -> list[str]:
     return names.split(", ")
 
 
-@query("G1 N3", f"SELECT {_ACTION} FROM actions")
+@query("G1", f"SELECT {_ACTION} FROM actions")
 def action_items(c: Corpus) -> DataFrame:
     return fa.action_items(c.sentences(), c.names())
 
@@ -136,25 +137,26 @@ def introduced_speakers(c: Corpus) -> DataFrame:
     return intro.best_introductions(intro.introductions(c.segments()))
 
 
-@query("G12", """
-    SELECT job_id, 'action' AS kind, count(*) AS n FROM actions GROUP BY job_id
-    UNION ALL SELECT job_id, 'decision', count(*) FROM decisions GROUP BY job_id
-    UNION ALL SELECT job_id, 'question', count(*) FROM questions GROUP BY job_id
-    UNION ALL SELECT job_id, 'entity', count(*) FROM entities GROUP BY job_id
-    UNION ALL SELECT job_id, 'topic', count(*) FROM topics GROUP BY job_id
-    UNION ALL SELECT job_id, 'event', count(*) FROM timeline GROUP BY job_id""")
+_BODIES = {
+    "action": ("actions", "at_ms, confidence, due_date, owner, reason, sent_no, seg_idx, speaker_id, task, text"),
+    "decision": ("decisions", "at_ms, confidence, decision, reason, sent_no, seg_idx, speaker_id, text"),
+    "question": ("questions", "at_ms, confidence, is_answered, question, reason, sent_no, seg_idx, speaker_id, text"),
+    "entity": ("entities", "kind, value"),
+    "topic": ("topics", "chunk, end_ms, keywords, label, start_ms"),
+    "event": ("timeline", "at_ms, event, item_no, kind_no, label, speaker_id"),
+}
+
+
+def _body_sql(kind: str) -> str:
+    table, fields = _BODIES[kind]
+    packed = ", ".join(f"{f} := {f}" for f in sorted(fields.split(", ")))
+    return f"SELECT job_id, '{kind}' AS kind, to_json(struct_pack({packed}))::VARCHAR AS body FROM {table}"
+
+
+@query("G12 N3", " UNION ALL ".join(_body_sql(kind) for kind in _BODIES))
 def fact_bundle(c: Corpus) -> DataFrame:
-    parts = {
-        "action": c.actions(), "decision": c.decisions(), "question": c.questions(),
-        "entity": c.entities(), "topic": c.topics(), "event": c.timeline(),
-    }
-    counted = [
-        df.groupBy("job_id").agg(F.lit(kind).alias("kind"), F.count("*").alias("n")) for kind, df in parts.items()
-    ]
-    out = counted[0]
-    for other in counted[1:]:
-        out = out.union(other)
-    return out
+    """Every fact of every registered extractor."""
+    return ex.bundle(ex.extract(c))
 
 
 def _doc_mentions(kinds) -> str:
