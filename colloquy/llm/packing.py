@@ -33,7 +33,7 @@ from colloquy.session import ship_package
 END_ID = 1
 CAPACITY = 2048
 UNIT = 8
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 256
 
 
 class WordTokenizer:
