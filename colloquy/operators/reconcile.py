@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,7 +91,7 @@ def reconcile(chunk_turns: DataFrame, plan: DataFrame) -> DataFrame:
     several = plan.groupBy("job_id").agg(F.count("*").alias("n"))
     first = turns.filter("chunk_idx = 0")
     suffix = F.regexp_extract("speaker_id", r"^SPEAKER_(\d+)$", 1)
-    known = first.select("job_id", "turn_no", "speaker_id", "start_ms", "end_ms")
+    parts = [first.select("job_id", "turn_no", "speaker_id", "start_ms", "end_ms")]
     next_no = plan.select("job_id").distinct().join(
         first.filter(suffix != "").groupBy("job_id").agg((F.max(suffix.cast("int")) + 1).alias("m")), "job_id", "left"
     ).select("job_id", F.coalesce("m", F.lit(0)).alias("next_no"))
@@ -98,21 +100,20 @@ def reconcile(chunk_turns: DataFrame, plan: DataFrame) -> DataFrame:
         local = turns.filter(F.col("chunk_idx") == i)
         ends = plan.filter(F.col("chunk_idx") == i - 1).select("job_id", F.col("chunk_end_ms").alias("seam_end"))
         seams = plan.filter(F.col("chunk_idx") == i).select("job_id", F.col("chunk_start_ms").alias("seam_start")).join(ends, "job_id")
-        mapped = greedy_map(seam_votes(known, local, seams))
+        mapped = greedy_map(seam_votes(reduce(DataFrame.union, parts), local, seams))
         speakers = local.groupBy("job_id", F.col("speaker_id").alias("local")).agg(F.min("turn_no").alias("seen"))
         new = speakers.join(mapped, ["job_id", "local"], "left_anti").join(next_no, "job_id").withColumn(
             "r", F.row_number().over(Window.partitionBy("job_id").orderBy("seen", "local"))
         )
         named = new.select("job_id", "local", F.format_string("SPEAKER_%02d", F.col("next_no") + F.col("r") - 1).alias("known"))
-        mapping = written(mapped.union(named), "speaker_map")
-        used = new.groupBy("job_id").agg(F.count("*").cast("int").alias("used"))
-        next_no = written(
-            next_no.join(used, "job_id", "left").select("job_id", (F.col("next_no") + F.coalesce("used", F.lit(0))).alias("next_no")), "speaker_numbers"
-        )
-        fresh = local.join(mapping.withColumnRenamed("local", "speaker_id"), ["job_id", "speaker_id"]).join(ends, "job_id").filter(
+        mapping = written(mapped.withColumn("fresh", F.lit(False)).union(named.withColumn("fresh", F.lit(True))), "speaker_map")
+        used = mapping.filter("fresh").groupBy("job_id").agg(F.count("*").cast("int").alias("used"))
+        next_no = next_no.join(used, "job_id", "left").select("job_id", (F.col("next_no") + F.coalesce("used", F.lit(0))).alias("next_no"))
+        renamed = mapping.select("job_id", F.col("local").alias("speaker_id"), "known")
+        fresh = local.join(renamed, ["job_id", "speaker_id"]).join(ends, "job_id").filter(
             "end_ms > seam_end"
         ).select("job_id", "turn_no", F.col("known").alias("speaker_id"), F.greatest("start_ms", "seam_end").alias("start_ms"), "end_ms")
-        known = written(known.union(fresh), "reconciled")
-    return known.join(several, "job_id").filter((F.col("n") == 1) | (F.col("end_ms") - F.col("start_ms") > LEAST_TURN_MS)).select(
+        parts.append(written(fresh, "reconciled"))
+    return reduce(DataFrame.union, parts).join(several, "job_id").filter((F.col("n") == 1) | (F.col("end_ms") - F.col("start_ms") > LEAST_TURN_MS)).select(
         "job_id", "speaker_id", "start_ms", "end_ms"
     )

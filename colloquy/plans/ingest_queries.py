@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from colloquy.operators import introductions as intro
 from colloquy.operators import reconcile as rc
 from colloquy.plans.registry import query
 from colloquy.plans.sql_views import VIEWS, rnd, sql_list
+from colloquy.session import shared_folder
+from colloquy.sources import transcripts as ts
 from colloquy.sources.corpus import Corpus
 
 VIEWS["asr_plan"] = """
@@ -314,7 +318,11 @@ def identified_speakers(c: Corpus) -> DataFrame:
 def enrolled_profiles(c: Corpus) -> DataFrame:
     identified = _identified(c)
     added = idn.enrolled_vectors(identified, c.voice_windows())
-    return idn.enrolled_profiles(c.keep("profiles", c.profiles), c.stored_vectors(), identified, added)
+    found = idn.enrolled_profiles(c.keep("profiles", c.profiles), c.stored_vectors(), identified, added)
+    # Into a new version of the store, and back from there.
+    folder, vector = f"{shared_folder(c.spark)}/profile-store-{uuid.uuid4().hex}", ("profile_id", "job_id", "embedding")
+    ts.write_profiles(found, c.stored_vectors().select(*vector).union(added.select(*vector)), folder, 1)
+    return ts.read_profiles(c.spark, folder, 1)[0]
 
 
 @query("I3", "SELECT profile_id, job_id, evidence, count(*) AS n FROM added_vectors GROUP BY ALL")
