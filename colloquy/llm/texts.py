@@ -39,15 +39,6 @@ def parts(batches, rows: int = 1000):
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def n_code_points(text: bytes) -> int:
-    return len(text.translate(None, CONTINUATION))
-
-
-def code_points(text: bytes) -> np.ndarray:
-    """Code points as unsigned 32-bit numbers."""
-    return np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le", "replace"), dtype="<u4")
-
-
 def word_codes(words: list[bytes]) -> np.ndarray:
     """A number for each word, equal for equal words of this list."""
     known: dict[bytes, int] = {}
