@@ -11,6 +11,7 @@ from colloquy.operators.ordered import Axis, following, scan
 
 # Accepted upload types and artifact names of a finished job. Fixed values.
 SUFFIXES = (".aac", ".mp3", ".wav", ".m4a", ".flac", ".mp4", ".mov", ".ogg")
+# Largest upload, names of the artifacts, modes and formats of a request.
 MOST_MB = 2_000
 ARTIFACTS = (
     "transcript.md transcript.json transcript.txt transcript.srt transcript.vtt transcript.stats.json "

@@ -22,6 +22,7 @@ from colloquy.sources.profiles import Profile
 
 log = logging.getLogger(__name__)
 
+# From which confidence a correction is applied, from which score and alias length a fuzzy one, and the words around a word.
 APPLY_FROM = 0.8
 FUZZY_FROM = 88.0
 FUZZY_MIN_CHARS = 6
@@ -141,7 +142,7 @@ def _hits(text: Column, context) -> Column:
 
 
 def effective_confidence(text: Column, entry) -> Column:
-    """Confidence of an entry in this text: context words raise it, their absence sinks it."""
+    """Confidence of an entry in this text: context words raise it, their absence sinks it (fixed values 0.02 and 0.4)."""
     if not entry.context:
         return F.lit(float(entry.confidence))
     hits = _hits(text, entry.context)

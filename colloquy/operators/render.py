@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.functions.text import bare_word, clipped, glued, percent, pipes_escaped, title_of_path
+from colloquy.functions.text import bare_word, glued, percent, pipes_escaped, title_of_path
 from colloquy.functions.timefmt import clock, duration_text, srt_time, vtt_time
 from colloquy.operators import review as rv
 from colloquy.operators.attribution import with_display_names

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.operators.attribution import with_display_names
@@ -75,9 +75,11 @@ def typed_search(typed: str, segs: DataFrame, names: DataFrame, shown: int = 50)
     if len(typed.strip()) < 2:
         return with_display_names(segs, names).limit(0).select("job_id", "seg_idx", "start_ms", "display", "text", F.lit(False).alias("truncated"))
     found = segs.filter(_has(F.col("text"), typed.strip())).orderBy("job_id", "seg_idx").limit(shown + 1)
-    more = found.agg((F.count("*") > shown).alias("truncated"))
-    kept = found.orderBy("job_id", "seg_idx").limit(shown)
-    return with_display_names(kept, names).select("job_id", "seg_idx", "start_ms", "display", "text", more.scalar().alias("truncated"))
+    # One row more than shown tells whether there are more; the windows see these few rows only.
+    few = Window.partitionBy(F.lit(0))
+    placed = found.withColumn("truncated", F.count("*").over(few) > shown).withColumn("_r", F.row_number().over(few.orderBy("job_id", "seg_idx")))
+    kept = placed.filter(F.col("_r") <= shown)
+    return with_display_names(kept, names).select("job_id", "seg_idx", "start_ms", "display", "text", "truncated")
 
 
 def _rows(df: DataFrame, section: str, place: Column, *fields) -> DataFrame:
