@@ -27,8 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from colloquy.llm.shared import written
-from colloquy.llm.texts import byte_texts, parts
-from colloquy.session import ship_package
+from colloquy.llm.texts import byte_texts, parts, prepared
 
 END = b""
 OWN_SYMBOLS, KINDS, CLASSES, HEAD_WORDS = 2000, 500, 64, 131_072
@@ -76,7 +75,7 @@ def slices(texts: list[bytes], size: int = 8 << 20):
 
 def count_words(texts: DataFrame) -> DataFrame:
     """(word, n) over all texts; the empty word counts the ends."""
-    ship_package(texts.sparkSession)
+    prepared(texts.sparkSession)
 
     def count(batches):
         for batch in parts(batches, 2500):
@@ -211,7 +210,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
 
     One pass scores all but the counts of rare words; those are joined on the word and summed per row.
     """
-    ship_package(docs.sparkSession)
+    prepared(docs.sparkSession)
     clash = ("text", "n_tokens", "n_known", "base_score", "score", "perplexity")
     keep = [c for c in docs.columns if c.lower() not in clash]
     packed = docs.select(F.struct(*keep).alias("row"), "text")

@@ -27,8 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.llm.shared import written
-from colloquy.llm.texts import byte_texts, parts
-from colloquy.session import ship_package
+from colloquy.llm.texts import byte_texts, parts, prepared
 
 END_ID = 1
 CAPACITY = 2048
@@ -39,7 +38,7 @@ BLOCK_ROWS = 256
 class WordTokenizer:
     """Ids of whole texts from the ids of their words; remembers at most `remembered` words between batches."""
 
-    def __init__(self, path: str, remembered: int = 350_000):
+    def __init__(self, path: str, remembered: int = 250_000):
         # A task is one thread; more of them would hold memory of their own.
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -89,16 +88,16 @@ def tokenizer(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, keep_ids: bool = False, slice_bytes: int = 8 << 20) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, keep_ids: bool = False, slice_bytes: int = 4 << 20) -> DataFrame:
     """Pieces of at most `capacity` tokens: doc_id, start, length, ids_crc32, doc_tokens and, on request, the ids.
 
     Tokenized in tasks in slices of some megabytes of text.
     """
-    ship_package(docs.sparkSession)
+    prepared(docs.sparkSession)
 
     def cut(batches):
         tok = tokenizer(tokenizer_path)
-        for batch in parts(batches, 2500):
+        for batch in parts(batches):
             texts, keys = byte_texts(batch.column(1)), batch.column(0)
             bounds = np.cumsum([len(t) for t in texts]) // slice_bytes
             for piece in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(bounds)) + 1) if len(texts) else []:

@@ -29,8 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from colloquy.llm.texts import byte_texts, parts
-from colloquy.session import ship_package
+from colloquy.llm.texts import byte_texts, parts, prepared
 
 MARK = "▁"
 MILLION = 1_000_000
@@ -334,7 +333,7 @@ def encode(docs: DataFrame, model_path: str, *, n: int = 4, keep_ids: bool = Fal
 
     `restored` says whether decoding the ids gives back the text.
     """
-    ship_package(docs.sparkSession)
+    prepared(docs.sparkSession)
 
     def run(batches):
         enc = encoder(model_path)

@@ -33,8 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.shared import components, written
-from colloquy.llm.texts import map_texts
-from colloquy.session import ship_package
+from colloquy.llm.texts import map_texts, prepared
 
 SHINGLE = 3
 SEED = 42
@@ -122,7 +121,7 @@ def _centres(batches):
 
 def links(prints: DataFrame, dense: int = DENSE) -> DataFrame:
     """Links (a, b: long) whose components are those of all pairs of distinct fingerprints `fp` at 3 or fewer differing bits."""
-    ship_package(prints.sparkSession)
+    prepared(prints.sparkSession)
     keyed = prints.select("fp").mapInArrow(_keyed, "fp long, key int, side int")
     crowded = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > dense).select("key"), "crowded")
     if crowded.isEmpty():
@@ -137,7 +136,7 @@ def links(prints: DataFrame, dense: int = DENSE) -> DataFrame:
 
 def ball_links(prints: DataFrame) -> DataFrame:
     """The same links for crowded keys through common centres; the rows grow with the fingerprints, not with their pairs."""
-    ship_package(prints.sparkSession)
+    prepared(prints.sparkSession)
     reach = prints.select("fp").mapInArrow(_centres, "fp long, centre long, inner boolean")
     hubs = reach.where("inner").groupBy("centre").agg(F.min("fp").alias("hub"))
     return reach.join(hubs, "centre").where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b"))

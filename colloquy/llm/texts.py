@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -20,6 +20,19 @@ SPACES = b" \t\n\x0b\x0c\r"
 CONTINUATION = bytes(range(0x80, 0xC0))
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def prepared(spark: SparkSession) -> None:
+    """Ships the package, and lets Spark hand texts to workers in batches of 2,000 rows where its default of 10,000 stands.
+
+    Batches are bounded by rows, and texts are long: on both sides of the pipe the default takes five times the memory.
+    """
+    ship_package(spark)
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "2000")
+
+
 def byte_texts(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of every text of an Arrow column; null counts as an empty text."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
@@ -50,7 +63,7 @@ def map_texts(docs: DataFrame, new: str, compute: Callable[[list[bytes]], list],
 
     One pass in tasks over whole texts, no shuffle. An input column whose name clashes with a new one gives way to it.
     """
-    ship_package(docs.sparkSession)
+    prepared(docs.sparkSession)
     fields = StructType.fromDDL(new)
     packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
     at = docs.columns.index(text)

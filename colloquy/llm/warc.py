@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm.texts import byte_texts
-from colloquy.session import shared_folder, ship_package
+from colloquy.llm.texts import byte_texts, prepared
+from colloquy.session import shared_folder
 
 #: Fixed values of the format: version line, line end, and the profile of a revisit with the same payload.
 VERSION, END = b"WARC/1.1", b"\r\n"
@@ -116,7 +116,7 @@ def parsed(content: bytes, where: str) -> dict:
 def write_archives(pages: DataFrame, path: str, *, key: str = "page_id", url: str = "url", payload: str = "html", least: int = LEAST, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write the pages as WARC files into the folder `path`, which must not exist."""
     spark = pages.sparkSession
-    ship_package(spark)
+    prepared(spark)
     rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.coalesce(payload, F.lit("")).alias("payload"))
     size = F.octet_length("payload")
     # SHA-256, so that made-up SHA-1 twins stay apart.
@@ -146,7 +146,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     An archive is one cell of a task, so it should not be larger than some hundred megabytes; write_archives keeps that.
     """
-    ship_package(spark)
+    prepared(spark)
     schema = "key long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, archive string, offset long"
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int64()]
     names = [c.split()[0] for c in schema.split(", ")]

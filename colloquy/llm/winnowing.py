@@ -22,8 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.texts import byte_texts, map_texts
-from colloquy.session import ship_package
+from colloquy.llm.texts import byte_texts, map_texts, prepared
 
 GRAM = 20
 WINDOW = 32
@@ -167,7 +166,7 @@ def in_order(docs: DataFrame, rows_per_block: int, most_blocks: int = 2000) -> D
 
 def compare_with_next(docs: DataFrame, k: int = GRAM, w: int = WINDOW, rows_per_block: int = 512) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document."""
-    ship_package(docs.sparkSession)
+    prepared(docs.sparkSession)
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     names = [c.split()[0] for c in schema.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
