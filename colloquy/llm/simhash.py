@@ -45,19 +45,26 @@ SEGMENTS = ((41, 23), (18, 23), (0, 18))
 BLOCK = 1 << 16
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """64-bit SimHash of the text's word shingles, repeats included."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE, seed: int = SEED):
+    """Hashes of the text's word shingles, repeats included, a block at a time."""
     words = text.lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(shingle, len(words))
     first, last = starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist()
-    digest, n, ones = xxhash.xxh64_intdigest, len(first), np.zeros(64, dtype=np.int64)
-    for at in range(0, n, BLOCK):
-        h = np.array([digest(joined[a:b], seed) for a, b in zip(first[at : at + BLOCK], last[at : at + BLOCK], strict=True)], dtype=">u8")
+    digest = xxhash.xxh64_intdigest
+    for at in range(0, len(first), BLOCK):
+        yield np.array([digest(joined[a:b], seed) for a, b in zip(first[at : at + BLOCK], last[at : at + BLOCK], strict=True)], dtype=">u8")
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """64-bit SimHash of the text's word shingles, repeats included."""
+    n, ones = 0, np.zeros(64, dtype=np.int64)
+    for h in shingle_hashes(text, shingle, seed):
+        n += len(h)
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
@@ -158,12 +165,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, seed: int = SEED
     return marked.join(named, "fp", "left")
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
+def one_of_each(docs: DataFrame, grouped=near_duplicates, **options) -> DataFrame:
     """The document with the smallest doc_id of every component, all columns; documents without an id all stay.
 
-    Of repeated rows of such a document one stays.
+    Components are those of `grouped`, which gives doc_id and component_id. Of repeated rows of such a document one stays.
     """
-    found = written(near_duplicates(docs, **options).select("doc_id", "component_id"), "components")
+    found = written(grouped(docs, **options).select("doc_id", "component_id"), "components")
     kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n"))
     stay = docs.join(kept.select(F.col("doc_id").alias("_id"), "_n"), F.col("doc_id") == F.col("_id"), "left").where("_id is not null or doc_id is null")
     once = stay.where("_n is null or _n = 1").drop("_id", "_n")
