@@ -1,11 +1,11 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled rows: one on ordinary text, one on what is typical of toxic text: passages around words
-that toxic rows have at least ten times as often, in many different neighbourhoods (so that copies of one document count once).
-A text is cut into windows of a few words. Each window is compressed twice: with the ordinary dictionary alone, and with the
-toxic one in front of it. The bytes saved by the toxic dictionary are the window's distance. The largest distance, the
-mean and the numbers of windows over some distances are weighed by a logistic regression on the same rows, whose
-scale is moved so that the best threshold on them becomes 0.7.
+Three zstandard dictionaries are trained on labelled rows: one on ordinary text, one on the windows of all toxic texts, and one that is a
+learnt word list: the bare words that toxic rows have at least ten times as often, in five different neighbourhoods or more (so that
+copies of one document count once), and more often than chance gives to any word. A text is cut into windows of a few words. Each window is compressed with the ordinary
+dictionary alone, and with each toxic one in front of it. The bytes saved by a toxic dictionary are a distance of the
+window. Of either kind the largest distance, the mean and the numbers of windows over some distances are weighed by a
+logistic regression on the same rows, whose scale is moved so that the best threshold on them becomes 0.7.
 
 Defined results: a null or empty text is one empty window, which saves nothing. Without rows of both labels every score is the share of
 toxic ones (0 without any). Repeated rows are scored one by one; a repeated label counts once, and 1 beats 0. An empty table gives no rows.
@@ -13,6 +13,7 @@ toxic ones (0 without any). Repeated rows are scored one by one; a repeated labe
 
 from __future__ import annotations
 
+import math
 import random
 from collections import Counter
 from dataclasses import dataclass
@@ -29,6 +30,8 @@ WINDOW_WORDS = 8
 CUTS = (2, 3, 4, 6)
 THRESHOLD = 0.7
 ORDINARY_BYTES, TOXIC_BYTES = 32_768, 8_192
+#: Statistics of one kind of distance.
+STATISTICS = 2 + 2 * len(CUTS)
 
 
 def fold(key: Column, folds: int = 3) -> Column:
@@ -63,8 +66,19 @@ def compressor(content: bytes):
     return zstandard.ZstdCompressor(dict_data=known, compression_params=how)
 
 
-def typical_words(toxic: list[bytes], ordinary: list[bytes], ratio: float = 10.0, least: int = 5, share: float = 0.01) -> dict[bytes, int]:
-    """Words that toxic texts have at least `ratio` times as often as ordinary ones, with the number of their neighbourhoods."""
+def chance(n: int, others: int, share: float) -> float:
+    """Probability that of n + others rows n or more are toxic, where each is with probability share."""
+    if share >= 1:
+        return 1.0
+    total, a, b = n + others, math.log(share), math.log1p(-share)
+    return sum(math.exp(math.lgamma(total + 1) - math.lgamma(k + 1) - math.lgamma(total - k + 1) + (total - k) * a + k * b) for k in range(others + 1))
+
+
+def typical_words(toxic: list[bytes], ordinary: list[bytes], ratio: float = 10.0, least: int = 5) -> dict[bytes, int]:
+    """Words that toxic texts have at least `ratio` times as often as ordinary ones, with the number of their neighbourhoods.
+
+    Only words that are so often in toxic rows that less than one of all words is expected to be by chance.
+    """
     seen, common = Counter(), Counter()
     for t in toxic:
         seen.update(set(t.lower().split()))
@@ -77,7 +91,8 @@ def typical_words(toxic: list[bytes], ordinary: list[bytes], ratio: float = 10.0
         for before, w, after in zip(split, split[1:], split[2:], strict=False):
             if w in often:
                 around[w].add(hash((before, after)))
-    return {w: len(a) for w, a in sorted(around.items()) if len(a) >= max(least, share * len(toxic))}
+    part, distinct = len(toxic) / (len(toxic) + len(ordinary)), len(seen.keys() | common.keys())
+    return {w: len(a) for w, a in sorted(around.items()) if len(a) >= least and chance(min(len(a), seen[w]), common[w], part) * distinct < 1}
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -97,29 +112,32 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50)
 @dataclass(frozen=True)
 class Classifier:
     ordinary: bytes
-    toxic: bytes
+    words: bytes
+    passages: bytes
     centre: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
     constant: float | None = None
 
     def distances(self, texts: list[bytes], slice_windows: int = 20_000):
-        """Distances of all windows of each text, a slice of windows at a time."""
-        plain, aware = compressor(self.ordinary), compressor(self.ordinary + self.toxic)
+        """Two distances, by typical words and by passages, of all windows of each text, a slice of windows at a time."""
+        plain, *aware = (compressor(self.ordinary + more) for more in (b"", self.words, self.passages))
         for text in texts:
             cut, got = windows(text), []
             for at in range(0, len(cut), slice_windows):
                 part = cut[at : at + slice_windows]
-                got.append(np.fromiter((len(plain.compress(w)) - len(aware.compress(w)) for w in part), dtype=np.int64, count=len(part)))
+                sizes = (len(c.compress(w)) for w in part for c in (plain, *aware))
+                sizes = np.fromiter(sizes, dtype=np.int64, count=3 * len(part)).reshape(-1, 3)
+                got.append(sizes[:, :1] - sizes[:, 1:])
             yield np.concatenate(got)
 
     def features(self, texts: list[bytes]) -> np.ndarray:
-        return np.array([self.summary(d) for d in self.distances(texts)], dtype=np.float64).reshape(-1, 3 + 2 * len(CUTS))
+        return np.array([[*self.summary(d[:, 0]), *self.summary(d[:, 1]), float(np.log(len(d)))] for d in self.distances(texts)], dtype=np.float64).reshape(-1, 2 * STATISTICS + 1)
 
     @staticmethod
     def summary(d: np.ndarray) -> list[float]:
         over = [int((d >= c).sum()) for c in CUTS]
-        return [float(d.max()), float(d.mean()), float(np.log(len(d))), *(float(np.log1p(n)) for n in over), *(n / len(d) for n in over)]
+        return [float(d.max()), float(d.mean()), *(float(np.log1p(n)) for n in over), *(n / len(d) for n in over)]
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if self.constant is not None:
@@ -127,16 +145,24 @@ class Classifier:
         x = (self.features(texts) - self.centre) / self.scale
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
+    @staticmethod
+    def trained(toxic: list[bytes], ordinary: list[bytes]) -> Classifier:
+        """The dictionaries, without weights."""
+        passages = [w for t in toxic for w in windows(t)]
+        words = [b" " + w + b" " for w, n in typical_words(toxic, ordinary).items() for _ in range(n)]
+        plain = [w for t in ordinary for w in windows(t, 20)]
+        none = np.zeros(0)
+        return Classifier(
+            dictionary(plain[:: 1 + len(plain) // 60_000], ORDINARY_BYTES, 64, 8), dictionary(words, TOXIC_BYTES, 24, 8), dictionary(passages, TOXIC_BYTES, 24, 8), none, none, none,
+        )
+
     @staticmethod
     def fitted(toxic: list[bytes], ordinary: list[bytes]) -> Classifier:
         none = np.zeros(0)
         if not toxic or not ordinary:
-            return Classifier(b"", b"", none, none, none, 1.0 if toxic else 0.0)
-        typical = typical_words(toxic, ordinary)
-        samples = [b" " + w + b" " for w, n in typical.items() for _ in range(n)] or [w for t in toxic for w in windows(t)]
-        plain = [w for t in ordinary for w in windows(t, 20)]
-        raw = Classifier(dictionary(plain[:: 1 + len(plain) // 60_000], ORDINARY_BYTES, 64, 8), dictionary(samples, TOXIC_BYTES, 24, 8), none, none, none)
-        x, y = raw.features([*toxic, *ordinary]), np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
+            return Classifier(b"", b"", b"", none, none, none, 1.0 if toxic else 0.0)
+        whole = Classifier.trained(toxic, ordinary)
+        x, y = whole.features([*toxic, *ordinary]), np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
         centre, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
         w = logistic((x - centre) / scale, y)
         value = ((x - centre) / scale) @ w[:-1] + w[-1]
@@ -146,7 +172,7 @@ class Classifier:
         best = int(f1.argmax())
         cut = (value[order[best]] + value[order[min(best + 1, len(y) - 1)]]) / 2
         w[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) - cut
-        return Classifier(raw.ordinary, raw.toxic, centre, scale, w)
+        return Classifier(whole.ordinary, whole.words, whole.passages, centre, scale, w)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, toxic_rows: int = 2500, ordinary_rows: int = 4000, sample_bytes: int = 40_000_000, seed: int = 5) -> Classifier:
@@ -173,5 +199,5 @@ def fit(docs: DataFrame, labels: DataFrame, *, toxic_rows: int = 2500, ordinary_
 
 
 def score(docs: DataFrame, classifier: Classifier) -> DataFrame:
-    """All columns of docs and score; one pass over whole texts in tasks, no shuffle. The classifier is some 50 kB."""
+    """All columns of docs and score; one pass over whole texts in tasks, no shuffle. The classifier is some 60 kB."""
     return map_texts(docs, "score double", lambda texts: [pa.array(classifier.scores(texts))])

@@ -204,6 +204,27 @@ def test_toxicity_on_held_out_rows():
     assert toxicity.Classifier.fitted([b"a"], [b"b"]).scores([b"a", b""]).shape == (2,)
 
 
+def test_toxic_phrases_of_ordinary_words():
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choices(["th", "er", "on", "an", "re", "he", "in", "ed"], k=rng.randint(1, 4))) for _ in range(2000)]
+    phrases = [" ".join(rng.choices(vocabulary, k=6)) for _ in range(4)]
+
+    def text(kind):
+        words = rng.choices(vocabulary, k=150)
+        for _ in range(6 * (kind > 0)):
+            words.insert(rng.randrange(150), rng.choice(phrases) if kind == 1 else rng.choice(["grumblewort", "snarkfish"]))
+        return " ".join(" ".join(words).split()[:150]).encode()
+
+    # Words that stand out in other toxic rows must not hide the phrases.
+    toxic, ordinary = [text(1 + i % 2) for i in range(400)], [text(0) for _ in range(600)]
+    c = toxicity.Classifier.fitted(toxic, ordinary)
+    assert (c.scores([text(1) for _ in range(100)]) >= 0.7).mean() > 0.6 and (c.scores([text(2) for _ in range(100)]) >= 0.7).mean() > 0.9
+    assert (c.scores([text(0) for _ in range(200)]) >= 0.7).mean() < 0.05
+    # A word in under 1 % of the toxic rows is learnt too.
+    rare = [b"a%d rarebane b%d" % (i, i) if i < 9 else b"c%d" % i for i in range(1000)]
+    assert toxicity.typical_words(rare, ordinary * 10).keys() == {b"rarebane"}
+
+
 def test_digest_is_of_the_whole():
     a = winnowing.winnowed(winnowing.points_of("a" * 100))
     assert winnowing.digest(*a) == hashlib.sha256(a[0].astype("<i8").tobytes() + a[1].astype("<i8").tobytes()).hexdigest()
