@@ -44,9 +44,9 @@ def whole(x):
     return [None if pd.isna(v) else int(v) for v in x]
 
 
-def test_entry_has_eleven_queries():
+def test_entry_has_all_queries():
     names = [*QUERIES, "pipeline"]
-    assert len(names) == 11 and set(names) <= set(__spark_entry__.queries()) and set(SQL) <= set(__spark_entry__.oracle_sql())
+    assert len(names) == 14 and set(names) <= set(__spark_entry__.queries()) and set(SQL) <= set(__spark_entry__.oracle_sql())
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
@@ -303,7 +303,7 @@ def test_pipeline(spark, hard, empty):
 def test_sql(spark, name):
     path = "/root/testdata/sf0.01"
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}/{t}.parquet'")
     want = con.execute(SQL[name]).to_arrow_table().to_pylist()
     got = [r.asDict() for r in QUERIES[name](spark, path).collect()]
