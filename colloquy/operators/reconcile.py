@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.operators.ordered import dense_axis, previous, scan
-from colloquy.session import written
+from colloquy.session import ship_package, written
 
 LEAST_OVERLAP_MS = 500
 LEAST_TURN_MS = 100
+#: Chunks of a plan that are looked at together for the end of the chunk before.
+CHUNKS = 1024
 
 
 def _probes(turns: DataFrame, seams: DataFrame, keys) -> DataFrame:
@@ -76,44 +77,104 @@ def clip_seams(chunk_turns: DataFrame, plan: DataFrame) -> DataFrame:
     ).withColumn("start_ms", start).filter(F.col("end_ms") - F.col("start_ms") > LEAST_TURN_MS).drop("seam_end")
 
 
+def chunk_votes(turns: DataFrame, plan: DataFrame) -> DataFrame:
+    """Votes on all seams at once: (job_id, chunk_idx, local, known_chunk, known, votes, first_t).
+
+    What is known at a mark belongs to the chunk in whose part of the meeting it lies, which the plan alone tells: behind the end of the chunk
+    before. Where chunks are shorter than their overlap, a seam reaches over several chunks. Turns and seams meet on (meeting, second).
+    """
+    seams = plan.filter(F.col("seam_end") > F.col("chunk_start_ms") + LEAST_OVERLAP_MS).select(
+        "job_id", "chunk_idx", F.explode(F.sequence(F.floor(F.col("chunk_start_ms") / 1000), F.floor(F.col("seam_end") / 1000) - 1)).alias("t")
+    )
+    ends = plan.select("job_id", F.col("chunk_idx").alias("of"), F.coalesce("seam_end", F.lit(0)).alias("own_from"))
+    lo, hi = F.ceil((F.col("start_ms") - 500) / 1000), F.floor((F.col("end_ms") - 500) / 1000)
+    heard = turns.withColumnRenamed("chunk_idx", "of").join(ends, ["job_id", "of"]).filter(lo <= hi).select(
+        "job_id", "of", "speaker_id", "turn_no", "own_from", F.explode(F.sequence(lo, hi)).alias("t")
+    )
+    mark = F.col("t") * 1000 + 500
+    at = seams.join(heard, ["job_id", "t"]).filter(F.col("of") <= F.col("chunk_idx"))
+    local = F.min_by("speaker_id", F.when(F.col("of") == F.col("chunk_idx"), F.col("turn_no")))
+    before = (F.col("of") < F.col("chunk_idx")) & (mark >= F.col("own_from")) & (F.col("turn_no.end_ms") > F.col("own_from"))
+    known = F.min_by(F.struct(F.col("of").alias("known_chunk"), F.col("speaker_id").alias("known")), F.when(before, F.col("turn_no")))
+    said = at.groupBy("job_id", "chunk_idx", "t").agg(local.alias("local"), known.alias("k")).filter("local is not null and k is not null")
+    return said.groupBy("job_id", "chunk_idx", "local", "k.known_chunk", "k.known").agg(F.count("*").alias("votes"), F.min("t").alias("first_t"))
+
+
+def _chosen(votes: list[dict], label: dict) -> dict[str, str]:
+    """One-to-one: locals by total votes, each takes its best label still free."""
+    sums: dict[str, dict[str, list[int]]] = {}
+    for v in votes:
+        got = sums.setdefault(v["local"], {}).setdefault(label[v["known_chunk"], v["known"]], [0, v["first_t"]])
+        got[0] += v["votes"]
+        got[1] = min(got[1], v["first_t"])
+    out: dict[str, str] = {}
+    for local, found in sorted(sums.items(), key=lambda x: (-sum(n for n, _ in x[1].values()), min(t for _, t in x[1].values()), x[0])):
+        for name, _ in sorted(found.items(), key=lambda x: (-x[1][0], x[1][1], x[0])):
+            if name not in out.values():
+                out[local] = name
+                break
+    return out
+
+
+def _labels(batches):
+    """Labels of the speakers of all chunks, from rows (job_id, chunk_idx, speakers, votes, start, end) sorted by meeting and chunk."""
+    job, label, number = None, {}, 0
+    # (end, chunk) of the chunks that a later seam may reach.
+    near: list[tuple[int, int]] = []
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            i, speakers = row["chunk_idx"], row["speakers"]
+            if row["job_id"] != job:
+                job, label, near = row["job_id"], {}, []
+                number = 1 + max((int(s[8:]) for s in speakers if i == 0 and s.startswith("SPEAKER_") and s[8:].isdigit()), default=-1)
+            chosen = {s: s for s in speakers} if i == 0 else _chosen(row["votes"], label)
+            for s in speakers:
+                if s not in chosen:
+                    chosen[s] = f"SPEAKER_{number:02d}"
+                    number += 1
+            near = [(e, c) for e, c in near if e >= row["chunk_start_ms"] - 1000] + [(row["chunk_end_ms"], i)]
+            stay = {c for _, c in near}
+            label = {k: v for k, v in label.items() if k[0] in stay} | {(i, s): x for s, x in chosen.items()}
+            out += [(job, i, s, x) for s, x in chosen.items()]
+        fields = batch.schema
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in out], fields.field(0).type), pa.array([r[1] for r in out], fields.field(1).type), pa.array([r[2] for r in out], pa.string()), pa.array([r[3] for r in out], pa.string())],
+            names=["job_id", "chunk_idx", "speaker_id", "label"],
+        )
+
+
 def reconcile(chunk_turns: DataFrame, plan: DataFrame) -> DataFrame:
     """Turns of each meeting with the labels of its first chunk carried through.
 
-    Seams follow one another inside a meeting, so the chunks are taken in turn, for all meetings
-    at once, up to the last chunk that the plan has. A local speaker without a
-    partner gets the next free SPEAKER_nn, in order of first words. Meetings of one chunk are
-    returned as they are.
+    Votes of all seams are counted at once. What is left of a seam is a row with its speakers and a few votes; these rows pass in order of chunks, as a
+    stream per meeting, and every chunk's labels follow from those of the chunks that its seam reaches. A local speaker
+    without a partner gets the next free SPEAKER_nn, in order of first words. Meetings of one chunk are returned as they are.
     """
-    # Order of turns, without gathering a meeting to number them.
+    ship_package(chunk_turns.sparkSession)
     turn_no = F.struct("chunk_idx", "start_ms", "end_ms", "speaker_id")
     turns = written(chunk_turns.withColumn("turn_no", turn_no), "chunk_turns")
-    plan = written(plan, "chunk_plan")
-    several = plan.groupBy("job_id").agg(F.count("*").alias("n"))
-    first = turns.filter("chunk_idx = 0")
-    suffix = F.regexp_extract("speaker_id", r"^SPEAKER_(\d+)$", 1)
-    parts = [first.select("job_id", "turn_no", "speaker_id", "start_ms", "end_ms")]
-    next_no = plan.select("job_id").distinct().join(
-        first.filter(suffix != "").groupBy("job_id").agg((F.max(suffix.cast("int")) + 1).alias("m")), "job_id", "left"
-    ).select("job_id", F.coalesce("m", F.lit(0)).alias("next_no"))
-    last = plan.agg(F.max("chunk_idx")).head()[0] or 0
-    for i in range(1, last + 1):
-        local = turns.filter(F.col("chunk_idx") == i)
-        ends = plan.filter(F.col("chunk_idx") == i - 1).select("job_id", F.col("chunk_end_ms").alias("seam_end"))
-        seams = plan.filter(F.col("chunk_idx") == i).select("job_id", F.col("chunk_start_ms").alias("seam_start")).join(ends, "job_id")
-        mapped = greedy_map(seam_votes(reduce(DataFrame.union, parts), local, seams))
-        speakers = local.groupBy("job_id", F.col("speaker_id").alias("local")).agg(F.min("turn_no").alias("seen"))
-        new = speakers.join(mapped, ["job_id", "local"], "left_anti").join(next_no, "job_id").withColumn(
-            "r", F.row_number().over(Window.partitionBy("job_id").orderBy("seen", "local"))
-        )
-        named = new.select("job_id", "local", F.format_string("SPEAKER_%02d", F.col("next_no") + F.col("r") - 1).alias("known"))
-        mapping = written(mapped.withColumn("fresh", F.lit(False)).union(named.withColumn("fresh", F.lit(True))), "speaker_map")
-        used = mapping.filter("fresh").groupBy("job_id").agg(F.count("*").cast("int").alias("used"))
-        next_no = next_no.join(used, "job_id", "left").select("job_id", (F.col("next_no") + F.coalesce("used", F.lit(0))).alias("next_no"))
-        renamed = mapping.select("job_id", F.col("local").alias("speaker_id"), "known")
-        fresh = local.join(renamed, ["job_id", "speaker_id"]).join(ends, "job_id").filter(
-            "end_ms > seam_end"
-        ).select("job_id", "turn_no", F.col("known").alias("speaker_id"), F.greatest("start_ms", "seam_end").alias("start_ms"), "end_ms")
-        parts.append(written(fresh, "reconciled"))
-    return reduce(DataFrame.union, parts).join(several, "job_id").filter((F.col("n") == 1) | (F.col("end_ms") - F.col("start_ms") > LEAST_TURN_MS)).select(
-        "job_id", "speaker_id", "start_ms", "end_ms"
+    seam = F.lag("chunk_end_ms").over(Window.partitionBy("job_id", "_slice").orderBy("chunk_idx"))
+    # The end of the chunk before; chunks come in slices with the last chunk of the slice before as a guest.
+    homes = F.array_distinct(F.array(F.floor(F.col("chunk_idx") / CHUNKS), F.floor((F.col("chunk_idx") + 1) / CHUNKS)))
+    plan = plan.withColumn("_slice", F.explode(homes)).withColumn("seam_end", seam).filter(F.col("_slice") == F.floor(F.col("chunk_idx") / CHUNKS))
+    plan = written(plan.select("job_id", "chunk_idx", "chunk_start_ms", "chunk_end_ms", "seam_end"), "chunk_plan")
+    # A chunk has few speakers, and an overlap few votes: both fit a cell.
+    speakers = turns.groupBy("job_id", "chunk_idx", "speaker_id").agg(F.min("turn_no").alias("seen")).groupBy("job_id", "chunk_idx").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("seen", "speaker_id"))), lambda x: x["speaker_id"]).alias("speakers")
+    )
+    votes = chunk_votes(turns, plan).groupBy("job_id", "chunk_idx").agg(F.collect_list(F.struct("local", "known_chunk", "known", "votes", "first_t")).alias("votes"))
+    seams = speakers.join(votes, ["job_id", "chunk_idx"], "left").withColumn("votes", F.coalesce("votes", F.array().cast(votes.schema["votes"].dataType)))
+    types = dict(chunk_turns.dtypes)
+    seams = seams.join(plan, ["job_id", "chunk_idx"])
+    ordered = seams.select("job_id", "chunk_idx", "speakers", "votes", "chunk_start_ms", "chunk_end_ms").repartition("job_id").sortWithinPartitions("job_id", "chunk_idx")
+    labels = ordered.mapInArrow(_labels, f"job_id {types['job_id']}, chunk_idx {types['chunk_idx']}, speaker_id string, label string")
+    several = plan.select("job_id", "chunk_idx", "seam_end")
+    single = plan.groupBy("job_id").agg((F.count("*") == 1).alias("single"))
+    start = F.greatest("start_ms", F.coalesce("seam_end", "start_ms"))
+    return (
+        turns.join(labels, ["job_id", "chunk_idx", "speaker_id"]).join(several, ["job_id", "chunk_idx"]).join(single, "job_id")
+        .filter(F.col("seam_end").isNull() | (F.col("end_ms") > F.col("seam_end")))
+        .select("job_id", F.col("label").alias("speaker_id"), start.alias("start_ms"), "end_ms", "single")
+        .filter(F.col("single") | (F.col("end_ms") - F.col("start_ms") > LEAST_TURN_MS)).drop("single")
     )

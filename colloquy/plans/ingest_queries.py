@@ -203,7 +203,51 @@ def seam_mapping(c: Corpus) -> DataFrame:
     return rc.greedy_map(rc.seam_votes(*_seams(c), _SEAM), _SEAM)
 
 
-@query("C5 N4")
+VIEWS["own_parts"] = """
+    SELECT c.*, p.chunk_start_ms, p.own_from FROM chunk_turns c JOIN (
+      SELECT *, lag(chunk_end_ms) OVER (PARTITION BY job_id ORDER BY chunk_idx) AS own_from FROM diar_plan) p USING (job_id, chunk_idx)"""
+VIEWS["deep_votes"] = """
+    WITH seams AS (SELECT job_id, chunk_idx, unnest(range(chunk_start_ms // 1000, own_from // 1000)) AS t FROM (
+      SELECT *, lag(chunk_end_ms) OVER (PARTITION BY job_id ORDER BY chunk_idx) AS own_from FROM diar_plan) WHERE own_from > chunk_start_ms + 500),
+    l AS (SELECT s.job_id, s.chunk_idx, s.t, arg_min(c.speaker_id, {'s': c.start_ms, 'e': c.end_ms, 'p': c.speaker_id}) AS local FROM seams s JOIN chunk_turns c
+      ON c.job_id = s.job_id AND c.chunk_idx = s.chunk_idx AND c.start_ms <= s.t * 1000 + 500 AND c.end_ms >= s.t * 1000 + 500 GROUP BY ALL),
+    k AS (SELECT s.job_id, s.chunk_idx, s.t, arg_min({'c': c.chunk_idx, 'p': c.speaker_id}, {'c': c.chunk_idx, 's': c.start_ms, 'e': c.end_ms, 'p': c.speaker_id}) AS k FROM seams s JOIN own_parts c
+      ON c.job_id = s.job_id AND c.chunk_idx < s.chunk_idx AND greatest(c.start_ms, coalesce(c.own_from, 0)) <= s.t * 1000 + 500 AND c.end_ms >= s.t * 1000 + 500 AND c.end_ms > coalesce(c.own_from, 0) GROUP BY ALL)
+    SELECT job_id, chunk_idx, local, k.c AS known_chunk, k.p AS known, count(*) AS votes, min(t) AS first_t FROM l JOIN k USING (job_id, chunk_idx, t) GROUP BY ALL"""
+#: Labels of all chunks, one chunk of all meetings after the other: m has (chunk, local, label) so far.
+_LABELS = """
+    WITH RECURSIVE speakers AS (
+      SELECT job_id, chunk_idx, list(speaker_id ORDER BY seen, speaker_id) AS locals FROM (
+        SELECT job_id, chunk_idx, speaker_id, min({'s': start_ms, 'e': end_ms, 'p': speaker_id}) AS seen FROM chunk_turns GROUP BY ALL) GROUP BY ALL),
+    seam AS (SELECT job_id, chunk_idx, locals, coalesce(votes, []) AS votes FROM speakers LEFT JOIN (
+        SELECT job_id, chunk_idx, list({'l': local, 'c': known_chunk, 'k': known, 'n': votes, 't': first_t}) AS votes FROM deep_votes GROUP BY ALL) USING (job_id, chunk_idx)),
+    walk AS (
+      SELECT job_id, chunk_idx, list_transform(locals, lambda x: {'c': chunk_idx, 'l': x, 'g': x}) AS m,
+             1 + coalesce(list_max(list_transform(locals, lambda x: TRY_CAST(regexp_extract(x, '^SPEAKER_([0-9]+)$', 1) AS BIGINT))), -1) AS number
+      FROM seam WHERE chunk_idx = 0
+      UNION ALL
+      SELECT job_id, chunk_idx, list_concat(m, list_transform(locals, lambda x: {'c': chunk_idx, 'l': x, 'g': CASE WHEN list_contains(taken, x)
+               THEN labels[list_position(taken, x)] ELSE printf('SPEAKER_%02d', number + list_position(fresh, x) - 1) END})), number + len(fresh)
+      FROM (
+        SELECT *, list_filter(locals, lambda x: NOT list_contains(taken, x)) AS fresh FROM (
+          SELECT *, list_transform(picked, lambda x: x.l) AS taken, list_transform(picked, lambda x: x.g) AS labels FROM (
+            SELECT *, list_reduce(list_prepend([{'l': '', 'g': ''}], list_transform(ranked, lambda x: [{'l': x.l, 'g': x.g}])),
+                     lambda a, x: CASE WHEN list_contains(list_transform(a, lambda y: y.l), x[1].l) OR list_contains(list_transform(a, lambda y: y.g), x[1].g) THEN a ELSE list_concat(a, x) END) AS picked FROM (
+              SELECT *, list_sort(list_transform(pairs, lambda p: {
+                       'a': -list_sum(list_transform(list_filter(named, lambda v: v.l = p.l), lambda v: v.n)), 'b': list_min(list_transform(list_filter(named, lambda v: v.l = p.l), lambda v: v.t)), 'l': p.l,
+                       'd': -list_sum(list_transform(list_filter(named, lambda v: v.l = p.l AND v.g = p.g), lambda v: v.n)),
+                       'e': list_min(list_transform(list_filter(named, lambda v: v.l = p.l AND v.g = p.g), lambda v: v.t)), 'g': p.g})) AS ranked FROM (
+                SELECT *, list_distinct(list_transform(named, lambda v: {'l': v.l, 'g': v.g})) AS pairs FROM (
+                  SELECT s.job_id, s.chunk_idx, s.locals, w.m, w.number,
+                         list_transform(s.votes, lambda v: {'l': v.l, 'n': v.n, 't': v.t, 'g': list_filter(w.m, lambda x: x.c = v.c AND x.l = v.k)[1].g}) AS named
+                  FROM walk w JOIN seam s ON s.job_id = w.job_id AND s.chunk_idx = w.chunk_idx + 1)))))))
+    SELECT job_id, u.c AS chunk_idx, u.l AS speaker_id, u.g AS label FROM (SELECT job_id, unnest(arg_max(m, chunk_idx)) AS u FROM walk GROUP BY job_id)"""
+
+
+@query("C5 N4", f"""
+    SELECT job_id, label AS speaker_id, greatest(start_ms, coalesce(own_from, start_ms)) AS start_ms, end_ms
+    FROM own_parts JOIN ({_LABELS}) USING (job_id, chunk_idx, speaker_id) JOIN (SELECT job_id, count(*) AS n FROM diar_plan GROUP BY job_id) USING (job_id)
+    WHERE (own_from IS NULL OR end_ms > own_from) AND (n = 1 OR end_ms - greatest(start_ms, coalesce(own_from, start_ms)) > 100)""")
 def reconciled_turns(c: Corpus) -> DataFrame:
     return rc.reconcile(c.chunk_turns(), c.diar_plan())
 

@@ -90,14 +90,14 @@ def reconciled(chunks):
     return sorted((s, a, b) for s, a, b in known if b - a > 100)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_reconcile_against_loop(spark, seed):
+@pytest.mark.parametrize(("seed", "slice_ms", "n"), [(0, 40_000, 3), (1, 40_000, 9), (2, 12_000, 12)])
+def test_reconcile_against_loop(spark, seed, slice_ms, n):
     rng = random.Random(seed)
     meetings = {}
     for job in range(4):
         chunks = []
-        for i in range(3):
-            start, end = i * 40_000, min((i + 1) * 40_000 + 30_000, 120_000)
+        for i in range(n):
+            start, end = i * slice_ms, min((i + 1) * slice_ms + 30_000, n * slice_ms)
             turns, t = [], start
             while t < end:
                 e = min(t + rng.randint(50, 12_000), end)
