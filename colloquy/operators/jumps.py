@@ -9,22 +9,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.operators.ordered import Axis, running_sum, scan
+from colloquy.operators.ordered import equal_ranges, running_sum, scan
 from colloquy.session import written
 
-HOUR_MS = 3_600_000
 FOLD_ROWS = 5_000
 
 
 def rank_below(values: DataFrame, probes: DataFrame, value: str, probe: str) -> DataFrame:
     """For each probe row, how many values of its job are smaller: adds `below`.
 
-    Both sides are merged in one running count along the number line, cut into hours.
+    Both sides are merged in one running count along the number line, cut into ranges of equal numbers of rows.
     """
     v = values.select("job_id", F.col(value).alias("_x"), F.lit(1).alias("_v"), F.lit(None).cast("long").alias("_id"))
     p = probes.select("job_id", F.col(probe).alias("_x"), F.lit(0).alias("_v"), F.col("idx").cast("long").alias("_id"))
-    axis = Axis(("job_id",), ("_x", "_v", "_id"), F.floor(F.col("_x") / HOUR_MS))
-    counted = scan(v.union(p), axis, below=running_sum(F.col("_v")))
+    counted = scan(*equal_ranges(v.union(p), ("job_id",), ("_x", "_v", "_id")), below=running_sum(F.col("_v")))
     return counted.filter("_v = 0").select("job_id", F.col("_id").alias("idx"), "below")
 
 

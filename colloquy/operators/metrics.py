@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from colloquy.functions import lexicon as lx
 from colloquy.functions.numbers import exact_mean
 from colloquy.functions.text import bare_word, clipped
+from colloquy.operators.ordered import places
 
 LOW = 0.65
 BIN_EDGES = (0.5, 0.6, 0.7, 0.8, 0.9)
@@ -63,16 +64,19 @@ def meeting_metrics(jobs, stats, histogram, actions, decisions, questions, entit
     return out.fillna(0, counts).withColumn("reading_minutes", F.round(F.col("n_words") / WORDS_PER_MINUTE, 2))
 
 
-def listed(df: DataFrame, order, shown: int | None) -> DataFrame:
-    """All rows with their place in the meeting, or only the first `shown`."""
-    placed = df.withColumn("place", F.row_number().over(order).cast("long"))
-    return placed if shown is None else placed.filter(F.col("place") <= shown)
+def listed(df: DataFrame, order: tuple[str, ...], shown: int | None, ranges: int | None = None) -> DataFrame:
+    """All rows with their place in the meeting along the order, or only the first `shown`.
 
+    A limit is cut before the shuffle; all rows are numbered range by range.
+    """
+    if shown is None:
+        return places(df, "job_id", order, ranges)
+    return df.withColumn("place", F.row_number().over(Window.partitionBy("job_id").orderBy(*order)).cast("long")).filter(F.col("place") <= shown)
 
-def _ranked(counted: DataFrame, shown: int | None) -> DataFrame:
+
+def _ranked(counted: DataFrame, shown: int | None, ranges: int | None = None) -> DataFrame:
     """Terms of each meeting by count, ties to the first seen."""
-    order = Window.partitionBy("job_id").orderBy(F.desc("n_seen"), "first_idx")
-    return listed(counted, order, shown).drop("first_idx")
+    return listed(counted.withColumn("_fewer", -F.col("n_seen")), ("_fewer", "first_idx"), shown, ranges).drop("first_idx", "_fewer")
 
 
 def _count_terms(words: DataFrame) -> DataFrame:
@@ -99,16 +103,15 @@ def unknown_acronyms(words: DataFrame, corrections: DataFrame, shown: int | None
     return _ranked(_count_terms(terms).join(known, ["job_id", "term"], "left_anti"), shown)
 
 
-def repeated_uncertain(words: DataFrame, shown: int | None = None) -> DataFrame:
+def repeated_uncertain(words: DataFrame, shown: int | None = None, ranges: int | None = None) -> DataFrame:
     terms = words.filter(_low()).select("job_id", "word_idx", F.lower(bare_word(F.col("text"))).alias("term"))
-    return _ranked(_count_terms(terms.filter(F.length("term") > 2)).filter("n_seen >= 2"), shown)
+    return _ranked(_count_terms(terms.filter(F.length("term") > 2)).filter("n_seen >= 2"), shown, ranges)
 
 
 def low_segments_by_count(words: DataFrame, segs: DataFrame, shown: int | None = None) -> DataFrame:
     """Segments with two or more uncertain words."""
     low = words.filter(_low()).groupBy("job_id", "seg_idx").agg(F.count("*").alias("n_low")).filter("n_low >= 2")
-    order = Window.partitionBy("job_id").orderBy("seg_idx")
-    return listed(low, order, shown).join(segs, ["job_id", "seg_idx"]).select(
+    return listed(low, ("seg_idx",), shown).join(segs, ["job_id", "seg_idx"]).select(
         "job_id", "seg_idx", "place", "n_low", "start_ms", "end_ms", "text", clipped(F.col("text"), 80).alias("preview")
     )
 
@@ -131,8 +134,7 @@ def doubtful_names(words: DataFrame, segs: DataFrame, names: DataFrame, shown: i
     ).withColumn("token", F.lower("term"))
     doubtful = titled.filter((F.col("n_seen") == 1) | (F.col("a") < LOW))
     kept = doubtful.join(name_tokens(names), ["job_id", "token"], "left_anti").join(lower_seen, ["job_id", "token"], "left_anti")
-    order = Window.partitionBy("job_id").orderBy("term")
-    return listed(kept, order, shown).join(segs.select("job_id", "seg_idx", "start_ms"), ["job_id", "seg_idx"]).select(
+    return listed(kept, ("term",), shown).join(segs.select("job_id", "seg_idx", "start_ms"), ["job_id", "seg_idx"]).select(
         "job_id", "term", "place", "n_seen", F.round("a", 4).alias("avg_confidence"), F.col("start_ms").alias("first_ms")
     )
 

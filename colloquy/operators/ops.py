@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.numbers import exact_mean
-from colloquy.operators.jumps import HOUR_MS
-from colloquy.operators.ordered import Axis, following, scan
+from colloquy.operators.ordered import Axis, equal_ranges, following, scan
 
 # Accepted upload types and artifact names of a finished job. Fixed values.
 SUFFIXES = (".aac", ".mp3", ".wav", ".m4a", ".flac", ".mp4", ".mov", ".ogg")
@@ -37,9 +36,9 @@ FAILURES = (
 )
 
 
-def time_axis() -> Axis:
-    """Order of events inside a job; blocks are hours."""
-    return Axis(("job_id",), ("ts_ms", "event_id"), F.floor(F.col("ts_ms") / HOUR_MS))
+def in_time(events: DataFrame, ranges: int | None = None) -> tuple[DataFrame, Axis]:
+    """Events of each job in order of time, in ranges of about equal numbers of events."""
+    return equal_ranges(events, ("job_id",), ("ts_ms", "event_id"), ranges)
 
 
 def validate_uploads(manifest: DataFrame) -> DataFrame:
@@ -120,12 +119,12 @@ def artifact_totals(jobs: DataFrame, listing: DataFrame) -> DataFrame:
     )
 
 
-def stage_report(transitions: DataFrame) -> DataFrame:
+def stage_report(transitions: DataFrame, ranges: int | None = None) -> DataFrame:
     """Time per stage from stage changes (job_id, ts_ms, event_id, stage); the last change only closes.
 
     Stages entered again add up and keep their first start.
     """
-    timed = scan(transitions, time_axis(), until=following(F.col("ts_ms")))
+    timed = scan(*in_time(transitions, ranges), until=following(F.col("ts_ms")))
     begun = transitions.groupBy("job_id").agg(F.min("ts_ms").alias("t0"), F.max("ts_ms").alias("t1"))
     spans = timed.filter("until is not null").groupBy("job_id", "stage").agg(
         F.min("ts_ms").alias("first"), F.sum(F.col("until") - F.col("ts_ms")).alias("duration_ms")

@@ -13,8 +13,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.session import written
+
 BLOCK_ROWS = 65_536
 _BLOCK = "_block"
+_RANGE = "_range"
 
 
 @dataclass(frozen=True)
@@ -31,6 +34,17 @@ def dense_axis(key: str, index: str) -> Axis:
     return Axis((key,), (index,), F.floor(F.col(index) / F.lit(BLOCK_ROWS)))
 
 
+def equal_ranges(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], ranges: int | None = None) -> tuple[DataFrame, Axis]:
+    """The rows in ranges of about equal numbers along (keys, order), and the axis whose blocks are these ranges.
+
+    For orders without a dense index, such as times or counts: Spark samples the borders, so a key with very many rows, all at one time even, is cut
+    into as many blocks as it needs. The rows are written once, since a second sample would cut elsewhere.
+    """
+    by = [*keys, *order]
+    cut = df.repartitionByRange(ranges, *by) if ranges else df.repartitionByRange(*by)
+    return written(cut.withColumn(_RANGE, F.spark_partition_id()), "ranges"), Axis(keys, order, F.col(_RANGE))
+
+
 @dataclass(frozen=True)
 class Running:
     """One output of scan(); build it with the functions below."""
@@ -87,11 +101,16 @@ def scan(df: DataFrame, axis: Axis, **outputs: Running) -> DataFrame:
         local = local.withColumn(f"_l_{name}", _local(r, inside))
     joined = local.join(carried, [*keys, _BLOCK])
     return joined.select(
-        *[F.col(c) for c in df.columns if c not in outputs],
+        *[F.col(c) for c in df.columns if c not in outputs and c != _RANGE],
         *[_merged(r, F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n, r in outputs.items()],
     )
 
 
+def places(df: DataFrame, key: str, order: tuple[str, ...], ranges: int | None = None) -> DataFrame:
+    """Number the rows of each key from 1 along the order: places inside a range, plus the rows of the ranges before."""
+    return scan(*equal_ranges(df, (key,), order, ranges), place=running_sum(F.lit(1)))
+
+
 def _total(r: Running, place: Column) -> Column:
     if r.kind == "sum":
         return F.sum(r.value)

@@ -11,6 +11,7 @@ from colloquy.operators import ops
 from colloquy.plans.registry import query
 from colloquy.plans.sql_views import VIEWS, mean, rnd, sql_list
 from colloquy.sources.corpus import MESSAGES, RUN_STAGES, STAGES, UPLOAD_ENDS, Corpus
+from colloquy.streaming import job_state as js
 from colloquy.streaming import progress as pg
 
 
@@ -275,6 +276,66 @@ def stalled_jobs(c: Corpus) -> DataFrame:
     return pg.stalls(c.progress_events())
 
 
+@query("K6", """
+    SELECT job_id, event_id, ts_ms, ts_ms + 2700000 AS stalled_ms FROM (
+      SELECT 0::BIGINT AS job_id, event_id, ts_ms, type, lead(ts_ms) OVER (ORDER BY ts_ms, event_id) AS next_ms FROM progress_events WHERE type NOT IN ('resource', 'chunk_progress'))
+    WHERE coalesce(next_ms, (SELECT max(ts_ms) FROM progress_events)) - ts_ms >= 2700000 AND type NOT IN ('completed', 'error')""")
+def one_job_stalls(c: Corpus) -> DataFrame:
+    """All events as those of one job, in seven ranges: carries over borders."""
+    events = c.progress_events().filter("type <> 'chunk_progress'").withColumn("job_id", F.lit(0).cast("long"))
+    return pg.stalls(events, ranges=7)
+
+
+@query("K5", """
+    SELECT 0::BIGINT AS job_id, event_id, ts_ms, progress FROM (
+      SELECT *, max(bar) OVER (ORDER BY ts_ms, event_id ROWS UNBOUNDED PRECEDING) AS progress FROM (
+        SELECT *, CASE WHEN type = 'completed' THEN 1.0::DOUBLE WHEN type = 'stage' THEN least(fraction, 0.95::DOUBLE) END AS bar FROM progress_events))
+    WHERE bar IS NOT NULL""")
+def one_job_progress(c: Corpus) -> DataFrame:
+    """All events as those of one job, in seven ranges."""
+    return pg.monotone_progress(c.progress_events().withColumn("job_id", F.lit(0).cast("long")), ranges=7)
+
+
+@query("D10", f"""
+    SELECT 0::BIGINT AS job_id, stage, min(ts_ms) - min(t0) AS start_ms, CAST(sum(until - ts_ms) AS BIGINT) AS duration_ms,
+           {rnd('100 * sum(until - ts_ms) / (min(t1) - min(t0))', 1)} AS pct
+    FROM (SELECT *, lead(ts_ms) OVER (ORDER BY ts_ms, event_id) AS until, min(ts_ms) OVER () AS t0,
+                 max(ts_ms) OVER () AS t1, kind AS stage FROM job_events) WHERE until IS NOT NULL GROUP BY stage""")
+def one_job_stages(c: Corpus) -> DataFrame:
+    """All stage changes as those of one job, in seven ranges."""
+    return ops.stage_report(c.job_events().withColumnRenamed("kind", "stage").withColumn("job_id", F.lit(0).cast("long")), ranges=7)
+
+
+@query("K5 K6 K7 K8", """
+    WITH ends AS (SELECT job_id, min({'t': ts_ms, 'e': event_id}) AS over FROM progress_events WHERE type IN ('completed', 'error') GROUP BY job_id),
+    live AS (SELECT p.* FROM progress_events p LEFT JOIN ends USING (job_id) WHERE over IS NULL OR {'t': ts_ms, 'e': event_id} <= over),
+    bars AS (SELECT *, CASE WHEN type = 'completed' THEN 1.0::DOUBLE WHEN type = 'stage' THEN least(fraction, 0.95::DOUBLE) END AS bar FROM live)
+    SELECT job_id, 'progress' AS kind, event_id, ts_ms, max(bar) OVER (PARTITION BY job_id ORDER BY ts_ms, event_id ROWS UNBOUNDED PRECEDING) AS progress, NULL::VARCHAR AS stage
+    FROM bars WHERE bar IS NOT NULL
+    UNION ALL
+    SELECT job_id, 'stage', event_id, ts_ms, NULL, stage FROM (
+      SELECT *, lag(stage) OVER (PARTITION BY job_id ORDER BY ts_ms, event_id) AS p FROM live WHERE type = 'stage' AND stage IS NOT NULL) WHERE p IS NULL OR p <> stage
+    UNION ALL
+    SELECT job_id, 'stalled', event_id, ts_ms, NULL, NULL FROM (
+      SELECT *, lead(ts_ms) OVER (PARTITION BY job_id ORDER BY ts_ms, event_id) AS next_ms FROM live WHERE type <> 'resource')
+    WHERE (next_ms IS NULL OR next_ms - ts_ms >= 2700000) AND type NOT IN ('completed', 'error')
+    UNION ALL
+    SELECT job_id, 'end', event_id, ts_ms, NULL, type FROM live WHERE type IN ('completed', 'error')""")
+def streamed_progress(c: Corpus) -> DataFrame:
+    """What the stream with state per job says of all events; a last event of another job, far ahead, drives the watermark past all."""
+    return js.streamed(c.progress_lines())
+
+
+@query("K7", """
+    SELECT p.job_id, event_id, p.ts_ms AS joined_ms, e.end_ms, e.type FROM progress_events p JOIN (
+      SELECT job_id, arg_min(type, {'t': ts_ms, 'e': event_id}) AS type, min(ts_ms) AS end_ms FROM progress_events WHERE type IN ('completed', 'error') GROUP BY job_id) e
+    ON p.job_id = e.job_id AND p.ts_ms >= e.end_ms""")
+def replayed_ends(c: Corpus) -> DataFrame:
+    """The end of its job for every one who joins when an event comes in."""
+    events = c.progress_events()
+    return js.replay(events.select("job_id", "event_id", F.col("ts_ms").alias("joined_ms")), pg.terminal_events(events))
+
+
 @query("K7", """
     SELECT job_id, ts_ms, event_id, type, message FROM (
       SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts_ms, event_id) AS nth FROM progress_events WHERE type IN ('completed', 'error')) WHERE nth = 1""")
@@ -300,8 +361,9 @@ def resource_windows(c: Corpus) -> DataFrame:
 
 @query("K8", """
     SELECT job_id, event_id, cpu_pct, nth FROM (
-      SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts_ms, event_id) AS nth FROM progress_events WHERE type = 'resource') WHERE nth % 2 = 0""")
+      SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts_ms, event_id) AS nth FROM progress_events WHERE type = 'resource')""")
 def sampled_resources(c: Corpus) -> DataFrame:
+    """All resource events, numbered; a report of half the length would take every=2."""
     return pg.sampled_resources(c.progress_events()).select("job_id", "event_id", "cpu_pct", "nth")
 
 

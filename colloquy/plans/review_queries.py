@@ -92,6 +92,14 @@ def repeated_uncertain_words(c: Corpus) -> DataFrame:
     return me.repeated_uncertain(c.words())
 
 
+@query("E9", _top_sql(
+    f"SELECT 0::BIGINT AS job_id, job_id * 1000000 + word_idx AS word_idx, lower({_BARE}) AS term FROM words WHERE confidence < 0.65", "length(term) > 2", "count(*) >= 2"))
+def one_meeting_uncertain_words(c: Corpus) -> DataFrame:
+    """All words as those of one meeting, their ranks in seven ranges."""
+    one = c.words().withColumn("word_idx", F.col("job_id") * 1_000_000 + F.col("word_idx")).withColumn("job_id", F.lit(0).cast("long"))
+    return me.repeated_uncertain(one, ranges=7)
+
+
 @query("E10", """
     SELECT * FROM (
       SELECT job_id, seg_idx, row_number() OVER (PARTITION BY job_id ORDER BY seg_idx) AS place, n_low, start_ms, end_ms, text,

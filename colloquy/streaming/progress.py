@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions.numbers import exact_mean
-from colloquy.operators.ops import time_axis
+from colloquy.operators.ops import in_time
 from colloquy.operators.ordered import following, previous, running_max, running_sum, scan
 
 PAYLOAD = (
@@ -99,10 +99,10 @@ def overall_fraction(stage: Column, fraction: Column) -> Column:
     return lo + (hi - lo) * fraction
 
 
-def monotone_progress(events: DataFrame) -> DataFrame:
+def monotone_progress(events: DataFrame, ranges: int | None = None) -> DataFrame:
     """Batch: the bar after each stage event; it never moves back and stays under 0.95 until the end."""
     bar = F.when(F.col("type") == "completed", 1.0).when(F.col("type") == "stage", F.least(F.col("fraction"), F.lit(CAP)))
-    seen = scan(events.withColumn("_bar", bar), time_axis(), progress=running_max(F.col("_bar")))
+    seen = scan(*in_time(events.withColumn("_bar", bar).select("job_id", "event_id", "ts_ms", "_bar"), ranges), progress=running_max(F.col("_bar")))
     return seen.filter("_bar is not null").select("job_id", "event_id", "ts_ms", "progress")
 
 
@@ -112,11 +112,11 @@ def live_progress(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id").agg(F.max(bar).alias("progress"))
 
 
-def stalls(events: DataFrame) -> DataFrame:
+def stalls(events: DataFrame, ranges: int | None = None) -> DataFrame:
     """Batch: silences of 45 minutes after an event that did not end the job, up to the last event seen."""
     own = events.filter(~F.col("type").isin(*NOT_PIPELINE))
     until = events.agg(F.max("ts_ms")).scalar()
-    nexts = scan(own.select("job_id", "ts_ms", "event_id", "type"), time_axis(), next_ms=following(F.col("ts_ms")))
+    nexts = scan(*in_time(own.select("job_id", "ts_ms", "event_id", "type"), ranges), next_ms=following(F.col("ts_ms")))
     idle = F.coalesce(F.col("next_ms"), until) - F.col("ts_ms")
     return nexts.filter((idle >= STALL_MS) & ~F.col("type").isin(*TERMINAL)).select(
         "job_id", "event_id", "ts_ms", (F.col("ts_ms") + STALL_MS).alias("stalled_ms")
@@ -146,10 +146,10 @@ def terminal_stream(events: DataFrame) -> DataFrame:
     return events.filter(F.col("type").isin(*TERMINAL)).withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["job_id"])
 
 
-def stage_changes(events: DataFrame) -> DataFrame:
+def stage_changes(events: DataFrame, ranges: int | None = None) -> DataFrame:
     """Batch: events at which the stage of a job changed."""
     staged = events.filter((F.col("type") == "stage") & F.col("stage").isNotNull()).select("job_id", "ts_ms", "event_id", "stage")
-    seen = scan(staged, time_axis(), _prev=previous(F.col("stage")))
+    seen = scan(*in_time(staged, ranges), _prev=previous(F.col("stage")))
     return seen.filter(~F.col("_prev").eqNullSafe(F.col("stage"))).drop("_prev")
 
 
@@ -175,10 +175,10 @@ def resource_windows(events: DataFrame, width: str = "10 seconds", streaming: bo
     ).select("job_id", F.unix_millis(F.col("w.start")).alias("start_ms"), "n", "cpu_pct", "ram_gb")
 
 
-def sampled_resources(events: DataFrame) -> DataFrame:
-    """Batch: every second resource event of each job, as kept for the report."""
+def sampled_resources(events: DataFrame, every: int = 1, ranges: int | None = None) -> DataFrame:
+    """Batch: the resource events of each job with their number; every=2 keeps the second ones only, as a report of half the length."""
     own = events.filter(F.col("type") == "resource").select("job_id", "ts_ms", "event_id", "cpu_pct", "ram_gb")
-    return scan(own, time_axis(), nth=running_sum(F.lit(1))).filter("nth % 2 = 0")
+    return scan(*in_time(own, ranges), nth=running_sum(F.lit(1))).filter(F.col("nth") % every == 0)
 
 
 def expired(files: DataFrame, now_ms: Column, output_h: int = 24, temp_h: int = 26) -> DataFrame:

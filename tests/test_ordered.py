@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,3 +66,21 @@ def test_rank_below_counts_strictly_smaller(spark):
 def test_text_is_joined_in_order_across_pieces(spark):
     df = spark.createDataFrame([(1, i, str(i)) for i in range(2500)], "k long, i long, t string").repartition(7)
     assert ordered.concat_in_order(df, ["k"], "i", "t").first().t == " ".join(map(str, range(2500)))
+
+
+@pytest.mark.parametrize("ranges", [1, 5])
+def test_places_over_equal_ranges(spark, ranges):
+    rng = random.Random(5)
+    rows = [(k, rng.randint(0, 3), i) for i, k in enumerate(rng.choices([1, 1, 1, 2, 3], k=300))]
+    df = spark.createDataFrame(rows, "k long, x long, i long")
+    got = {(r.k, r.x, r.i): r.place for r in ordered.places(df, "k", ("x", "i"), ranges).collect()}
+    want = {}
+    for k in (1, 2, 3):
+        want |= {r: n for n, r in enumerate(sorted(r for r in rows if r[0] == k), 1)}
+    assert got == want
+    table, axis = ordered.equal_ranges(df, ("k",), ("x", "i"), ranges)
+    assert table.groupBy("_range").count().count() == ranges
+    # One window is by key alone, over the sums of ranges; the other one is by key and range.
+    plan = ordered.scan(table, axis, place=running_sum(F.lit(1)))._jdf.queryExecution().optimizedPlan().toString()
+    windows = re.findall(r"windowspecdefinition\(k#\d+L?, (_block#\d+)( ASC)?", plan)
+    assert sorted(bool(ordered_by) for _, ordered_by in windows) == [False, True]
