@@ -35,46 +35,90 @@ UNIT = 8
 BLOCK_ROWS = 256
 
 
+#: Signs of which one, standing alone between words, is one id of the vocabulary and marks where a word ends.
+MARKS = "^~`\\{}|"
+STRETCH = 4096
+
+
 class WordTokenizer:
-    """Ids of whole texts from the ids of their words; remembers at most `remembered` words between batches."""
+    """Ids of whole texts from the ids of their words; remembers at most `remembered` words between batches and then begins anew.
 
-    def __init__(self, path: str, remembered: int = 250_000):
+    New words are tokenized in stretches of some kilobytes with a mark between each two; the ids of a stretch are cut at the marks. A stretch whose marks
+    don't come out as they went in, since a word holds one, is tokenized word by word.
+    """
+
+    def __init__(self, path: str, remembered: int = 500_000):
         # A task is one thread; more of them would hold memory of their own.
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.remembered = remembered
+        self.mark, self.mark_id = "", -1
+        for sign in MARKS:
+            ids = self.tokenizer.encode(f"a {sign} b", add_special_tokens=False).ids
+            if len(ids) == 3 and self.tokenizer.id_to_token(ids[1]) not in (None, "[UNK]", "<unk>"):
+                self.mark, self.mark_id = f"\n{sign}\n", ids[1]
+                break
+        self.forget()
+
+    def forget(self) -> None:
         self.place: dict[bytes, int] = {}
-        self.start = np.zeros(0, dtype=np.int64)
-        self.length = np.zeros(0, dtype=np.int64)
+        self.start, self.length = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         self.flat = np.zeros(0, dtype=np.uint32)
 
-    def learn(self, words: list[bytes]) -> None:
-        text = b"\n".join(words).decode("utf-8", "replace").split("\n")
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(text, add_special_tokens=False)]
+    def one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words and how many each has."""
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         length = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        return np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(length.sum())), length
+
+    def in_stretches(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 3) // STRETCH
+        cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(words)]
+        groups = [words[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+        found = self.tokenizer.encode_batch_fast([self.mark.join(g) for g in groups], add_special_tokens=False)
+        flat, lengths = [], []
+        for group, encoded in zip(groups, found, strict=True):
+            ids = np.array(encoded.ids, dtype=np.uint32)
+            marks = np.flatnonzero(ids == self.mark_id)
+            if len(marks) == len(group) - 1:
+                lengths.append(np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1)
+                flat.append(ids[ids != self.mark_id])
+            else:
+                ids, length = self.one_by_one(group)
+                flat.append(ids), lengths.append(length)
+        return np.concatenate(flat), np.concatenate(lengths)
+
+    def learn(self, words: list[bytes]) -> None:
+        # Words come with a space behind them.
+        text = b"\n".join(w[:-1] for w in words).decode("utf-8", "replace").split("\n")
+        ids, length = self.in_stretches(text) if self.mark else self.one_by_one(text)
         start = len(self.flat) + np.cumsum(length) - length
         self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
         self.start, self.length = np.concatenate([self.start, start]), np.concatenate([self.length, length])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(length.sum()))])
+        self.flat = np.concatenate([self.flat, ids])
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [t.split() for t in texts]
-        before = len(self.place), len(self.flat)
-        fresh = list(set().union(*split).difference(self.place))
+        if len(self.place) > self.remembered:
+            self.forget()
+        split = [b" ".join(t.split()) for t in texts]
+        counts = np.array([t.count(b" ") + 1 if t else 0 for t in split], dtype=np.int64)
+        # All words of the batch, each with the space behind it, as one Arrow array that tells equal ones apart.
+        data = b" ".join(filter(None, split)) + b" "
+        ends = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 0x20) + 1 if counts.any() else np.zeros(0, dtype=np.int64)
+        offsets = np.concatenate([[0], ends]).astype(np.int64)
+        words = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        known = words.dictionary.to_pylist()
+        fresh = [w for w in known if w not in self.place]
         if fresh:
             self.learn(fresh)
+        places = np.fromiter(map(self.place.__getitem__, known), dtype=np.int64, count=len(known))[words.indices.to_numpy()]
         out = []
-        for words in split:
-            at = np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
+        for at in np.split(places, np.cumsum(counts)[:-1]) if len(texts) else []:
             length = self.length[at]
             ends = np.cumsum(length)
             out.append(self.flat[np.repeat(self.start[at] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)])
-        if len(self.place) > self.remembered:
-            for w in fresh:
-                del self.place[w]
-            self.start, self.length, self.flat = self.start[: before[0]], self.length[: before[0]], self.flat[: before[1]]
         return out
 
 
