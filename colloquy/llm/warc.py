@@ -106,11 +106,31 @@ def parsed(content: bytes, where: str) -> dict:
     length = int(fields["content-length"]) if fields.get("content-length", "").isdigit() else -1
     if length < 0 or rest[length:] != END + END:
         raise Broken(f"the content length doesn't frame the record at {where}")
-    payload = rest[:length]
-    said = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-    if fields.get("warc-type") != "revisit" and said and said != base64.b32encode(hashlib.sha1(payload).digest()).decode():
-        raise Broken(f"a wrong digest at {where}")
-    return {"fields": fields, "payload": payload}
+    block = rest[:length]
+    whole = fields.get("warc-block-digest", "")
+    if whole.startswith("sha1:") and sha1_of(whole) != hashlib.sha1(block).hexdigest():
+        raise Broken(f"a wrong block digest at {where}")
+    # A captured HTTP message has its payload behind its own header.
+    message = fields.get("content-type", "").replace(" ", "").lower().startswith("application/http")
+    payload = block.partition(END + END)[2] if message else block
+    said, kind = fields.get("warc-payload-digest", ""), fields.get("warc-type")
+    digest = sha1_of(said) if said.startswith("sha1:") else None
+    if kind != "revisit":
+        own = hashlib.sha1(payload).hexdigest()
+        if digest not in (None, own):
+            raise Broken(f"a wrong digest at {where}")
+        digest = own
+    return {"fields": fields, "payload": payload, "digest": digest}
+
+
+def sha1_of(said: str) -> str | None:
+    """Hex SHA-1 from a digest field in base 32 or hex; None if it is neither."""
+    value = said.removeprefix("sha1:")
+    try:
+        raw = bytes.fromhex(value) if len(value) == 40 else base64.b32decode(value.upper())
+    except ValueError:
+        return None
+    return raw.hex() if len(raw) == 20 else None
 
 
 def write_archives(pages: DataFrame, path: str, *, key: str = "page_id", url: str = "url", payload: str = "html", least: int = LEAST, archive_bytes: int = ARCHIVE_BYTES) -> None:
@@ -162,8 +182,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     got = parsed(text, f"{name}, offset {offset}")
                     f, body = got["fields"], got["payload"]
                     revisit = f.get("warc-type") == "revisit"
-                    said = base64.b32decode(f["warc-payload-digest"].removeprefix("sha1:")).hex()
-                    rows.append((number(f.get("x-record-key")), f.get("warc-target-uri"), f.get("warc-type"), number(f.get("x-refers-to-key")), number(f.get("x-payload-length")) if revisit else len(body), said, None if revisit else body, name, offset))
+                    rows.append((number(f.get("x-record-key")), f.get("warc-target-uri"), f.get("warc-type"), number(f.get("x-refers-to-key")), number(f.get("x-payload-length")) if revisit else len(body), got["digest"], None if revisit else body, name, offset))
                     held += len(body)
                     if held > 4 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
