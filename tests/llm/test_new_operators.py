@@ -267,3 +267,51 @@ def test_personal_counts(spark):
         want[(r["doc_id"], *(n[k] for k in personal.KINDS), hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest())] += 1
     got = QUERIES["op13_personal_data"](spark, path).toPandas()
     assert Counter(zip(got.doc_id, got.n_email, got.n_ip, got.n_card, got.n_phone, got.base_sha256, strict=True)) == want
+
+
+# Archives and shards
+
+
+def test_foreign_records(spark, tmp_path):
+    """Records without a payload digest, captured HTTP messages and revisits of other writers."""
+    import base64
+    import gzip
+
+    from colloquy.llm import warc
+
+    def record(kind, block, *more):
+        head = ["WARC/1.0", f"WARC-Type: {kind}", *more, f"Content-Length: {len(block)}"]
+        return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    body = b"<p>x</p>"
+    sha = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    records = [
+        record("warcinfo", b"software: y"), record("request", b"GET / HTTP/1.1\r\n\r\n", "Content-Type: application/http; msgtype=request"),
+        record("response", http, "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{sha}", f"WARC-Block-Digest: sha1:{hashlib.sha1(http).hexdigest()}"),
+        record("revisit", b"", f"WARC-Payload-Digest: sha1:{sha}"), record("revisit", b""), record("resource", body, "WARC-Payload-Digest: md5:abc"),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(records))
+    got = [(r.record_type, r.payload_bytes, r.payload_digest) for r in warc.read_archives(spark, str(tmp_path)).orderBy("offset").collect()]
+    own, none = hashlib.sha1(body).hexdigest(), hashlib.sha1(b"").hexdigest()
+    assert got[0] == ("warcinfo", 11, hashlib.sha1(b"software: y").hexdigest()) and got[1] == ("request", 0, none)
+    assert got[2] == ("response", len(body), own) and got[3][2] == own and got[4][2] is None and got[5] == ("resource", len(body), own)
+    with pytest.raises(warc.Broken):
+        warc.parsed(gzip.decompress(record("response", http, "WARC-Block-Digest: sha1:" + "0" * 40)), "here")
+
+
+def test_shards_follow_from_the_records_alone(spark):
+    from colloquy.llm import sharding
+
+    rows = [(i, f"t{i}") for i in range(300)] + [(7, "t7")] * 150 + [(None, None)] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    runs = []
+    for n in (1, 3, 7):
+        out = sharding.shuffled(docs.repartition(n), 5, bucket_bytes=2_000).collect()
+        runs.append(Counter((r.doc_id, r.text, r.shard, r.slot) for r in out))
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == len(rows)
+    other = sharding.shuffled(docs, 5, seed=43, bucket_bytes=2_000).collect()
+    assert sum((r.doc_id, r.text, r.shard, r.slot) in runs[0] for r in other) < 60
+    # The repeated record is spread like any other.
+    shards = Counter(s for (k, _, s, _), n in runs[0].items() if k == 7 for _ in range(n))
+    assert len(shards) == 5 and max(shards.values()) < 50
