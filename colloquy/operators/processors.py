@@ -7,25 +7,22 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from colloquy.functions import lexicon as lx
 from colloquy.functions.text import bare_word, capitalised, glued
+from colloquy.operators import vocabulary
+from colloquy.operators.fuzzy import near_words
 from colloquy.operators.ordered import (
     concat_in_order, dense_axis, following, previous, running_sum, scan, with_halo,
 )
 from colloquy.session import written
-from colloquy.sources.profiles import Profile
+from colloquy.sources.profiles import Profile, vocabulary_table
 
 log = logging.getLogger(__name__)
 
-# From which confidence a correction is applied, from which score and alias length a fuzzy one, and the words around a word.
-APPLY_FROM = 0.8
-FUZZY_FROM = 88.0
-FUZZY_MIN_CHARS = 6
+# Fixed value: the words around a word.
 NEAR_WORDS = 8
 _W = ("job_id", "seg_idx", "word_idx", "text", "start_ms", "end_ms", "confidence", "speaker_id")
 
@@ -136,74 +133,9 @@ def _literal(replacement: str) -> str:
     return replacement.replace("\\", "\\\\").replace("$", "\\$")
 
 
-def _hits(text: Column, context) -> Column:
-    low = F.lower(text)
-    return sum((low.contains(c.lower()).cast("int") for c in context), F.lit(0))
-
-
-def effective_confidence(text: Column, entry) -> Column:
-    """Confidence of an entry in this text: context words raise it, their absence sinks it (fixed values 0.02 and 0.4)."""
-    if not entry.context:
-        return F.lit(float(entry.confidence))
-    hits = _hits(text, entry.context)
-    return F.when(hits == 0, F.lit(entry.confidence * 0.4)).otherwise(
-        F.least(F.lit(1.0), F.lit(float(entry.confidence)) + 0.02 * hits)
-    )
-
-
-def _reason(text: Column, entry, alias: str) -> Column:
-    plain = F.lit(f"alias {alias}")
-    if not entry.context:
-        return plain
-    near = F.array_compact(F.array(*[F.when(F.lower(text).contains(c.lower()), c) for c in entry.context]))
-    return F.when(F.size(near) > 0, F.concat(plain, F.lit(" near "), F.array_join(near, ", "))).otherwise(plain)
-
-
-def _vocabulary_step(step: int, entry, alias: str, pattern: str):
-    """One alias on the state (text, fixes)."""
-
-    def apply(state: Column) -> Column:
-        text, fixes = state["text"], state["fixes"]
-        conf = effective_confidence(text, entry)
-        changed = F.regexp_replace(text, pattern, _literal(entry.canonical))
-        fix = F.struct(
-            F.lit(step).alias("step"), F.regexp_extract(text, pattern, 0).alias("original"),
-            F.lit(entry.canonical).alias("replacement"), _reason(text, entry, alias).alias("reason"),
-            F.round(conf, 3).alias("confidence"),
-        )
-        applies = text.rlike(pattern) & (conf >= APPLY_FROM) & (changed != text)
-        return F.struct(
-            F.when(applies, changed).otherwise(text).alias("text"),
-            F.when(applies, F.array_append(fixes, fix)).otherwise(fixes).alias("fixes"),
-        )
-
-    return apply
-
-
-def apply_vocabulary(texts: DataFrame, profile: Profile) -> DataFrame:
-    """Corrected text and the log of corrections (`fixes`) of each text.
-
-    The vocabulary is short, so its entries fold into one column; each step sees the output of
-    the one before. A step is a lambda over a one-element array, which names the state so that the
-    expression grows with the number of entries only. Texts without any alias skip the fold.
-    """
-    steps = list(_alias_steps(profile))
-    none = F.array().cast("array<struct<step:int,original:string,replacement:string,reason:string,confidence:double>>")
-    start = F.struct(F.col("text").alias("text"), none.alias("fixes"))
-    if not steps:
-        return texts.withColumn("fixes", none)
-    state = start
-    for step, (entry, alias, pattern) in enumerate(steps):
-        state = F.transform(F.array(state), _vocabulary_step(step, entry, alias, pattern))[0]
-    some_word = r"(?iU)\b(?:" + "|".join(re.escape(w) for w in _anchor_words(steps)) + r")\b"
-    folded = F.when(F.col("text").rlike(some_word), state).otherwise(start)
-    other = [c for c in texts.columns if c != "text"]
-    return texts.withColumn("_state", folded).select(*other, "_state.text", "_state.fixes")
-
-
-def _anchor_words(steps) -> list[str]:
-    """First word of every alias; a text without any of them cannot change in the first place."""
-    return sorted({re.match(r"\w+", alias).group(0) if re.match(r"\w+", alias) else alias for _, alias, _ in steps})
+def apply_vocabulary(texts: DataFrame, profile: Profile, keys: tuple[str, ...] = ("job_id", "seg_idx")) -> DataFrame:
+    """Corrected text and the log of corrections (`fixes`) of each text."""
+    return vocabulary.correct_texts(texts, vocabulary.steps(vocabulary_table(texts.sparkSession, profile)), keys)
 
 
 def correct_always(text: Column, profile: Profile) -> Column:
@@ -270,43 +202,11 @@ def correct_vocabulary(t: Transcripts, profile: Profile) -> Transcripts:
     )
 
 
-def _similarity(left: str, right: str) -> float:
-    """Twice the longest common subsequence over both lengths, in percent."""
-    row = [0] * (len(right) + 1)
-    for a in left:
-        diagonal = 0
-        for j, b in enumerate(right, 1):
-            diagonal, row[j] = row[j], diagonal + 1 if a == b else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(left) + len(right)) if left or right else 100.0
-
-
-@F.pandas_udf(DoubleType())
-def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([_similarity(a, b) for a, b in zip(left, right)])
-
-
 def fuzzy_corrections(tokens: DataFrame, profile: Profile) -> DataFrame:
-    """Replacement of each distinct token near a fuzzy alias: (token, replacement, alias, score).
-
-    Only pairs whose lengths allow the score meet: aliases are spread over the lengths they can
-    match and joined by equality. The first alias that is near enough wins.
-    """
-    spark = tokens.sparkSession
-    rows, rank = [], 0
-    for entry in profile.vocabulary:
-        for alias in entry.aliases if entry.fuzzy else ():
-            if len(alias) >= FUZZY_MIN_CHARS:
-                for n in range(1, 2 * len(alias)):
-                    if 200.0 * min(n, len(alias)) / (n + len(alias)) >= FUZZY_FROM:
-                        rows.append((rank, entry.canonical, alias.lower(), n))
-                rank += 1
-    aliases = spark.createDataFrame(rows, "rank int, replacement string, alias string, chars int")
-    distinct = tokens.select(F.col("text").alias("token")).distinct().withColumn("chars", F.length("token"))
-    near = distinct.join(aliases, "chars").withColumn("score", similarity(F.lower("token"), F.col("alias")))
-    best = near.filter(F.col("score") >= FUZZY_FROM).groupBy("token").agg(
-        F.min(F.struct("rank", "replacement", "alias", "score")).alias("b")
-    )
-    return best.select("token", "b.replacement", "b.alias", "b.score")
+    """Replacement of each distinct token near a fuzzy alias: (token, replacement, alias, score)."""
+    fuzzy = [(e.canonical, a) for e in profile.vocabulary if e.fuzzy for a in e.aliases]
+    rows = [(rank, canonical, alias) for rank, (canonical, alias) in enumerate(fuzzy)]
+    return near_words(tokens, tokens.sparkSession.createDataFrame(rows, "rank int, replacement string, alias string"))
 
 
 # -- rules on single words and their neighbours ---------------------------------------

@@ -11,6 +11,8 @@ from colloquy.functions import lexicon as lx
 from colloquy.functions.text import glued
 from colloquy.operators import attribution as at
 from colloquy.operators import processors as pr
+from colloquy.operators import vocabulary as vo
+from colloquy.operators.fuzzy import near_words
 from colloquy.plans.registry import query
 from colloquy.plans.sql_views import VIEWS, esc, rnd, sql_list
 from colloquy.sources.corpus import Corpus
@@ -188,11 +190,70 @@ def unconditional_corrections(c: Corpus) -> DataFrame:
     return c.segments().select("job_id", "seg_idx", pr.correct_always(F.col("text"), SALES).alias("text"))
 
 
-@query("F8 N4")
+def _fuzzy_sql(tokens: str, aliases: str) -> str:
+    """First alias whose common subsequence (one bit per letter of the alias) is long enough, over all pairs of possible lengths."""
+    return f"""
+    SELECT token, b.replacement AS replacement, b.alias AS alias, b.score AS score FROM (
+      SELECT token, min({{'rank': rank, 'replacement': replacement, 'alias': alias, 'score': score}}) AS b FROM (
+        SELECT token, rank, replacement, alias, 200 * (n - bit_count(list_reduce(list_prepend((1::BIGINT << n) - 1, list_transform(string_split(low, ''), lambda c:
+                 list_sum(list_transform(range(n), lambda i: CASE WHEN substr(alias, i + 1, 1) = c THEN 1::BIGINT << i ELSE 0 END))::BIGINT)),
+                 lambda v, m: ((v + (v & m)) | (v - (v & m))) & ((1::BIGINT << n) - 1))))::DOUBLE / (n + length(low)) AS score
+        FROM (SELECT DISTINCT text AS token, lower(text) AS low FROM ({tokens}) WHERE length(text) >= 2)
+        JOIN (SELECT rank, replacement, lower(alias) AS alias, length(alias)::INT AS n FROM ({aliases}) WHERE length(alias) >= 6)
+        ON 200 * least(n, length(low)) >= 88 * (n + length(low)))
+      WHERE score >= 88 GROUP BY token)"""
+
+
+_FUZZY = [(e.canonical, x) for e in SALES.vocabulary if e.fuzzy for x in e.aliases]
+
+
+@query("F8 N4", _fuzzy_sql("SELECT text FROM words", f"SELECT * FROM (VALUES {', '.join(f'({i}, \'{esc(c)}\', \'{esc(x)}\')' for i, (c, x) in enumerate(_FUZZY))}) v(rank, replacement, alias)"))
 def fuzzy_corrections(c: Corpus) -> DataFrame:
     return pr.fuzzy_corrections(c.words(), SALES)
 
 
+VIEWS["long_words"] = "SELECT DISTINCT lower(text) AS text FROM words WHERE regexp_matches(text, '^[A-Za-z]{2,}$')"
+# Words of eleven letters stand for the aliases of a large vocabulary, in alphabetical order.
+VIEWS["spellings"] = "SELECT (row_number() OVER (ORDER BY text) - 1)::INTEGER AS rank, upper(text) AS replacement, text AS alias FROM long_words WHERE length(text) = 11"
+
+
+@query("F8 N4", _fuzzy_sql("SELECT text FROM long_words", "SELECT * FROM spellings"))
+def near_spellings(c: Corpus) -> DataFrame:
+    """Words of the meetings near one of their words of eleven letters."""
+    return near_words(c.long_words(), c.spellings())
+
+
+# Entries for half of all words and for some pairs of words, in alphabetical order; words of seven letters bring in the alias of the last entry.
+VIEWS["large_entries"] = """
+    WITH spoken AS (SELECT lower(text) AS a, lower(lead(text) OVER (PARTITION BY job_id, seg_idx ORDER BY word_idx)) AS b FROM words),
+    entries AS (
+      SELECT DISTINCT a AS alias, CASE WHEN length(a) = 7 THEN a || ' zz' ELSE upper(a) END AS canonical FROM spoken WHERE regexp_matches(a, '^[a-z]{4,}$') AND ascii(a) % 2 = 0
+      UNION ALL SELECT DISTINCT a || ' ' || b, b || '-' || a FROM spoken WHERE regexp_matches(a, '^[a-z]{3,}$') AND regexp_matches(b, '^[a-z]{3,}$') AND (length(a) + 3 * length(b)) % 5 = 0
+      UNION ALL SELECT 'zz', 'end')
+    SELECT (row_number() OVER (ORDER BY alias) - 1)::INTEGER AS step, alias, canonical, CASE WHEN length(alias) % 3 = 0 THEN 0.79::DOUBLE ELSE 0.9::DOUBLE END AS confidence,
+           CASE WHEN length(alias) % 3 = 0 THEN ['the', 'und'] ELSE [] END AS context
+    FROM entries"""
+_WRAP = "regexp_replace({0}, '([\\p{{L}}\\p{{M}}\\p{{N}}_]+)', chr(1) || '\\1' || chr(2), 'g')"
+_BARE = "translate({0}, chr(1) || chr(2), '')"
+
+
+@query("F6", f"""
+    SELECT job_id, seg_idx, {_BARE.format('s.t')} AS text, s.log AS log FROM (
+      SELECT job_id, seg_idx, list_reduce(list_prepend({{'step': -1, 'alias': '', 'p': '', 'w': '', 'confidence': 0.0::DOUBLE, 'context': ['x'], 't': {_WRAP.format('text')}, 'log': ''}}, todo),
+        lambda s, e: CASE WHEN (CASE WHEN len(e.context) = 0 THEN e.confidence WHEN len(list_filter(e.context, lambda c: contains(lower({_BARE.format('s.t')}), c))) = 0 THEN e.confidence * 0.4::DOUBLE
+                            ELSE least(1.0::DOUBLE, e.confidence + 0.02::DOUBLE * len(list_filter(e.context, lambda c: contains(lower({_BARE.format('s.t')}), c)))) END) >= 0.8
+                          AND regexp_replace(s.t, e.p, e.w, 'g') <> s.t
+          THEN {{'step': s.step, 'alias': s.alias, 'p': s.p, 'w': s.w, 'confidence': s.confidence, 'context': s.context, 't': regexp_replace(s.t, e.p, e.w, 'g'),
+                 'log': s.log || e.step || '|' || {_BARE.format('regexp_extract(s.t, e.p)')} || '|' || {_BARE.format('e.w')} || ';'}} ELSE s END) AS s
+      FROM (SELECT g.job_id, g.seg_idx, g.text, list({{'step': step, 'alias': alias, 'p': '(?i)' || {_WRAP.format('alias')}, 'w': {_WRAP.format('canonical')}, 'confidence': confidence, 'context': context, 't': '', 'log': ''}} ORDER BY step) AS todo
+            FROM segments g JOIN large_entries e ON alias = 'zz' OR len(list_filter(string_split(alias, ' '), lambda w: NOT contains(lower(g.text), w))) = 0 GROUP BY ALL)) WHERE s.log <> ''""")
+def large_vocabulary(c: Corpus) -> DataFrame:
+    """Texts corrected by a vocabulary as large as the meetings' own, with the log of steps."""
+    fixed = vo.correct_texts(c.segments().select("job_id", "seg_idx", "text"), vo.steps(c.large_vocabulary()))
+    line = F.transform("fixes", lambda f: F.concat_ws("|", f["step"].cast("string"), f["original"], f["replacement"]))
+    return fixed.filter(F.size("fixes") > 0).select("job_id", "seg_idx", "text", F.concat(F.array_join(line, ";"), F.lit(";")).alias("log"))
+
+
 @query("C10", "SELECT job_id, word_idx, text, near FROM near_words")
 def word_neighbourhoods(c: Corpus) -> DataFrame:
     return pr.neighbourhood(c.words()).select("job_id", "word_idx", "text", "near")

@@ -17,7 +17,7 @@ from colloquy.operators import identity as idn
 from colloquy.operators import processors as pr
 from colloquy.operators import topics as tp
 from colloquy.operators.ops import ARTIFACTS
-from colloquy.operators.ordered import BLOCK_ROWS, Axis, running_sum, scan
+from colloquy.operators.ordered import BLOCK_ROWS, Axis, dense_axis, following, places, running_sum, scan
 from colloquy.session import ship_package, written
 from colloquy.sources.profiles import load_profile
 from colloquy.streaming import progress as pg
@@ -185,6 +185,33 @@ class Corpus:
             lambda: tp.timeline(self.segments(), self.names(), self.topics(), self.decisions(), self.actions()),
         )
 
+    def long_words(self) -> DataFrame:
+        """Different words of letters only, in lower case."""
+        return self.words().filter(F.col("text").rlike("^[A-Za-z]{2,}$")).select(F.lower("text").alias("text")).distinct()
+
+    def spellings(self) -> DataFrame:
+        """Words of eleven letters as aliases, ranked by the alphabet."""
+        own = self.long_words().filter(F.length("text") == 11).select(F.lit("all").alias("profile"), "text")
+        return places(own, "profile", ("text",)).select((F.col("place") - 1).cast("int").alias("rank"), F.upper("text").alias("replacement"), F.col("text").alias("alias"))
+
+    def large_vocabulary(self) -> DataFrame:
+        """Entries for half of all words and for some pairs of words, in alphabetical order; words of seven letters bring in the alias of the last one."""
+        spoken = scan(self.words(), dense_axis("job_id", "word_idx"), b=following(F.struct("seg_idx", "text"))).select(
+            F.lower("text").alias("a"), F.when(F.col("b.seg_idx") == F.col("seg_idx"), F.lower("b.text")).alias("b")
+        )
+        single = spoken.filter(F.col("a").rlike("^[a-z]{4,}$") & (F.ascii("a") % 2 == 0)).select(
+            F.col("a").alias("alias"), F.when(F.length("a") == 7, F.concat("a", F.lit(" zz"))).otherwise(F.upper("a")).alias("canonical")
+        )
+        both = F.col("a").rlike("^[a-z]{3,}$") & F.col("b").rlike("^[a-z]{3,}$") & ((F.length("a") + 3 * F.length("b")) % 5 == 0)
+        pairs = spoken.filter(both).select(F.concat_ws(" ", "a", "b").alias("alias"), F.concat_ws("-", "b", "a").alias("canonical"))
+        last = self.spark.createDataFrame([("zz", "end")], "alias string, canonical string")
+        entries = places(single.union(pairs).distinct().union(last).withColumn("profile", F.lit("large")), "profile", ("alias",))
+        rare = F.length("alias") % 3 == 0
+        return entries.select(
+            "profile", (F.col("place") - 1).cast("int").alias("entry_idx"), "canonical", F.array("alias").alias("aliases"), F.when(rare, 0.79).otherwise(0.9).alias("confidence"),
+            F.when(rare, F.array(F.lit("the"), F.lit("und"))).otherwise(F.array().cast("array<string>")).alias("context"), F.lit(False).alias("case_sensitive"),
+        )
+
     def corrections(self) -> DataFrame:
         """Corrections of the shipped sales vocabulary."""
         return self.keep(

@@ -12,6 +12,7 @@ from colloquy.functions import lexicon as lx
 from colloquy.operators import attribution as at
 from colloquy.operators import facts as fa
 from colloquy.operators import ordered
+from colloquy.operators import fuzzy as fz
 from colloquy.operators import processors as pr
 from colloquy.operators import topics as tp
 from colloquy.sources.profiles import Entry, Profile, list_profiles, load_profile, resolve_profile
@@ -121,7 +122,7 @@ def test_vocabulary_context_and_order(spark):
         Entry("Kredit", ("credit",), 0.9, ("bank",)), Entry("ML", ("em el",), 0.79, ("model",)),
     ))
     df = spark.createDataFrame([(1, "acme gives credit"), (2, "bank credit"), (3, "em el model"), (4, "em el")], "id long, text string")
-    got = {r.id: (r.text, [(f.original, f.confidence) for f in r.fixes]) for r in pr.apply_vocabulary(df, profile).collect()}
+    got = {r.id: (r.text, [(f.original, f.confidence) for f in r.fixes]) for r in pr.apply_vocabulary(df, profile, ("id",)).collect()}
     assert got[1] == ("Acme Group Ltd gives credit", [("acme", 0.9), ("Group", 0.92)])
     assert got[2] == ("bank Kredit", [("credit", 0.92)])
     assert got[3] == ("ML model", [("em el", 0.81)])
@@ -152,8 +153,51 @@ def test_context_rules_walk_from_left_to_right(spark, block, monkeypatch):
 
 
 def test_fuzzy_score():
-    assert pr._similarity("ticket", "tickets") == pytest.approx(100 * 12 / 13)
-    assert pr._similarity("", "") == 100.0
+    assert fz.similarity("ticket", "tickets") == pytest.approx(100 * 12 / 13)
+    assert fz.similarity("", "") == 100.0
+
+
+def plain_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+        row = new
+    return row[-1]
+
+
+def test_near_words_against_all_pairs(spark):
+    rng = random.Random(9)
+    aliases = [(i, f"r{i}", "".join(rng.choices("abcdé", k=rng.randint(4, 14)))) for i in range(40)]
+    tokens = {"".join(rng.choices("abcdé", k=rng.randint(0, 9))) for _ in range(200)}
+    for _, _, a in aliases:
+        for _ in range(12):
+            t = list(a)
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randrange(len(t) + 1)
+                t[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "a", "B"])
+            tokens.add("".join(t))
+    want = {}
+    for t in tokens:
+        for rank, name, a in aliases:
+            score = 200 * plain_common(t.lower(), a) / (len(t) + len(a)) if len(a) >= 6 else 0
+            if score >= 88:
+                want[t] = (name, a, pytest.approx(score))
+                break
+    got = {r.token: (r.replacement, r.alias, r.score) for r in fz.near_words(spark.createDataFrame([(t,) for t in tokens], "text string"), spark.createDataFrame(aliases, "rank int, replacement string, alias string")).collect()}
+    assert got == want and len(want) > 150
+
+
+def test_vocabulary_chains_and_counts_no_step_twice(spark):
+    profile = Profile("p", vocabulary=(
+        Entry("b c", ("a",)), Entry("d", ("c e",)), Entry("x$1", ("d",)), Entry(r"\\y", ("b",)), Entry("never", ("zz",)), Entry("Q+", ("f+g", "f+g h"), case_sensitive=True), Entry("low", ("b",), 0.5),
+    ))
+    df = spark.createDataFrame([(1, "a e"), (2, "zz"), (3, "F+G h f+g h f+g"), (4, ""), (5, None)], "id long, text string")
+    got = {r.id: (r.text, [(f.step, f.original) for f in r.fixes]) for r in pr.apply_vocabulary(df, profile, ("id",)).collect()}
+    assert got[1] == (r"\\y x$1", [(0, "a"), (1, "c e"), (2, "d"), (3, "b")])
+    assert got[2] == ("never", [(4, "zz")]) and got[4] == ("", []) and got[5] == (None, [])
+    assert got[3] == ("F+G h Q+ Q+", [(5, "f+g h"), (6, "f+g")])
 
 
 def test_fuzzy_corrections(spark):
