@@ -97,6 +97,7 @@ ACTION_RULES, DECISION_RULES = _rules(ACTION_PHRASES), _rules(DECISION_PHRASES)
 ITEM = "([^.!?]+)"
 
 # Fixed values.
+DUE_WORDS = ("this", "next"), ("week", "month")
 WEEKDAYS = "monday tuesday wednesday thursday friday saturday sunday".split()
 MONTHS = "january february march april may june july august september october november december".split()
 ORGANISATION_FORMS = "Corp Inc LLC Ltd Bank Group Financial Services Solutions Technologies Systems".split()
@@ -107,10 +108,6 @@ _NUMBER = "[0-9]+(?:[.][0-9]+)?"
 _NAME = "[A-Z][a-z]+"
 _MONTH_DAY = rf"{one_of(MONTHS)} [0-9]{{1,2}}(?:st|nd|rd|th)?(?:,? [0-9]{{4}})?"
 
-DUE_WEEKDAY = rf"(?i)\bby ((?:next )?{one_of(WEEKDAYS)})\b"
-DUE_DATE = rf"(?i)\bby ({_MONTH_DAY})\b"
-DUE_PERIOD = rf"(?i)\b({one_of(f'{which} {span}' for which in ('this', 'next') for span in ('week', 'month'))})\b"
-
 # One rule per kind of entity; the whole match is the value.
 ENTITY_PATTERNS = {
     # Names in a row, the last word a form of organisation.

@@ -64,19 +64,48 @@ def _picked(sents: DataFrame, rules) -> DataFrame:
     )
 
 
-def _found(text: Column, pattern: str) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+def due_date(text: Column) -> Column:
+    """When a sentence says the work is due, null if it does not.
 
+    The sentence is read as words without the marks around them. Of the places where a rule fits, the first counts; of the rules, the
+    first in this order: by a weekday (or the next one), by month and day (with the year behind it, if any), this or next week or month,
+    by eod, tomorrow, today.
+    """
+    raw = F.split(text, r"\s+")
+    words = F.struct(raw.alias("raw"), F.transform(raw, lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")).alias("bare"))
+    words = F.transform(F.array(words), lambda w: F.struct(w["raw"].alias("raw"), w["bare"].alias("bare"), F.transform(w["bare"], F.lower).alias("low")))
+    return F.transform(words, _due)[0]
+
+
+def _due(w: Column) -> Column:
+    places = F.sequence(F.lit(0), F.size(w["low"]) - 1)
+
+    def first(value) -> Column:
+        return F.get(F.filter(F.transform(places, value), lambda v: v.isNotNull()), F.lit(0))
+
+    def low(i: Column) -> Column:
+        return F.coalesce(F.get(w["low"], i), F.lit(""))
+
+    def bare(i: Column) -> Column:
+        return F.get(w["bare"], i)
+
+    def weekday(i: Column) -> Column:
+        by = low(i) == "by"
+        return F.when(by & low(i + 1).isin(*lx.WEEKDAYS), bare(i + 1)).when(by & (low(i + 1) == "next") & low(i + 2).isin(*lx.WEEKDAYS), F.concat_ws(" ", bare(i + 1), bare(i + 2)))
+
+    def date(i: Column) -> Column:
+        day = F.coalesce(F.get(w["raw"], i + 2), F.lit(""))
+        year = low(i + 3).rlike("^[0-9]{4}$") & day.rlike("[^.!?;:]$")
+        fits = (low(i) == "by") & low(i + 1).isin(*lx.MONTHS) & low(i + 2).rlike("^[0-9]{1,2}(st|nd|rd|th)?$")
+        return F.when(fits & year, F.concat_ws(" ", bare(i + 1), day, bare(i + 3))).when(fits, F.concat_ws(" ", bare(i + 1), bare(i + 2)))
+
+    def period(i: Column) -> Column:
+        which, span = lx.DUE_WORDS
+        return F.when(low(i).isin(*which) & low(i + 1).isin(*span), F.concat_ws(" ", bare(i), bare(i + 1)))
 
-def due_date(text: Column) -> Column:
-    """When a sentence says the work is due, null if it does not."""
     return F.coalesce(
-        _found(text, lx.DUE_WEEKDAY),
-        _found(text, lx.DUE_DATE),
-        F.regexp_replace(_found(text, lx.DUE_PERIOD), r"\s+", " "),
-        F.when(text.rlike(r"(?i)\bby\s+eod\b"), "end of day"),
-        F.when(text.rlike(r"(?i)\btomorrow\b"), "tomorrow"),
-        F.when(text.rlike(r"(?i)\btoday\b"), "today"),
+        first(weekday), first(date), first(period), first(lambda i: F.when((low(i) == "by") & (low(i + 1) == "eod"), "end of day")),
+        F.when(F.array_contains(w["low"], "tomorrow"), "tomorrow"), F.when(F.array_contains(w["low"], "today"), "today"),
     )
 
 

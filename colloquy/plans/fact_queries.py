@@ -12,7 +12,7 @@ from colloquy.operators import facts as fa
 from colloquy.operators import introductions as intro
 from colloquy.operators import topics as tp
 from colloquy.plans.registry import query
-from colloquy.plans.sql_views import esc, sql_list
+from colloquy.plans.sql_views import due_sql, esc, sql_list
 from colloquy.sources.corpus import Corpus
 
 _ACTION = "job_id, sent_no, seg_idx, speaker_id, at_ms, text, task, owner, due_date, confidence, reason"
@@ -34,6 +34,33 @@ def due_dates(c: Corpus) -> DataFrame:
     return c.actions().filter("due_date is not null").groupBy("due_date").agg(F.count("*").alias("n"))
 
 
+# Orders as sentences: eight ways to say when, with the order's own date.
+_WAYS = (
+    ("'by ' || day || '.'", lambda d: F.concat(F.lit("by "), d("EEEE"), F.lit("."))), ("'by next ' || day || ', please'", lambda d: F.concat(F.lit("by next "), d("EEEE"), F.lit(", please"))),
+    ("'by ' || month || ' ' || dom || ', ' || year || '!'", lambda d: F.concat(F.lit("by "), d("MMMM"), F.lit(" "), d("d"), F.lit(", "), d("yyyy"), F.lit("!"))),
+    ("'BY ' || upper(month) || ' ' || dom || 'th. ' || year || ' is over'", lambda d: F.concat(F.lit("BY "), F.upper(d("MMMM")), F.lit(" "), d("d"), F.lit("th. "), d("yyyy"), F.lit(" is over"))),
+    ("'this week or today'", lambda d: F.lit("this week or today")), ("'tomorrow, not by EOD'", lambda d: F.lit("tomorrow, not by EOD")),
+    ("'(today) by ' || dom", lambda d: F.concat(F.lit("(today) by "), d("d"))), ("'next ' || month || ' by and by'", lambda d: F.concat(F.lit("next "), d("MMMM"), F.lit(" by and by"))),
+)
+_ORDER_SQL = " ".join(f"WHEN {i} THEN {sql}" for i, (sql, _) in enumerate(_WAYS))
+
+
+@query("G2", f"""
+    SELECT o_orderkey, {due_sql("text")} AS due_date FROM (
+      SELECT o_orderkey, 'Ship order ' || o_orderkey || ' ' || CASE o_orderkey % 8 {_ORDER_SQL} END AS text FROM (
+        SELECT o_orderkey, dayname(o_orderdate) AS day, monthname(o_orderdate) AS month, day(o_orderdate)::VARCHAR AS dom, year(o_orderdate)::VARCHAR AS year FROM orders))""")
+def order_due_dates(c: Corpus) -> DataFrame:
+    """When each order is due, said in eight ways."""
+    def part(pattern: str):
+        return F.date_format("o_orderdate", pattern)
+
+    said = F.lit(None).cast("string")
+    for i, (_, way) in enumerate(_WAYS):
+        said = F.when(F.col("o_orderkey") % len(_WAYS) == i, way(part)).otherwise(said)
+    texts = c.table("orders").select("o_orderkey", F.concat(F.lit("Ship order "), F.col("o_orderkey").cast("string"), F.lit(" "), said).alias("text"))
+    return texts.select("o_orderkey", fa.due_date(F.col("text")).alias("due_date"))
+
+
 @query("G3", f"SELECT {_DECISION} FROM decisions")
 def decisions(c: Corpus) -> DataFrame:
     return fa.decisions(c.sentences())

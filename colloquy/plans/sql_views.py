@@ -120,6 +120,24 @@ def _in(values) -> str:
     return "(" + sql_list(values) + ")"
 
 
+def due_sql(text: str) -> str:
+    """Due date of a text: first hit of each rule in a numbered list of its words."""
+    words = f"list_transform(string_split_regex({text}, '\\s+'), lambda w: {{'r': w, 'b': regexp_replace(w, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')}})"
+    which, span = (_in(x) for x in lx.DUE_WORDS)
+    days, months = _in(lx.WEEKDAYS), _in(lx.MONTHS)
+    low = lambda i: f"coalesce(lower(v.w[{i}].b), '')"
+    fits = f"{low('i')} = 'by' AND {low('i + 1')} IN {months} AND regexp_full_match({low('i + 2')}, '[0-9]{{1,2}}(st|nd|rd|th)?')"
+    year = f"regexp_full_match({low('i + 3')}, '[0-9]{{4}}') AND regexp_matches(v.w[i + 2].r, '[^.!?;:]$')"
+    rules = [
+        f"CASE WHEN {low('i')} = 'by' AND {low('i + 1')} IN {days} THEN v.w[i + 1].b WHEN {low('i')} = 'by' AND {low('i + 1')} = 'next' AND {low('i + 2')} IN {days} THEN v.w[i + 1].b || ' ' || v.w[i + 2].b END",
+        f"CASE WHEN {fits} AND {year} THEN v.w[i + 1].b || ' ' || v.w[i + 2].r || ' ' || v.w[i + 3].b WHEN {fits} THEN v.w[i + 1].b || ' ' || v.w[i + 2].b END",
+        f"CASE WHEN {low('i')} IN {which} AND {low('i + 1')} IN {span} THEN v.w[i].b || ' ' || v.w[i + 1].b END",
+        f"CASE WHEN {low('i')} = 'by' AND {low('i + 1')} = 'eod' THEN 'end of day' END", f"CASE WHEN {low('i')} = 'tomorrow' THEN 'tomorrow' END", f"CASE WHEN {low('i')} = 'today' THEN 'today' END",
+    ]
+    found = ", ".join(f"list_filter(list_transform(range(1, len(v.w) + 1), lambda i: {r}), lambda x: x IS NOT NULL)[1]" for r in rules)
+    return f"list_transform([{{'w': {words}}}], lambda v: coalesce({found}))[1]"
+
+
 _FIRST = esc(r"(?i),?\s*(?:" + "|".join(lx.TAGS) + r")\?$")
 
 VIEWS.update({
@@ -128,12 +146,7 @@ VIEWS.update({
     "actions": f"""
         SELECT a.job_id, sent_no, seg_idx, speaker_id, at_ms, text, item AS task,
                CASE WHEN owned THEN coalesce(display, speaker_id) END AS owner,
-               coalesce(nullif(regexp_extract(text, '{lx.DUE_WEEKDAY}', 1), ''),
-                        nullif(regexp_extract(text, '{lx.DUE_DATE}', 1), ''),
-                        regexp_replace(nullif(regexp_extract(text, '{lx.DUE_PERIOD}', 1), ''), '\\s+', ' ', 'g'),
-                        CASE WHEN regexp_matches(text, '(?i)\\bby\\s+eod\\b') THEN 'end of day'
-                             WHEN regexp_matches(text, '(?i)\\btomorrow\\b') THEN 'tomorrow'
-                             WHEN regexp_matches(text, '(?i)\\btoday\\b') THEN 'today' END) AS due_date,
+               {due_sql('text')} AS due_date,
                confidence, reason
         FROM acted a LEFT JOIN names n USING (job_id, speaker_id)""",
     "decisions": """
