@@ -134,20 +134,8 @@ TITLED_PERSON = rf"\b{one_of(TITLES)}[.] {_NAME}(?: {_NAME})?\b"
 # Tokens that may continue an entity begun by the token before.
 CONTINUES_ENTITY = rf"^(?:[A-Z0-9$-]|(?i:{one_of(MAGNITUDES)}|k\b|dollar|percent))"
 
-# Introductions: the rule, whether it is sure, and words that, standing behind the name, show that it only points at something.
-_CALLED = "([A-Z][A-Za-z]+)"
-INTRO_RULES = (
-    (rf"\b{one_of(('I am', 'I\'m', 'Im'))} {_CALLED}\b", True, ()),
-    (rf"\b(?i:{one_of(('my name is', 'my name\'s', 'my names'))}) ([A-Za-z]{{2,}})\b", True, ()),
-    (rf"^ *{_CALLED} (?:here|speaking)\b", False, ()),
-    (rf"\b[Tt]his is {_CALLED}\b", False, ("'s", "the", "a", "an")),
-)
-
-
-def introduction_pattern(rule: str, pointing) -> str:
-    """Group 1 is the name; with pointing words, group 2 is the one that follows, if any."""
-    return rule + (rf"(?: *({'|'.join(pointing)})\b)?" if pointing else "")
-
+# Words that, standing behind a name after "this is", show that it only points at something.
+POINTING = ("the", "a", "an")
 
 # Capitalised words after "this is" that are no names. Fixed values.
 NOT_NAMES = (

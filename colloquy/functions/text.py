@@ -20,9 +20,15 @@ def pipes_escaped(text: Column) -> Column:
     return F.replace(text, F.lit("|"), F.lit("\\|"))
 
 
-def safe_file_name(name: Column, longest: int = 200, fallback: str = "audio") -> Column:
-    """Letters, digits, dot, dash and underscore stay; everything else becomes an underscore."""
-    clean = F.substring(F.regexp_replace(name, r"(?U)[^\w\-.]", "_"), 1, longest)
+def safe_file_name(name: Column, longest: int | None = None, fallback: str = "audio") -> Column:
+    """Letters, digits, dot, dash and underscore stay; everything else becomes an underscore.
+
+    A name over `longest` characters ends in a part of its digest instead, so that two of them stay apart.
+    """
+    clean = F.regexp_replace(name, r"(?U)[^\w\-.]", "_")
+    if longest is not None:
+        short = F.concat(F.substring(clean, 1, longest - 9), F.lit("-"), F.substring(F.sha2(clean, 256), 1, 8))
+        clean = F.when(F.length(clean) > longest, short).otherwise(clean)
     return F.when(clean == "", fallback).otherwise(clean)
 
 

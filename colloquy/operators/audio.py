@@ -5,19 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FRAMES = 600
 SPEECH_RATIO = 0.15
 WINDOW_S, MOST_WINDOWS = 60, 4
 ONE_SPEAKER, TWO_SPEAKERS = 0.30, 0.60
 SKIP_FROM, SKIP_SAVES_S, LONG_S = 0.85, 540, 600
 
 
-def energy_profile(frames: DataFrame) -> DataFrame:
-    """Share of speech and silence and the signal-to-noise ratio in the first minute of 0.1 s frames."""
-    minute = frames.filter(F.col("frame_idx") < FRAMES)
-    mean = minute.groupBy("job_id").agg((F.avg("rms") * SPEECH_RATIO).alias("threshold"))
+def energy_profile(frames: DataFrame, first_frames: int | None = None) -> DataFrame:
+    """Share of speech and silence and the signal-to-noise ratio of all frames, or of the first ones only (a minute has 600)."""
+    heard = frames if first_frames is None else frames.filter(F.col("frame_idx") < first_frames)
+    mean = heard.groupBy("job_id").agg((F.avg("rms") * SPEECH_RATIO).alias("threshold"))
     speech = F.col("rms") > F.col("threshold")
-    rows = minute.join(mean, "job_id").groupBy("job_id").agg(
+    rows = heard.join(mean, "job_id").groupBy("job_id").agg(
         F.count("*").alias("n"), F.count_if(speech).alias("n_speech"),
         F.avg(F.when(speech, F.col("rms"))).alias("loud"), F.avg(F.when(~speech, F.col("rms"))).alias("quiet"),
     )

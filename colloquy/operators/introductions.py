@@ -7,24 +7,61 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import lexicon as lx
 
+#: Marks around a word, and a word that can be a name; whatever follows an apostrophe belongs to it as a possessive.
+MARKS = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+NAME = r"^([A-Z][A-Za-z]+)$"
 
-def _hits(rule: str, sure: bool, pointing) -> Column:
-    """Matches of a rule as (sure, wording, name), without those that only point at something."""
-    pattern = "(?U)" + lx.introduction_pattern(rule, pointing)
-    found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-    if pointing:
-        found = F.filter(found, lambda m: F.regexp_extract(m, pattern, 2) == "")
-    return F.transform(found, lambda m: F.struct(F.lit(sure).alias("sure"), m.alias("wording"), F.regexp_extract(m, pattern, 1).alias("name")))
 
+def _rules(w: Column, i: Column) -> Column:
+    """What a rule finds where the phrase begins with word i: (sure, name), null if none fits."""
 
-def introductions(segs: DataFrame) -> DataFrame:
-    """Introductions: (job_id, seg_idx, speaker_id, sure, at_char, name), one per wording and segment."""
-    per_rule = [_hits(*rule) for rule in lx.INTRO_RULES]
-    hits = segs.select("job_id", "seg_idx", "speaker_id", "text", F.explode(F.array_distinct(F.concat(*per_rule))).alias("m"))
-    rows = hits.select(
-        "job_id", "seg_idx", "speaker_id", "m.sure", F.expr("locate(m.wording, text)").cast("long").alias("at_char"), "m.name"
+    def bare(k: int) -> Column:
+        return F.coalesce(F.get(w["bare"], i + k), F.lit(""))
+
+    def low(k: int) -> Column:
+        return F.lower(bare(k))
+
+    def close(k: int) -> Column:
+        """No mark parts the words up to word k."""
+        out = F.lit(True)
+        for j in range(k):
+            out = out & F.get(w["raw"], i + j).rlike(r"[\p{L}\p{N}]$") & F.get(w["raw"], i + j + 1).rlike(r"^[\p{L}\p{N}]")
+        return out
+
+    def named(k: int, pattern: str = NAME) -> Column:
+        return F.when(close(k), F.nullif(F.regexp_extract(bare(k), pattern, 1), F.lit("")))
+
+    def found(sure: bool, name: Column) -> Column:
+        return F.when(name.isNotNull(), F.struct(F.lit(sure).alias("sure"), name.alias("name")))
+
+    myself = F.when((bare(0) == "I") & (bare(1) == "am"), named(2)).when(bare(0).isin("I'm", "Im"), named(1))
+    mine = F.when((low(0) == "my") & (low(1) == "name") & (low(2) == "is"), named(3, "^([A-Za-z]{2,})$")).when(
+        (low(0) == "my") & low(1).isin("name's", "names"), named(2, "^([A-Za-z]{2,})$")
     )
-    return rows.filter(F.col("sure") | ~F.col("name").isin(lx.NOT_NAMES))
+    here = F.when((i == 0) & bare(1).isin("here", "speaking") & close(1), named(0))
+    this = F.when(bare(0).isin("This", "this") & (bare(1) == "is") & ~(F.get(w["raw"], i + 2).rlike(r"[\p{L}\p{N}]$") & low(3).isin(*lx.POINTING)), named(2))
+    return F.coalesce(found(True, myself), found(True, mine), found(False, here), found(False, this))
+
+
+def _hits(w: Column) -> Column:
+    """(sure, at_char, name) of every phrase, by the places of words."""
+    places = F.sequence(F.lit(0), F.size(w["raw"]) - 1)
+
+    def place(i: Column) -> Column:
+        before = F.when(i == 0, 0).otherwise(F.length(F.array_join(F.slice(w["raw"], 1, i), " ")) + 1)
+        return before + F.length(F.regexp_extract(F.get(w["raw"], i), r"^([^\p{L}\p{N}]*)", 1)) + 1
+
+    found = F.filter(F.transform(places, lambda i: F.struct(_rules(w, i).alias("m"), i.alias("i"))), lambda x: x["m"].isNotNull())
+    return F.transform(found, lambda x: F.struct(x["m"]["sure"].alias("sure"), place(x["i"]).cast("long").alias("at_char"), x["m"]["name"].alias("name")))
+
+
+def introductions(segs: DataFrame) -> DataFrame:
+    """Introductions: (job_id, seg_idx, speaker_id, sure, at_char, name), the first place of each name in a segment."""
+    raw = F.split("text", " ")
+    words = F.array(F.struct(raw.alias("raw"), F.transform(raw, lambda x: F.regexp_replace(x, MARKS, "")).alias("bare")))
+    hits = segs.select("job_id", "seg_idx", "speaker_id", F.explode(F.transform(words, _hits)[0]).alias("m")).select("job_id", "seg_idx", "speaker_id", "m.*")
+    rows = hits.filter(F.col("sure") | ~F.col("name").isin(lx.NOT_NAMES))
+    return rows.groupBy("job_id", "seg_idx", "speaker_id", "sure", "name").agg(F.min("at_char").alias("at_char")).select("job_id", "seg_idx", "speaker_id", "sure", "at_char", "name")
 
 
 def best_introductions(found: DataFrame) -> DataFrame:

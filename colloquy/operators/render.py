@@ -220,15 +220,20 @@ def quality_report(jobs, stats, low_segments, corrections, names_found, acronyms
     ])
 
 
-def review_report(jobs, uncertain, low_segments, corrections, doubtful, mentions, numbers, short, switches, pairs, names) -> DataFrame:
-    """The six review sections; words are capped at 50 shown, with the number left out stated."""
+def review_report(jobs, uncertain, low_segments, corrections, doubtful, mentions, numbers, short, switches, pairs, names, shown: int | None = None) -> DataFrame:
+    """The six review sections; with `shown` only so many uncertain words, and the number left out."""
     c = F.col
-    order = Window.partitionBy("job_id").orderBy("word_idx")
-    shown = uncertain.withColumn("r", F.row_number().over(order)).filter("r <= 50")
-    more = uncertain.groupBy("job_id").agg(F.count("*").alias("n")).filter("n > 50")
-    words = listed(shown, c("r"), row(clock(c("start_ms")), c("display"), c("word"), percent(c("confidence")), F.substring("context", 1, 100))).union(
-        listed(more, F.lit(51), F.concat(F.lit("and "), (c("n") - 50).cast("string"), F.lit(" more")))
-    )
+
+    def word_lines(df, place):
+        return listed(df, place, row(clock(c("start_ms")), c("display"), c("word"), percent(c("confidence")), c("context")))
+
+    if shown is None:
+        words = word_lines(uncertain, c("word_idx"))
+    else:
+        order = Window.partitionBy("job_id").orderBy("word_idx")
+        few = uncertain.withColumn("r", F.row_number().over(order)).filter(c("r") <= shown)
+        more = uncertain.groupBy("job_id").agg(F.count("*").alias("n")).filter(c("n") > shown)
+        words = word_lines(few, c("r")).union(listed(more, F.lit(shown + 1), F.concat(F.lit("and "), (c("n") - shown).cast("string"), F.lit(" more"))))
     span = F.concat(clock(c("start_ms")), F.lit("–"), clock(c("end_ms")))
     issues = (
         listed(short, c("seg_idx"), row(F.lit("Short segment"), span, c("text")))

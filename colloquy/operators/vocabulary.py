@@ -96,3 +96,13 @@ def correct_texts(texts: DataFrame, table: DataFrame, keys: tuple[str, ...] = ("
         done.append(folded.filter(F.size("fixes") == 0))
         todo = folded.filter(F.size("fixes") > 0)
     return reduce(DataFrame.unionByName, [d.select(*others, "text", "fixes") for d in done])
+
+
+def touched(texts: DataFrame, table: DataFrame, keys: tuple[str, ...] = ("job_id", "seg_idx")) -> DataFrame:
+    """Which steps of a table of `steps` match which texts as they are: (keys, profile, step)."""
+    table = written(table, "steps")
+    sizes = sorted(r[0] for r in table.select("n_words").distinct().collect())
+    if not sizes:
+        return texts.select(*keys).join(table.select("profile", "step"), F.lit(False))
+    met = texts.select(*keys, "text", F.explode(_grams(F.array("text"), sizes)).alias("gram")).join(table, "gram")
+    return met.filter(F.rlike("text", F.col("pattern"))).select(*keys, "profile", "step")

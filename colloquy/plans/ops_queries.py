@@ -64,7 +64,7 @@ def checked_uploads(c: Corpus) -> DataFrame:
 
 
 @query("M10 M5", r"""
-    SELECT upload_id, left(regexp_replace(file_name, '[^\p{L}\p{N}_.-]', '_', 'g'), 200) AS object_name,
+    SELECT upload_id, regexp_replace(file_name, '[^\p{L}\p{N}_.-]', '_', 'g') AS object_name,
            translate(regexp_replace(regexp_extract(file_name, '([^/]*)$', 1), '(.)\.[^.]*$', '\1'), '_-', '  ') AS title FROM uploads""")
 def upload_names(c: Corpus) -> DataFrame:
     return c.uploads().select("upload_id", tx.safe_file_name(F.col("file_name")).alias("object_name"), F.lower(tx.title_of_path(F.col("file_name"))).alias("title"))
@@ -105,10 +105,6 @@ def job_rollup(c: Corpus) -> DataFrame:
     return ops.job_rollup(c.job_events())
 
 
-ERRORS = (
-    "HF_TOKEN missing", "model needs a token", "401 returned", "Gated license", "CUDA device lost", "ffmpeg not here",
-    "No such file or directory: a.wav", "read timeout", "Errno 13", "OOM at step 3", "list index out of range", "something else",
-)
 _CLASSES = " ".join(
     "WHEN " + " OR ".join("(" + " AND ".join(f"contains(lower(m), '{w}')" for w in ws) + ")" for ws in alternatives) + f" THEN '{name}'"
     for name, alternatives in ops.FAILURES
@@ -116,11 +112,12 @@ _CLASSES = " ".join(
 
 
 @query("L4", f"""
-    SELECT failure, count(*) AS n FROM (
-      SELECT CASE {_CLASSES} ELSE 'other' END AS failure FROM (SELECT {_pick(ERRORS, 'event_id')} AS m FROM events)) GROUP BY failure""")
+    SELECT source, failure, count(*) AS n FROM (
+      SELECT source, CASE {_CLASSES} ELSE 'other' END AS failure FROM (SELECT source, unnest(string_split(text, chr(10))) AS m FROM documents)) GROUP BY ALL""")
 def failure_classes(c: Corpus) -> DataFrame:
-    message = F.array(*[F.lit(e) for e in ERRORS])[(F.col("event_id") % len(ERRORS)).cast("int")]
-    return c.table("events").groupBy(ops.failure_class(message).alias("failure")).agg(F.count("*").alias("n"))
+    """Classes of all lines of the given texts, as of messages of jobs, by source."""
+    lines = c.table("documents").select("source", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.groupBy("source", ops.failure_class(F.col("line")).alias("failure")).agg(F.count("*").alias("n"))
 
 
 @query("C14", f"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from colloquy.operators.fuzzy import near_words
 from colloquy.plans.registry import query
 from colloquy.plans.sql_views import VIEWS, esc, rnd, sql_list
 from colloquy.sources.corpus import Corpus
-from colloquy.sources.profiles import load_profile
+from colloquy.sources.profiles import list_profiles, load_profile, vocabulary_table
 
 SALES = load_profile("sales")
 GENERIC = load_profile("generic")
@@ -311,3 +312,21 @@ def vocabulary_usage(c: Corpus) -> DataFrame:
         for i, e in enumerate(SALES.vocabulary)
     ])
     return counts.select(F.explode(rows).alias("r")).select("r.*")
+
+
+_ALL = [load_profile(name) for name in list_profiles()]
+_TOUCHES = " UNION ALL ".join(
+    f"SELECT '{p.name}' AS profile, {len(p.vocabulary)}::BIGINT AS n_entries, {sum(len(e.aliases) for e in p.vocabulary)}::BIGINT AS n_aliases, count(*) FILTER ("
+    + (" OR ".join(f"regexp_matches(text, '{esc(('' if e.case_sensitive else '(?i)') + rf'\b{re.escape(a)}\b')}')" for e in p.vocabulary for a in e.aliases) or "false")
+    + ") AS n_segments FROM segments"
+    for p in _ALL
+)
+
+
+@query("A3 A4", _TOUCHES)
+def profile_listing(c: Corpus) -> DataFrame:
+    """Every shipped profile: its entries, its aliases and the segments that any of them matches."""
+    listed = c.spark.createDataFrame([(p.name, len(p.vocabulary), sum(len(e.aliases) for e in p.vocabulary)) for p in _ALL], "profile string, n_entries long, n_aliases long")
+    table = reduce(DataFrame.unionByName, [vocabulary_table(c.spark, p) for p in _ALL])
+    hits = vo.touched(c.segments(), vo.steps(table)).select("profile", "job_id", "seg_idx").distinct().groupBy("profile").agg(F.count("*").alias("n_segments"))
+    return listed.join(hits, "profile", "left").fillna(0, ["n_segments"])

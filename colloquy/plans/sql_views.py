@@ -229,14 +229,25 @@ VIEWS.update({
               SELECT job_id, word_idx, unnest(range(len(a))) AS spot, unnest(a) AS term
               FROM (SELECT *, regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+') AS a FROM words))
             WHERE regexp_full_match(term, '[a-z]{{4,}}') AND term NOT IN {_in(lx.STOP_WORDS)} GROUP BY ALL)) WHERE place <= 5""",
-    "introduced": " UNION ".join(
-        [
-            f"SELECT job_id, seg_idx, speaker_id, {str(sure).lower()} AS sure, strpos(text, m) AS at_char, regexp_extract(m, '{esc(p)}', 1) AS name "
-            f"FROM (SELECT *, unnest(regexp_extract_all(text, '{esc(p)}')) AS m FROM segments)"
-            + (f" WHERE regexp_extract(m, '{esc(p)}', 2) = ''" if pointing else "")
-            for p, sure, pointing in [(lx.introduction_pattern(rule, pointing), sure, pointing) for rule, sure, pointing in lx.INTRO_RULES]
-        ]
-    ),
+    # Words of a segment with their neighbours and places; a phrase is a row whose next words fit.
+    "spoken_words": r"""
+        SELECT *, regexp_matches(r0, '[\\p{L}\\p{N}]$') AND regexp_matches(r1, '^[\\p{L}\\p{N}]') AS c1, regexp_matches(r1, '[\\p{L}\\p{N}]$') AND regexp_matches(r2, '^[\\p{L}\\p{N}]') AS c2,
+               regexp_matches(r2, '[\\p{L}\\p{N}]$') AND regexp_matches(r3, '^[\\p{L}\\p{N}]') AS c3, regexp_matches(r2, '[\\p{L}\\p{N}]$') AS open2 FROM (
+          SELECT *, coalesce(lead(b0) OVER w, '') AS b1, coalesce(lead(b0, 2) OVER w, '') AS b2, coalesce(lead(b0, 3) OVER w, '') AS b3,
+                 lead(r0) OVER w AS r1, lead(r0, 2) OVER w AS r2, lead(r0, 3) OVER w AS r3, coalesce(sum(length(r0) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                 + length(regexp_extract(r0, '^([^\\p{L}\\p{N}]*)', 1)) + 1 AS at_char FROM (
+            SELECT job_id, seg_idx, speaker_id, i, r0, regexp_replace(r0, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g') AS b0 FROM (
+              SELECT job_id, seg_idx, speaker_id, unnest(range(len(a))) AS i, unnest(a) AS r0 FROM (SELECT *, string_split(text, ' ') AS a FROM segments)))
+          WINDOW w AS (PARTITION BY job_id, seg_idx ORDER BY i))""".replace("\\\\", "\\"),
+    "introduced": f"""
+        SELECT job_id, seg_idx, speaker_id, sure, min(at_char)::BIGINT AS at_char, name FROM (
+          SELECT *, CASE WHEN b0 = 'I' AND b1 = 'am' AND c1 AND c2 AND regexp_full_match(b2, '[A-Z][A-Za-z]+') THEN b2 WHEN b0 IN ('I''m', 'Im') AND c1 AND regexp_full_match(b1, '[A-Z][A-Za-z]+') THEN b1
+                 WHEN lower(b0) = 'my' AND lower(b1) = 'name' AND lower(b2) = 'is' AND c1 AND c2 AND c3 AND regexp_full_match(b3, '[A-Za-z]{{2,}}') THEN b3
+                 WHEN lower(b0) = 'my' AND lower(b1) IN ('name''s', 'names') AND c1 AND c2 AND regexp_full_match(b2, '[A-Za-z]{{2,}}') THEN b2 END AS sure_name,
+                 CASE WHEN i = 0 AND b1 IN ('here', 'speaking') AND c1 AND regexp_full_match(b0, '[A-Z][A-Za-z]+') THEN b0
+                 WHEN b0 IN ('This', 'this') AND b1 = 'is' AND c1 AND c2 AND regexp_full_match(b2, '[A-Z][A-Za-z]+') AND NOT (open2 AND lower(b3) IN {_in(lx.POINTING)}) THEN b2 END AS likely_name,
+                 coalesce(sure_name, likely_name) AS name, sure_name IS NOT NULL AS sure FROM spoken_words)
+        WHERE name IS NOT NULL GROUP BY job_id, seg_idx, speaker_id, sure, name""",
 })
 
 _RECURSIVE = {"topic_walk"}
