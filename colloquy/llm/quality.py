@@ -1,9 +1,13 @@
 """Quality rules: an isolation forest over rule statistics.
 
-Every text is reduced to counts (words, symbols, repeated lines, repeated three-word windows, capitals). A forest of random
-splits is grown on a bounded sample of labelled rows; a document that random splits isolate early is anomalous. Two
-thresholds on the anomaly score are tried on the same labelled rows, and the one that rejects most bad rows while it
-rejects at most `clean_loss` of the good ones is used.
+Every text is reduced to counts (words, symbols, repeated lines, repeated three-word windows, capitals, digits, different words). Two forests of
+random splits are grown on a bounded sample of labelled rows; a document that random splits isolate early is anomalous.
+
+- Marks: shares of symbols, repeated words, capitals and exclamations, in the box of all labelled rows. Its threshold rejects most bad rows
+  while it rejects at most `clean_loss` of the good ones.
+- Shape: shares of digits and repeated lines, length of words, how fast different words grow, words per line. Its box reaches the range of good rows
+  beyond them on every side, since junk of kinds without labels lies there. No label tells where to stop, so the threshold lies
+  `EDGE` of the way from the score that all but `clean_loss` of the good rows stay under to that of the box's corners.
 
 Defined results: a null or empty text has no words, so base_failed is true. A table without usable labels gives a forest of
 no trees, which rejects nothing beyond the base rules. Repeated rows are judged one by one. An empty table gives no rows.
@@ -11,7 +15,7 @@ no trees, which rejects nothing beyond the base rules. Repeated rows are judged
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +29,8 @@ CAPITALS = bytes(range(65, 91))
 DIGITS = b"0123456789"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_digits", "n_distinct", "n_marks")
 FEATURES = ("symbol_share", "repeat_share", "capital_share", "mark_share")
+SHAPES = ("digit_share", "repeated_line_share", "word_length", "growth_of_words", "words_per_line")
+BEYOND, EDGE = 1.0, 1 / 4
 
 
 def repeated_words(words: list[bytes]) -> tuple[int, int]:
@@ -65,6 +71,14 @@ def features(counts: np.ndarray) -> np.ndarray:
     return np.sqrt(np.column_stack([symbols / per_char, repeat / per_word, capitals / per_char, marks / per_word]))
 
 
+def shapes(counts: np.ndarray) -> np.ndarray:
+    """The statistics named in SHAPES, one row per document; sizes as logarithms."""
+    words, chars, _, repeated, _, lines, _, digits, distinct, _ = counts.astype(np.float64).T
+    per_word, per_char, per_line = np.maximum(words, 1), np.maximum(chars, 1), np.maximum(lines, 1)
+    growth = np.log(np.maximum(distinct, 1)) / np.log(np.maximum(words, 2))
+    return np.column_stack([np.sqrt(digits / per_char), np.sqrt(repeated / per_line), np.log(per_char / per_word), growth, np.log(per_word / per_line)])
+
+
 def base_failed(counts: np.ndarray, min_words: int = 50, repeat_percent: int = 50) -> np.ndarray:
     words, repeat = counts[:, 0], counts[:, 4]
     return (words < min_words) | (100 * repeat > repeat_percent * words)
@@ -88,6 +102,7 @@ class Forest:
     roots: np.ndarray
     sample: int
     threshold: float
+    shape: Forest | None = None
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """Anomaly score in (0, 1]: 2 ** -(mean path length / expected path length)."""
@@ -176,16 +191,36 @@ def fit_forest(docs: DataFrame, labels: DataFrame, *, rows: int = 20_000, trees:
     got = counts.drop("text").toPandas().sort_values(["quality", *COUNTS], kind="stable")
     counts, good = got[list(COUNTS)].to_numpy(dtype=np.int64).reshape(-1, len(COUNTS)), got["quality"].to_numpy() == 1
     rest = ~base_failed(counts)
-    forest = Forest.grown(features(counts[rest]), good[rest], trees, sample, seed)
-    return forest.with_threshold(calibrated(forest.scores(features(counts[rest])), good[rest], clean_loss))
+    return fitted(counts[rest], good[rest], trees, sample, clean_loss, seed)
+
+
+def fitted(counts: np.ndarray, good: np.ndarray, trees: int = 200, sample: int = 256, clean_loss: float = 0.001, seed: int = 11) -> Forest:
+    """Both forests, with thresholds, from the counts of labelled rows that pass the base rules."""
+    marks = Forest.grown(features(counts), good, trees, sample, seed)
+    return replace(marks, threshold=calibrated(marks.scores(features(counts)), good, clean_loss), shape=fitted_shape(shapes(counts), good, trees, sample, clean_loss, seed + 1))
+
+
+def fitted_shape(x: np.ndarray, good: np.ndarray, trees: int, sample: int, clean_loss: float, seed: int) -> Forest | None:
+    """The forest of shapes; none without a hundred good rows, which is too few to tell what is usual."""
+    if good.sum() < 100:
+        return None
+    low, high = x[good].min(axis=0), x[good].max(axis=0)
+    # A statistic that is the same in all good rows still gets a range.
+    reach = BEYOND * np.maximum(high - low, 0.2)
+    edge = np.vstack([low - reach, high + reach])
+    forest = Forest.grown(np.vstack([x, edge]), np.concatenate([good, [False, False]]), trees, sample, seed)
+    usual = np.sort(forest.scores(x[good]))[::-1][int(clean_loss * good.sum())]
+    return replace(forest, threshold=float(usual + EDGE * max(forest.scores(edge).mean() - usual, 0.0)))
 
 
 def judge_quality(docs: DataFrame, forest: Forest) -> DataFrame:
-    """All columns of docs, the counts, anomaly, base_failed and kept (false where a base rule fails or the score passes the threshold)."""
+    """All columns of docs, the counts, anomaly, shape_anomaly, base_failed and kept (false where a base rule fails or a score reaches its threshold)."""
 
     def judged(texts):
         counts = counted(texts)
         failed, score = base_failed(counts), forest.scores(features(counts))
-        return [*map(pa.array, counts.T), pa.array(score), pa.array(failed), pa.array(~failed & (score < forest.threshold))]
+        odd = forest.shape.scores(shapes(counts)) if forest.shape else np.zeros(len(counts))
+        kept = ~failed & (score < forest.threshold) & (odd < (forest.shape.threshold if forest.shape else np.inf))
+        return [*map(pa.array, counts.T), pa.array(score), pa.array(odd), pa.array(failed), pa.array(kept)]
 
-    return map_texts(docs, ", ".join(f"{c} long" for c in COUNTS) + ", anomaly double, base_failed boolean, kept boolean", judged)
+    return map_texts(docs, ", ".join(f"{c} long" for c in COUNTS) + ", anomaly double, shape_anomaly double, base_failed boolean, kept boolean", judged)

@@ -315,3 +315,46 @@ def test_shards_follow_from_the_records_alone(spark):
     # The repeated record is spread like any other.
     shards = Counter(s for (k, _, s, _), n in runs[0].items() if k == 7 for _ in range(n))
     assert len(shards) == 5 and max(shards.values()) < 50
+
+
+# Quality
+
+
+def plain_depths(forest, x):
+    """Anomaly scores by walking each tree for each row."""
+    out = []
+    for row in x:
+        total = 0.0
+        for at in forest.roots:
+            while forest.feature[at] >= 0:
+                at = forest.left[at] + int(row[forest.feature[at]] >= forest.value[at])
+            total += forest.depth[at]
+        n = forest.sample
+        usual = 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
+        out.append(2 ** (-total / len(forest.roots) / usual))
+    return np.array(out)
+
+
+def test_verdicts_and_junk_without_labels(spark):
+    """Path lengths against a plain walk; kinds of junk that no label shows are rejected, good rows stay."""
+    from colloquy.llm import quality
+
+    path = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    forest = quality.fit_forest(docs, labels)
+    rng = random.Random(1)
+    some = [r["text"].split() for r in docs.where("text is not null").orderBy("doc_id").limit(2).collect()]
+    junk = [
+        " ".join(str(rng.randrange(10**6)) for _ in range(300)), " ".join(rng.choices(some[0][:20], k=300)), " ".join("".join(rng.choices("abcdef", k=120)) for _ in range(80)),
+        " ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=300)), "\n".join(f"http://x{rng.randrange(10**5)}.com/{rng.randrange(10**6)}/page.html" for _ in range(100)),
+        "\n".join("\t".join(str(rng.randrange(1000)) for _ in range(8)) for _ in range(60)),
+    ]
+    odd = quality.judge_quality(spark.createDataFrame(list(enumerate(junk)), "doc_id long, text string"), forest).toPandas()
+    assert not odd.base_failed.any() and not odd.kept.any()
+    judged = quality.judge_quality(docs.join(F.broadcast(labels.groupBy("doc_id").agg(F.min("quality").alias("quality"))), "doc_id"), forest).toPandas()
+    rest = judged[~judged.base_failed]
+    assert rest.kept[rest.quality == 1].mean() > 0.995 and rest.kept[rest.quality == 0].mean() < 0.03
+    few = rest.sample(60, random_state=1)
+    counts = few[list(quality.COUNTS)].to_numpy(dtype=np.int64)
+    assert np.allclose(plain_depths(forest, quality.features(counts)), few.anomaly) and np.allclose(plain_depths(forest.shape, quality.shapes(counts)), few.shape_anomaly)
+    assert ((few.anomaly < forest.threshold) & (few.shape_anomaly < forest.shape.threshold)).tolist() == few.kept.tolist()
