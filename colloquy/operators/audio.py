@@ -11,8 +11,8 @@ ONE_SPEAKER, TWO_SPEAKERS = 0.30, 0.60
 SKIP_FROM, SKIP_SAVES_S, LONG_S = 0.85, 540, 600
 
 
-def energy_profile(frames: DataFrame, first_frames: int | None = None) -> DataFrame:
-    """Share of speech and silence and the signal-to-noise ratio of all frames, or of the first ones only (a minute has 600)."""
+def energy_profile(frames: DataFrame, first_frames: int | None = 600) -> DataFrame:
+    """Share of speech and silence and the signal-to-noise ratio of the first minute of 0.1 s frames, or of all frames (None)."""
     heard = frames if first_frames is None else frames.filter(F.col("frame_idx") < first_frames)
     mean = heard.groupBy("job_id").agg((F.avg("rms") * SPEECH_RATIO).alias("threshold"))
     speech = F.col("rms") > F.col("threshold")
